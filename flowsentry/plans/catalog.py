@@ -130,7 +130,9 @@ def q_corr_matrix(spark, sf_dir):
 
 def q_impute_scale(spark, sf_dir):
     st = study(spark, sf_dir)
-    return st.scaled.select("row_id", "split", *[_r(c).alias(c) for c in st.zcols])
+    long = st.scaled.select("row_id", "split", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"z_{f}").alias("z")) for f in st.prep.features])).alias("s"))
+    return long.select("row_id", "split", "s.feature", _r("s.z").alias("z"))
 
 
 # ---------------------------------------------------------------- fold metrics
@@ -160,7 +162,8 @@ def q_fold_auc(spark, sf_dir):
 
 def q_macro_f1(spark, sf_dir):
     st = study(spark, sf_dir)
-    return M.macro_f1(st.nu_metrics).select("candidate", _r("macro_f1").alias("macro_f1"))
+    return M.macro_f1(st.nu_metrics).select(
+        F.regexp_extract("candidate", "nu=(.*)", 1).cast("double").alias("nu"), _r("macro_f1").alias("macro_f1"))
 
 
 # ---------------------------------------------------------------- thresholds
@@ -178,23 +181,26 @@ def q_threshold_sweep(spark, sf_dir):
     st = study(spark, sf_dir)
     mf = M.macro_f1(st.thr_metrics)
     acc = M.benign_acceptance(st.scored, st.thr_preds(st.thr_grid))
-    return mf.join(acc, "candidate").select(
-        "candidate", _r("macro_f1").alias("macro_f1"), _r("benign_accuracy").alias("benign_accuracy"))
+    grid = spark.createDataFrame([(thr_name(t), t) for t in st.thr_grid], "candidate string, threshold double")
+    return mf.join(acc, "candidate").join(grid, "candidate").select(
+        "threshold", _r("macro_f1").alias("macro_f1"), _r("benign_accuracy").alias("benign_accuracy"))
 
 
 def q_best_threshold(spark, sf_dir):
     st = study(spark, sf_dir)
     best = st.best_thr
     m = st.thr_metrics.where(F.col("candidate") == thr_name(best))
-    return _metric_frame(m, extra=["candidate"])
+    return _metric_frame(m.withColumn("threshold", F.lit(best)), extra=["threshold"])
 
 
 def q_ocsvm_nu_sweep(spark, sf_dir):
     """F4 with the expression detector: ν boundaries, macro-F1 and benign acceptance."""
     st = study(spark, sf_dir)
-    rows = [(r["candidate"], r["nu"], r["macro_f1"], r["benign_val_accuracy"]) for r in st.nu_summary]
-    return spark.createDataFrame(rows, "candidate string, nu double, macro_f1 double, benign_accuracy double").select(
-        "candidate", "nu", _r("macro_f1").alias("macro_f1"), _r("benign_accuracy").alias("benign_accuracy"))
+    rows = [(r["nu"], float(st.boundary.boundaries[i]), r["macro_f1"], r["benign_val_accuracy"])
+            for i, r in enumerate(st.nu_summary)]
+    return spark.createDataFrame(rows, "nu double, boundary double, macro_f1 double, benign_accuracy double").select(
+        "nu", _r("boundary").alias("boundary"), _r("macro_f1").alias("macro_f1"),
+        _r("benign_accuracy").alias("benign_accuracy"))
 
 
 # ---------------------------------------------------------------- robust z / fusion
@@ -213,12 +219,13 @@ def q_fused_score(spark, sf_dir):
 
 def q_fusion_calibration(spark, sf_dir):
     st = study(spark, sf_dir)
-    rows = [(c["candidate"], c["w_svm"], c["w_ae"], c["thr_quantile"], c["thr"], c["macro_f1_calib"])
+    best = st.best_fusion
+    rows = [(c["w_svm"], c["w_ae"], c["thr_quantile"], c["thr"], c["macro_f1_calib"], c is best)
             for c in st.fusion_summary]
     return spark.createDataFrame(
-        rows, "candidate string, w_svm double, w_ae double, thr_quantile double, thr double, macro_f1_calib double"
-    ).select("candidate", "w_svm", "w_ae", "thr_quantile", _r("thr").alias("thr"),
-             _r("macro_f1_calib").alias("macro_f1_calib"))
+        rows, "w_svm double, w_ae double, thr_quantile double, thr double, macro_f1_calib double, chosen boolean"
+    ).select("w_svm", "w_ae", "thr_quantile", _r("thr").alias("thr"),
+             _r("macro_f1_calib").alias("macro_f1_calib"), "chosen")
 
 
 def q_hybrid_deploy(spark, sf_dir):
