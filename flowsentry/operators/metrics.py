@@ -23,6 +23,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -164,7 +165,7 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_co
         offsets[p] = acc
         acc += totals.get(p, 0) or 0
     bc = spark.sparkContext.broadcast(offsets)
-    schema = ranged.schema.add(out_col, "long")
+    schema = StructType(ranged.schema.fields + [StructField(out_col, LongType())])
 
     def local_cumsum(batches):
         from pyspark import TaskContext

@@ -96,12 +96,12 @@ class Study:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """row_id, y, family, split, ml_raw, ae (persisted once)."""
+        """row_id, y, family, split, z columns, ml_raw, ae (persisted once)."""
         if self.detectors == "learned":
             from ..operators.detectors.learned import learned_scores
             out = learned_scores(self)
         else:
-            out = self.scaled.select("row_id", "y", "family", "split",
+            out = self.scaled.select("row_id", "y", "family", "split", *self.zcols,
                                      zmax(self.zcols).alias("ml_raw"), zsq(self.zcols).alias("ae"))
         return out.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -113,9 +113,8 @@ class Study:
     # ------------------------------------------------------------ ML side
     @cached_property
     def boundary(self):
-        """ν boundaries fitted on benign train scores (F1 analogue)."""
-        if self.detectors == "learned":
-            return self.learned_boundary
+        """ν boundaries: (1-ν) quantile of the benign-train ML scores, so a
+        share ν of training rows is flagged (the one-class ν-property)."""
         train = self.scored.where(F.col("split") == "train")
         return fit_boundaries(train, "ml_raw", self.nus, n_rows=self.counts.get("train"))
 

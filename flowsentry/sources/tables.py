@@ -70,7 +70,10 @@ def lineitem_flows(spark: SparkSession, sf_dir: str, dirty: bool = True,
         label.alias("Label"),
     )
     if dirty:
-        b = hash_bucket("row_id", "dirt")
+        # the bucket is materialised once; reusing the expression would inline
+        # one md5 per branch and overflow the generated-code size limit
+        df = df.withColumn("_dirt", hash_bucket("row_id", "dirt"))
+        b = F.col("_dirt")
         inf = F.lit(float("inf"))
         df = df.withColumns({
             "price": F.when(b < 10, inf).otherwise(F.col("price")),
@@ -81,7 +84,7 @@ def lineitem_flows(spark: SparkSession, sf_dir: str, dirty: bool = True,
                       .when((b >= 40) & (b < 60) & (F.col("Label") == "BENIGN"), F.lit(" BENIGN "))
                       .otherwise(F.col("Label")),
         })
-        df = clean_features(df, LINEITEM_FEATURES)
+        df = clean_features(df.drop("_dirt"), LINEITEM_FEATURES)
     return with_label_columns(df) if with_labels else df
 
 
