@@ -359,9 +359,69 @@ def sql_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     out = dict(sql_queries())
+    out.update(io_queries())
     try:
         from .learned_catalog import learned_queries
         out.update(learned_queries())
     except ImportError:
         pass
     return out
+
+
+# ---------------------------------------------------------------- sources, sinks, stream
+def q_csv_flow_scan(spark, sf_dir):
+    """The dirty lineitem flows written as CSV capture files with
+    padded and repeated headers plus a non-numeric column, then scanned."""
+    from ..session import shared_path
+    from ..sources.flow_csv import read_flow_csv
+    src = lineitem_flows(spark, sf_dir, with_labels=False)
+    out = shared_path(spark, "csv")
+    padded = src.select(F.col("row_id").alias("Flow ID"), "src_file",
+                        *[F.col(f).alias(f" {f} ") for f in LINEITEM_FEATURES],
+                        F.lit(0.0).alias("Const"), F.col("Label").alias(" Label"))
+    padded.write.partitionBy("src_file").option("header", True).csv(out)
+    flows, feats = read_flow_csv(spark, out, files=None, check=False)
+    return flows.groupBy("report_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("price").isNull().cast("int")).alias("n_price_missing"),
+        _r(F.sum("price"), 2).alias("price_total"),
+        F.lit(len(feats)).alias("n_features"))
+
+
+def q_fusion_config(spark, sf_dir):
+    from ..sources.artifacts import fusion_config_from_study
+    cfg = fusion_config_from_study(study(spark, sf_dir))
+    fr = cfg.to_frame(spark)
+    return fr.select(*[_r(c).alias(c) for c in fr.columns])
+
+
+def q_bundle_manifest(spark, sf_dir):
+    from ..session import shared_path
+    from ..sources.artifacts import write_bundle
+    return write_bundle(spark, shared_path(spark, "bundle"), study(spark, sf_dir))
+
+
+def q_stream_score(spark, sf_dir):
+    """The lineitem file arrives on a stream and is scored by the deploy
+    configuration of the batch study (same projection as batch)."""
+    from ..sources.artifacts import fusion_config_from_study
+    from ..sources.tables import lineitem_flow_view, read_table
+    from ..streaming.score_stream import deploy, expression_scorer, run_available
+    st = study(spark, sf_dir)
+    cfg = fusion_config_from_study(st)
+    bnd = st.boundary.boundaries[st.boundary.nus.index(st.best_nu)]
+    schema = read_table(spark, sf_dir, "lineitem").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    stream = deploy(lineitem_flow_view(raw), expression_scorer(st.prep, bnd), cfg)
+    path = run_available(spark, stream, "stream")
+    return spark.read.parquet(path).select("row_id", _r("z").alias("z"), F.col("pred").cast("int").alias("pred"))
+
+
+def io_queries() -> dict[str, Query]:
+    return {
+        "csv_flow_scan": q_csv_flow_scan,
+        "fusion_config": q_fusion_config,
+        "bundle_manifest": q_bundle_manifest,
+        "stream_score": q_stream_score,
+    }

@@ -508,6 +508,26 @@ UNION ALL SELECT 'Benign (Validation)', {nu_ben} FROM scored WHERE split = 'val'
     out["operating_points"] = (base() + ",\n" + counts_cte("c", preds) + ",\n" + metrics_cte("m", "c") + " " +
                                " UNION ALL ".join(op_parts))
 
+    out["fusion_config"] = st + """
+SELECT b.w_svm, b.w_ae, round(b.thr, 6) AS thr, b.thr_quantile,
+       round(m_svm, 6) AS svm_median, round(d_svm, 6) AS svm_mad,
+       round(m_ae, 6) AS ae_median, round(d_ae, 6) AS ae_mad FROM best_fus b, refs"""
+    zall = ", ".join(
+        f"(coalesce(sp.{f}, med_{i}) - mu_{i}) / (CASE WHEN sd_{i} > 0 THEN sd_{i} ELSE 1.0 END) AS z_{i}"
+        for i, f in enumerate(FEATS))
+    nk = " + ".join(f"k_{i}" for i in range(len(FEATS)))
+    zsq = "(" + " + ".join(f"k_{i} * z_{i} * z_{i}" for i in range(len(FEATS))) + f") / ({nk})"
+    zmax = "greatest(" + ", ".join(f"CASE WHEN k_{i} = 1 THEN abs(z_{i}) ELSE 0.0 END" for i in range(len(FEATS))) + ")"
+    out["stream_score"] = st + f""",
+za AS (SELECT sp.row_id, {zall} FROM sp, stats_m, stats_s),
+sa AS (SELECT row_id, {zmax} - (SELECT bnd FROM bound) AS svm, {zsq} AS ae FROM za, keep_t),
+fa AS (SELECT row_id, b.w_svm * ((svm - m_svm) / d_svm) + b.w_ae * ((ae - m_ae) / d_ae) AS z, b.thr
+       FROM sa, refs, best_fus b)
+SELECT row_id, round(z, 6) AS z, CASE WHEN z > thr THEN 1 ELSE 0 END AS pred FROM fa"""
+    out["csv_flow_scan"] = "WITH " + lineitem_ctes() + """
+SELECT report_name, count(*) AS n, CAST(sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_price_missing,
+       round(sum(price), 2) AS price_total, 7 AS n_features FROM lf GROUP BY report_name"""
+
     ev_lf = "WITH " + lineitem_ctes() + "," + events_ctes()[len("WITH "):]
     out["flow_union"] = ev_lf + """
 SELECT src_file, report_name, count(*) AS n FROM

@@ -48,7 +48,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lineitem_flows(spark: SparkSession, sf_dir: str, dirty: bool = True,
                    with_labels: bool = True) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+    return lineitem_flow_view(read_table(spark, sf_dir, "lineitem"), dirty, with_labels)
+
+
+def lineitem_flow_view(li: DataFrame, dirty: bool = True, with_labels: bool = True) -> DataFrame:
+    """Projection of a lineitem frame (batch or streaming) into flow shape."""
     row_id = F.concat_ws("-", *[F.col(c).cast("string") for c in
                                 ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
     grp = F.concat(F.col("l_returnflag"), F.col("l_linestatus"))
