@@ -130,6 +130,14 @@ def mean_fold(metrics: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFra
         *[F.avg(c).alias(f"mean_fold_{c}") for c in METRIC_COLUMNS])
 
 
+def summarize(metrics: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
+    """Per candidate: macro-F1 and the benign acceptance rate, which equals
+    1 - fp / n_benign on every family row of that candidate."""
+    return metrics.groupBy(*by).agg(
+        F.coalesce(F.avg("f1_macro"), F.lit(0.0)).alias("macro_f1"),
+        F.max(F.when(F.col("n_benign") > 0, F.lit(1.0) - F.col("fp") / F.col("n_benign"))).alias("benign_accuracy"))
+
+
 def benign_acceptance(df: DataFrame, preds: Mapping[str, Column], split_col: str = "split") -> DataFrame:
     """Share of benign validation rows not flagged, per candidate."""
     val = df.where(F.col(split_col) == "val")
@@ -181,30 +189,42 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_co
 
 
 def fold_auc(df: DataFrame, scores: Mapping[str, Column], family_col: str,
-             families: Sequence[str] | None = None) -> DataFrame:
-    """(candidate, family, roc_auc) by exact rank sum, ties counted half."""
+             families: Sequence[str] | None = None, n_rows: int | None = None) -> DataFrame:
+    """(candidate, family, roc_auc) by exact rank sum, ties counted half.
+
+    All candidates in one pass: eval rows are stacked once per candidate,
+    reduced to per-(candidate, score) benign counts and per-(candidate,
+    family, score) attack counts, and one global running sum over
+    (candidate, score, benign-first) gives #benign <= s; subtracting the
+    candidate's starting offset restarts it per candidate."""
     ev = eval_rows(df)
     if families is not None:
         ev = ev.where((F.col("y") == 0) | F.col(family_col).isin(list(families)))
-    out = None
-    for name, sc in scores.items():
-        pts = ev.select(F.col("y"), F.col(family_col).alias("family"), sc.cast("double").alias("score"))
-        pts = pts.where(F.col("score").isNotNull())
-        ben = pts.where(F.col("y") == 0).groupBy("score").agg(F.count(F.lit(1)).alias("nb"))
-        att = pts.where(F.col("y") == 1).groupBy("family", "score").agg(F.count(F.lit(1)).alias("na"))
-        both = ben.select("score", F.lit(0).alias("is_att"), F.lit(None).cast("string").alias("family"),
-                          "nb", F.lit(0).cast("long").alias("na")).unionByName(
-            att.select("score", F.lit(1).alias("is_att"), "family", F.lit(0).cast("long").alias("nb"), "na"))
-        le = running_sum(both, ["score", "is_att"], "nb", "le_b")
-        contrib = (le.where(F.col("is_att") == 1)
-                   .join(ben.withColumnRenamed("nb", "eq_b"), "score", "left")
-                   .select("family", "na",
-                           (F.col("na") * (F.col("le_b") - F.coalesce(F.col("eq_b"), F.lit(0)) / 2.0)).alias("u")))
-        n_b = ben.agg(F.sum("nb").alias("n_b"))
-        res = (contrib.groupBy("family").agg(F.sum("u").alias("u"), F.sum("na").alias("n_a"))
-               .join(F.broadcast(n_b), on=F.lit(True), how="left")
-               .select(F.lit(name).alias("candidate"), "family",
-                       F.when((F.col("n_b") > 0) & (F.col("n_a") > 0),
-                              F.col("u") / (F.col("n_b") * F.col("n_a"))).alias("roc_auc")))
-        out = res if out is None else out.unionByName(res)
-    return out
+    names = list(scores)
+    stacked = ev.select("y", F.col(family_col).alias("family"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), scores[k].cast("double").alias("score")) for i, k in enumerate(names)
+    ])).alias("s")).select("y", "family", F.col("s.c").alias("c"), F.col("s.score").alias("score"))
+    pts = stacked.where(F.col("score").isNotNull())
+    ben = pts.where(F.col("y") == 0).groupBy("c", "score").agg(F.count(F.lit(1)).alias("nb"))
+    att = pts.where(F.col("y") == 1).groupBy("c", "family", "score").agg(F.count(F.lit(1)).alias("na"))
+    both = ben.select("c", "score", F.lit(0).alias("is_att"), F.lit(None).cast("string").alias("family"),
+                      "nb", F.lit(0).cast("long").alias("na")).unionByName(
+        att.select("c", "score", F.lit(1).alias("is_att"), "family", F.lit(0).cast("long").alias("nb"), "na"))
+    totals = {r["c"]: r["n_b"] for r in ben.groupBy("c").agg(F.sum("nb").alias("n_b")).collect()}
+    offs, acc = [], 0
+    for i in range(len(names)):
+        offs.append((i, acc, totals.get(i, 0)))
+        acc += totals.get(i, 0)
+    off_df = df.sparkSession.createDataFrame(offs, "c int, off long, n_b long")
+    bound = None if n_rows is None else n_rows * len(names)
+    le = running_sum(both, ["c", "score", "is_att"], "nb", "cum", n_rows=bound)
+    contrib = (le.where(F.col("is_att") == 1)
+               .join(F.broadcast(off_df), "c")
+               .join(ben.withColumnRenamed("nb", "eq_b"), ["c", "score"], "left")
+               .select("c", "family", "na", "n_b",
+                       (F.col("na") * (F.col("cum") - F.col("off") - F.coalesce(F.col("eq_b"), F.lit(0)) / 2.0)).alias("u")))
+    res = contrib.groupBy("c", "family").agg(F.sum("u").alias("u"), F.sum("na").alias("n_a"), F.max("n_b").alias("n_b"))
+    name_df = df.sparkSession.createDataFrame(list(enumerate(names)), "c int, candidate string")
+    return res.join(F.broadcast(name_df), "c").select(
+        "candidate", "family",
+        F.when((F.col("n_b") > 0) & (F.col("n_a") > 0), F.col("u") / (F.col("n_b") * F.col("n_a"))).alias("roc_auc"))

@@ -1,8 +1,8 @@
 """Preprocessing fitted on benign training rows (D11 = C1 C2 D3 E1 E2 B7 E3 B8).
 
-Three aggregations in all: the Pearson Gramian (one treeAggregate pass over
-the train rows), the medians (exact quantiles, scalable path in
-``quantiles``), and mean / population std of the imputed train rows.  Only
+Three passes in all: split sizes with train means, the centered Pearson
+Gramian (per-partition numpy partial sums), and the medians (exact
+quantiles, scalable path in ``quantiles``).  Only
 p-sized statistics reach the driver; the transform is a projection with
 literals.
 """
@@ -14,8 +14,7 @@ import math
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +25,50 @@ from .sampling import BENIGN_TRAIN_FRACTION, SEED, assign_split
 CORR_THRESHOLD = 0.9
 
 
-def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
-    """Pearson matrix of complete rows (NaN for constant columns)."""
-    if len(features) < 2:
-        return np.ones((len(features), len(features)))
-    vec = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(
-        df.select(*features))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0]
-    return m.toArray()
+def centered_gramian(train: DataFrame, features: list[str], means: list[float]) -> np.ndarray:
+    """Sum over rows of (x - mean)(x - mean)^T: each partition returns its
+    p x p partial sum (numpy), combined by a p*p-row aggregate.  Centering on
+    the exact means keeps the sums well conditioned."""
+    p = len(features)
+    mu = np.asarray(means, dtype=np.float64)
+
+    def partial(batches):
+        acc = np.zeros((p, p))
+        for pdf in batches:
+            x = pdf[features].to_numpy(dtype=np.float64) - mu
+            if len(x):
+                acc += x.T @ x
+        yield pd.DataFrame({"v": [acc.ravel().tolist()]})
+
+    parts = train.select(*features).mapInPandas(partial, "v array<double>")
+    cells = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    g = np.zeros(p * p)
+    for r in cells:
+        g[r["i"]] = r["x"]
+    return g.reshape(p, p)
+
+
+CONSTANT_EPS = 10 * np.finfo(np.float64).eps  # a std below this is a constant column
+
+
+def correlation_from_gramian(g: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Pearson r; NaN where a column is constant (never prunes)."""
+    d = np.sqrt(np.clip(np.diag(g), 0.0, None))
+    const = d <= CONSTANT_EPS * np.sqrt(max(n or 1, 1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = g / np.outer(d, d)
+    r[const, :] = np.nan
+    r[:, const] = np.nan
+    return r
+
+
+def correlation_matrix(train: DataFrame, features: list[str]) -> np.ndarray:
+    """Pearson matrix of the (complete) training rows: one means pass, one
+    centered Gramian pass."""
+    row = train.agg(*[F.avg(f).alias(f) for f in features]).first()
+    means = [row[f] or 0.0 for f in features]
+    n = train.count()
+    return correlation_from_gramian(centered_gramian(train, features, means), n)
 
 
 def prune_correlated(features: list[str], corr: np.ndarray, threshold: float = CORR_THRESHOLD) -> list[str]:
@@ -100,23 +135,36 @@ class Preprocessor:
 def fit_preprocess(df: DataFrame, features: list[str], seed: int = SEED,
                    corr_threshold: float = CORR_THRESHOLD,
                    train_share: float = BENIGN_TRAIN_FRACTION) -> tuple[Preprocessor, DataFrame]:
-    """Returns the fitted preprocessor and ``df`` with a ``split`` column."""
+    """Returns the fitted preprocessor and ``df`` with a ``split`` column.
+
+    Three passes: (1) split sizes and train means, (2) the centered train
+    Gramian (Pearson r, and the population std of every column), (3) exact
+    medians of the kept columns.  Train rows are complete by construction
+    (C2), so median imputation leaves them unchanged and the scaler moments
+    of the imputed train rows are the raw train moments."""
     split_df = assign_split(df, features, seed, train_share)
+    stats = split_df.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
+                                          *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)]).collect()
+    by = {r["split"]: r for r in stats}
+    n_train = by["train"]["n"] if "train" in by else 0
+    n_val = by["val"]["n"] if "val" in by else 0
     train = split_df.where(F.col("split") == "train").select(*features)
-    counts = split_df.groupBy("split").count().collect()
-    n = {r["split"]: r["count"] for r in counts}
-    n_train, n_val = n.get("train", 0), n.get("val", 0)
-    corr = correlation_matrix(train, features) if n_train > 1 else np.eye(len(features))
+    all_means = [float(by["train"][f"m_{i}"]) if n_train else 0.0 for i in range(len(features))]
+    if n_train > 1:
+        g = centered_gramian(train, features, all_means)
+        corr = correlation_from_gramian(g, n_train)
+        var = np.clip(np.diag(g) / n_train, 0.0, None)
+    else:
+        corr = np.eye(len(features))
+        var = np.zeros(len(features))
     dropped = prune_correlated(features, corr, corr_threshold)
     kept = [f for f in features if f not in dropped]
+    idx = [features.index(f) for f in kept]
     med = Q.quantiles(train, kept, [0.5], n_rows=n_train)
     medians = [finite_or_zero(med[f][0]) for f in kept]
-    imputed = train.select(*[impute(f, m).alias(f) for f, m in zip(kept, medians)])
-    mom = imputed.agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(kept)],
-                      *[F.stddev_pop(f).alias(f"s_{i}") for i, f in enumerate(kept)]).first()
-    means = [float(mom[f"m_{i}"]) if mom[f"m_{i}"] is not None else 0.0 for i in range(len(kept))]
-    stds = [float(mom[f"s_{i}"]) if mom[f"s_{i}"] is not None else 0.0 for i in range(len(kept))]
-    scales = [s if s > 0 and math.isfinite(s) else 1.0 for s in stds]
+    means = [all_means[i] for i in idx]
+    stds = [float(math.sqrt(var[i])) for i in idx]
+    scales = [s if s > CONSTANT_EPS and math.isfinite(s) else 1.0 for s in stds]
     prep = Preprocessor(kept, dropped, medians, means, scales, stds, n_train, n_val,
                         seed, corr_threshold, train_share, list(features))
     return prep, split_df

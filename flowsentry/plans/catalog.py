@@ -179,10 +179,9 @@ def q_quantile_thresholds(spark, sf_dir):
 
 def q_threshold_sweep(spark, sf_dir):
     st = study(spark, sf_dir)
-    mf = M.macro_f1(st.thr_metrics)
-    acc = M.benign_acceptance(st.scored, st.thr_preds(st.thr_grid))
+    summ = M.summarize(st.thr_metrics)
     grid = spark.createDataFrame([(thr_name(t), t) for t in st.thr_grid], "candidate string, threshold double")
-    return mf.join(acc, "candidate").join(grid, "candidate").select(
+    return summ.join(grid, "candidate").select(
         "threshold", _r("macro_f1").alias("macro_f1"), _r("benign_accuracy").alias("benign_accuracy"))
 
 

@@ -27,6 +27,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as Q
 from ..operators.detectors.simple import fit_boundaries, zmax, zsq
 from ..operators.preprocess import Preprocessor, fit_preprocess
+from ..session import cut_lineage
 from ..operators.sampling import (AE_THR_QUANTILES, FUSION_Q, PAPER_MSE_THRESHOLDS, SEED,
                                   SVM_NU_VALUES, family_column, fusion_weight_grid,
                                   split_families, threshold_grid)
@@ -66,9 +67,19 @@ class Study:
     learned_options: dict = field(default_factory=dict)
 
     # ------------------------------------------------------------ fitting
+    cache_flows: bool = True
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """The narrow working set (key, label, family, features), persisted
+        once so the fit passes and scoring do not re-derive the flow view."""
+        cols = ["row_id", "y", *{self.family_col, "attack_family"}, *self.features]
+        df = self.flows.select(*cols)
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.cache_flows else df
+
     @cached_property
     def _fit(self) -> tuple[Preprocessor, DataFrame]:
-        return fit_preprocess(self.flows, self.features, seed=self.seed)
+        return fit_preprocess(self.base, self.features, seed=self.seed)
 
     @property
     def prep(self) -> Preprocessor:
@@ -103,7 +114,10 @@ class Study:
         else:
             out = self.scaled.select("row_id", "y", "family", "split", *self.zcols,
                                      zmax(self.zcols).alias("ml_raw"), zsq(self.zcols).alias("ae"))
-        return out.persist(StorageLevel.MEMORY_AND_DISK)
+        # reliable checkpoint in the shared folder: every sweep then plans
+        # against a short lineage, and a lost executor costs a re-read, not a
+        # re-fit.  (Never a local checkpoint.)
+        return cut_lineage(out)
 
     @cached_property
     def counts(self) -> dict:
@@ -126,17 +140,28 @@ class Study:
 
     @cached_property
     def nu_metrics(self) -> DataFrame:
-        """per (ν, family) metrics, all ν in one aggregate; AUC per ν."""
+        """per (ν, family) metrics, all ν in one aggregate (no AUC: the
+        selection needs macro-F1 only; ``nu_metrics_auc`` adds it)."""
+        return M.fold_metrics(self.scored, self.nu_preds(), "family", families=self.selection_scope())
+
+    @cached_property
+    def nu_metrics_auc(self) -> DataFrame:
         scores = {nu_name(nu): self.ml_decision(nu) for nu in self.nus}
         return M.fold_metrics(self.scored, self.nu_preds(), "family",
                               families=self.selection_scope(), scores=scores)
 
     @cached_property
     def nu_summary(self) -> list:
-        mf = {r["candidate"]: r["macro_f1"] for r in M.macro_f1(self.nu_metrics).collect()}
-        acc = {r["candidate"]: r["benign_accuracy"]
-               for r in M.benign_acceptance(self.scored, self.nu_preds()).collect()}
-        return [{"nu": nu, "candidate": nu_name(nu), "macro_f1": mf.get(nu_name(nu), 0.0),
+        """macro-F1 and benign acceptance (= 1 - fp / n_benign) per ν, one job."""
+        rows = M.summarize(self.nu_metrics).collect()
+        by = {r["candidate"]: r for r in rows}
+        if len(by) < len(self.nus):  # no attack family: acceptance from val alone
+            acc = {r["candidate"]: r["benign_accuracy"]
+                   for r in M.benign_acceptance(self.scored, self.nu_preds()).collect()}
+        else:
+            acc = {k: r["benign_accuracy"] for k, r in by.items()}
+        return [{"nu": nu, "candidate": nu_name(nu),
+                 "macro_f1": by[nu_name(nu)]["macro_f1"] if nu_name(nu) in by else 0.0,
                  "benign_val_accuracy": acc.get(nu_name(nu))} for nu in self.nus]
 
     @cached_property
