@@ -78,9 +78,10 @@ class Forest:
     def _arrays(self):
         out = []
         for _, t in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
+            size = t["size"].to_numpy(np.float64)
+            adj = np.array([c_factor(v) for v in size])  # leaf correction c(size), per node
             out.append((t["feature"].to_numpy(np.int64), t["threshold"].to_numpy(np.float64),
-                        t["left"].to_numpy(np.int64), t["right"].to_numpy(np.int64),
-                        t["size"].to_numpy(np.float64)))
+                        t["left"].to_numpy(np.int64), t["right"].to_numpy(np.int64), adj))
         return out
 
     def score(self, df: DataFrame, out_col: str = "if_score") -> DataFrame:
@@ -91,11 +92,10 @@ class Forest:
         def run(batches):
             trees, psi = bc.value
             cpsi = c_factor(psi)
-            leaf_adj = {}
             for pdf in batches:
                 x = pdf[cols].to_numpy(dtype=np.float64)
                 total = np.zeros(len(x))
-                for feat, thr, left, right, size in trees:
+                for feat, thr, left, right, adj in trees:
                     node = np.zeros(len(x), dtype=np.int64)
                     depth = np.zeros(len(x))
                     active = feat[node] >= 0
@@ -106,9 +106,7 @@ class Forest:
                         node[ia] = np.where(go_left, left[nd], right[nd])
                         depth[ia] += 1
                         active = feat[node] >= 0
-                    sz = size[node]
-                    adj = np.array([leaf_adj.setdefault(s, c_factor(s)) for s in sz])
-                    total += depth + adj
+                    total += depth + adj[node]
                 mean_h = total / max(len(trees), 1)
                 pdf[out_col] = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else 0.5
                 yield pdf

@@ -97,6 +97,7 @@ class Preprocessor:
     corr_threshold: float = CORR_THRESHOLD
     train_share: float = BENIGN_TRAIN_FRACTION
     candidates: list[str] = field(default_factory=list)
+    corr: list[list[float | None]] = field(default_factory=list)  # Pearson r over candidates
 
     def scaled_columns(self, prefix: str = "") -> dict:
         """B7 + B8 as expressions: name -> (impute(x) - mean) / scale."""
@@ -165,8 +166,9 @@ def fit_preprocess(df: DataFrame, features: list[str], seed: int = SEED,
     means = [all_means[i] for i in idx]
     stds = [float(math.sqrt(var[i])) for i in idx]
     scales = [s if s > CONSTANT_EPS and math.isfinite(s) else 1.0 for s in stds]
+    corr_list = [[None if np.isnan(v) else float(v) for v in row] for row in np.asarray(corr)]
     prep = Preprocessor(kept, dropped, medians, means, scales, stds, n_train, n_val,
-                        seed, corr_threshold, train_share, list(features))
+                        seed, corr_threshold, train_share, list(features), corr_list)
     return prep, split_df
 
 

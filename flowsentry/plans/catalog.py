@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as Q
 from ..operators import reports as R
 from ..operators import sampling as S
-from ..operators.preprocess import correlation_frame, correlation_matrix
+from ..operators.preprocess import correlation_frame
 from ..sources.tables import (LINEITEM_FEATURES, embedding_flows, event_flows, lineitem_flows)
 from .study import Study, thr_name
 
@@ -122,10 +124,11 @@ def q_preprocess_fit(spark, sf_dir):
 
 
 def q_corr_matrix(spark, sf_dir):
-    lf = S.assign_split(lineitem_flows(spark, sf_dir), LINEITEM_FEATURES)
-    train = lf.where(F.col("split") == "train")
-    corr = correlation_matrix(train, LINEITEM_FEATURES)
-    return correlation_frame(spark, LINEITEM_FEATURES, corr).select("a", "b", _r("r").alias("r"))
+    """Pearson r of every candidate pair on the benign train rows (the
+    study's fitted Gramian; ``correlation_matrix`` computes it standalone)."""
+    prep = study(spark, sf_dir).prep
+    corr = np.array([[np.nan if v is None else v for v in row] for row in prep.corr])
+    return correlation_frame(spark, prep.candidates, corr).select("a", "b", _r("r").alias("r"))
 
 
 def q_impute_scale(spark, sf_dir):

@@ -43,7 +43,18 @@ EVENT_LABEL_POOLS = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Batch scan of one driver table.
+
+    A file written as a single row group scans as a single task, which would
+    run every per-row expression (md5 keys, label cascade) on one core.
+    When the scan yields fewer splits than the session's parallelism the
+    rows are spread round-robin first; on a cluster reading many files the
+    scan already has far more splits than cores and this never triggers."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df
 
 
 def lineitem_flows(spark: SparkSession, sf_dir: str, dirty: bool = True,
