@@ -48,11 +48,7 @@ def binary_label(clean: Column | str) -> Column:
     return F.when(F.lower(c) == F.lit(BENIGN_TEXT), 0).otherwise(1).cast("byte")
 
 
-def attack_family(clean: Column | str) -> Column:
-    """B2: coarse family; NUL characters are removed first."""
-    c = F.col(clean) if isinstance(clean, str) else clean
-    s = F.replace(c, F.lit("\x00"), F.lit(""))
-    low = F.lower(s)
+def _family_cascade(s: Column, low: Column) -> Column:
     has = low.contains
     return (
         F.when(low == F.lit("benign"), F.lit("Benign"))
@@ -67,11 +63,7 @@ def attack_family(clean: Column | str) -> Column:
     )
 
 
-def report_row_name(clean: Column | str) -> Column:
-    """Row name used by the per-class report tables."""
-    c = F.col(clean) if isinstance(clean, str) else clean
-    s = py_strip(c)
-    low = F.replace(F.lower(s), F.lit("_"), F.lit(" "))
+def _report_cascade(s: Column, low: Column) -> Column:
     has = low.contains
     return (
         F.when(low == F.lit("benign"), F.lit("Benign (Validation)"))
@@ -94,12 +86,34 @@ def report_row_name(clean: Column | str) -> Column:
     )
 
 
+def attack_family(clean: Column | str) -> Column:
+    """B2: coarse family; NUL characters are removed first."""
+    c = F.col(clean) if isinstance(clean, str) else clean
+    s = F.replace(c, F.lit("\x00"), F.lit(""))
+    return _family_cascade(s, F.lower(s))
+
+
+def report_row_name(clean: Column | str) -> Column:
+    """Row name used by the per-class report tables."""
+    c = F.col(clean) if isinstance(clean, str) else clean
+    s = py_strip(c)
+    return _report_cascade(s, F.replace(F.lower(s), F.lit("_"), F.lit(" ")))
+
+
 def with_label_columns(df: DataFrame, label_col: str = "Label", drop_raw: bool = True) -> DataFrame:
-    """Adds ``y``, ``attack_family``, ``cic_label`` and ``report_name``."""
+    """Adds ``y``, ``attack_family``, ``cic_label`` and ``report_name``.
+
+    The lower-cased texts the cascades test are materialised once as helper
+    columns, so each branch reads a column instead of repeating the string
+    functions (smaller generated code, one evaluation per row)."""
     out = df.withColumn("cic_label", clean_label(label_col))
-    out = (
-        out.withColumn("y", binary_label("cic_label"))
-        .withColumn("attack_family", attack_family("cic_label"))
-        .withColumn("report_name", report_row_name("cic_label"))
-    )
+    out = out.withColumns({
+        "_fam_s": F.replace(F.col("cic_label"), F.lit("\x00"), F.lit("")),
+        "_rep_low": F.replace(F.lower(F.col("cic_label")), F.lit("_"), F.lit(" ")),
+    }).withColumn("_fam_low", F.lower(F.col("_fam_s")))
+    out = out.withColumns({
+        "y": binary_label("cic_label"),
+        "attack_family": _family_cascade(F.col("_fam_s"), F.col("_fam_low")),
+        "report_name": _report_cascade(F.col("cic_label"), F.col("_rep_low")),
+    }).drop("_fam_s", "_fam_low", "_rep_low")
     return out.drop(label_col) if drop_raw and label_col in df.columns else out

@@ -93,13 +93,17 @@ def write_bundle(spark: SparkSession, root: str, st) -> DataFrame:
     root = root.rstrip("/")
     entries = []
 
-    def put(df: DataFrame, name: str, kind: str, fmt: str = "parquet"):
+    def put(df: DataFrame, name: str, kind: str, fmt: str = "parquet", small: bool = True):
+        """Report/model-sized tables go to one file; data-sized ones keep
+        their partitioning (never funnelled through one task)."""
         path = f"{root}/{name}"
         n = df.count()
         if fmt == "json":
             write_json(df, path)
-        else:
+        elif small:
             df.coalesce(1).write.mode("overwrite").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
         entries.append((name, kind, n))
 
     prep = st.prep
@@ -117,6 +121,36 @@ def write_bundle(spark: SparkSession, root: str, st) -> DataFrame:
                          "fusion_calibration": {k: v for k, v in st.best_fusion.items()},
                          "oc_nu": st.best_nu, "ae_threshold": st.best_thr}),
         "hybrid_results", "report", "json")
+    # Run configuration and split membership (row_id, split), never positions
+    put(document(spark, {"config": {"seed": st.seed, "corr_threshold": prep.corr_threshold,
+                                    "train_share": prep.train_share, "nu_values": list(st.nus),
+                                    "calib_fraction": st.calib_fraction, "detectors": st.detectors,
+                                    "selection_families": st.selection_families},
+                         "preprocess": {"features": prep.features, "dropped_corr_cols": prep.dropped,
+                                        "feature_impute_medians": prep.medians}}),
+        "run_config", "config", "json")
+    put(st.split_frame.where(F.col("split").isNotNull()).select("row_id", "split"), "split_membership", "split",
+        small=False)
+    # Classical results (ν search log with per-family rows)
+    per_family = st.nu_metrics.groupBy("candidate").agg(F.collect_list(F.struct(
+        "family", "accuracy", "precision", "recall", "f1_binary", "f1_macro", "fallout_fpr", "specificity",
+        "tp", "fp", "tn", "fn")).alias("per_family"))
+    put(per_family, "classical_results", "report", "json")
+    # Threshold search log of the reconstruction detector
+    put(spark.createDataFrame([(r["threshold"], r["macro_f1"]) for r in st.thr_summary],
+                              "threshold double, macro_f1 double"), "dl_threshold_grid", "report", "json")
+    if st.detectors == "learned":
+        oc, ae = st.oc_model, st.ae_model
+        put(spark.createDataFrame([(oc.rff.W.ravel().tolist(), list(oc.rff.W.shape), oc.rff.b.tolist(),
+                                    oc.w.tolist(), list(oc.cols))],
+                                  "W array<double>, W_shape array<int>, b array<double>, w array<double>, "
+                                  "cols array<string>"), "oc_model", "ml_model")
+        put(spark.createDataFrame([(i, p.ravel().tolist(), list(p.shape)) for i, p in enumerate(ae.params)],
+                                  "layer int, values array<double>, shape array<int>"), "ae_params", "dl_model")
+        put(spark.createDataFrame([(list(ae.dims), list(ae.cols))], "dims array<int>, cols array<string>"),
+            "ae_arch", "dl_model", "json")
+        put(spark.createDataFrame(st.ae_trials, "h1 int, h2 int, h3 int, lr double, weight_decay double, "
+                                  "best_val_mse_mean double, epochs_run int"), "dl_results", "report", "json")
     manifest = spark.createDataFrame(entries, "path string, kind string, rows long")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
     return manifest
