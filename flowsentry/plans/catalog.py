@@ -131,6 +131,42 @@ def q_corr_matrix(spark, sf_dir):
     return correlation_frame(spark, prep.candidates, corr).select("a", "b", _r("r").alias("r"))
 
 
+def q_corr_prune(spark, sf_dir):
+    """Which candidate features the greedy upper-triangle rule drops."""
+    prep = study(spark, sf_dir).prep
+    rows = [(f, f in prep.dropped) for f in prep.candidates]
+    return spark.createDataFrame(rows, "feature string, dropped boolean")
+
+
+def q_fit_medians(spark, sf_dir):
+    """Median of every kept feature over the benign train rows."""
+    prep = study(spark, sf_dir).prep
+    return spark.createDataFrame(list(zip(prep.features, prep.medians)), "feature string, median double").select(
+        "feature", _r("median").alias("median"))
+
+
+def q_fit_scaler(spark, sf_dir):
+    """Mean and population std (scale 1 for constant columns)."""
+    prep = study(spark, sf_dir).prep
+    rows = list(zip(prep.features, prep.means, prep.stds, prep.scales))
+    return spark.createDataFrame(rows, "feature string, mean double, std double, scale double").select(
+        "feature", _r("mean").alias("mean"), _r("std").alias("std"), _r("scale").alias("scale"))
+
+
+def q_reindex_impute(spark, sf_dir):
+    """B6 + B7: a frame that lacks one fitted feature (``tax``) and carries an
+    extra column is reindexed to the fitted list; absent and missing values
+    take the fitted medians."""
+    from ..functions.expr import impute, reindex
+    prep = study(spark, sf_dir).prep
+    other = lineitem_flows(spark, sf_dir).drop("tax").withColumn("extra", F.lit(1.0))
+    re = reindex(other, prep.features, keep=["row_id"])
+    long = re.select("row_id", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), impute(f, m).alias("value"))
+        for f, m in zip(prep.features, prep.medians)])).alias("s"))
+    return long.select("row_id", "s.feature", _r("s.value").alias("value"))
+
+
 def q_impute_scale(spark, sf_dir):
     st = study(spark, sf_dir)
     long = st.scaled.select("row_id", "split", F.explode(F.array(*[
@@ -332,6 +368,10 @@ def sql_queries() -> dict[str, Query]:
         "preprocess_fit": q_preprocess_fit,
         "corr_matrix": q_corr_matrix,
         "impute_scale": q_impute_scale,
+        "corr_prune": q_corr_prune,
+        "fit_medians": q_fit_medians,
+        "fit_scaler": q_fit_scaler,
+        "reindex_impute": q_reindex_impute,
         "fold_confusion": q_fold_confusion,
         "fold_metrics": q_fold_metrics,
         "fold_auc": q_fold_auc,

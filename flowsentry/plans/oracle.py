@@ -406,6 +406,20 @@ SELECT row_id, src_file, y FROM r, q WHERE rn <= CASE WHEN y = 0 THEN qb ELSE qa
         for i, f in enumerate(FEATS))
     out["impute_scale"] = base() + " " + zl
 
+    out["corr_prune"] = base() + " " + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, k_{i} = 0 AS dropped FROM keep_t" for i, f in enumerate(FEATS))
+    out["fit_medians"] = base() + " " + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, round(med_{i}, 6) AS median FROM stats_m, keep_t WHERE k_{i} = 1"
+        for i, f in enumerate(FEATS))
+    out["fit_scaler"] = base() + " " + " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, round(mu_{i}, 6) AS mean, round(sd_{i}, 6) AS std,
+  round(CASE WHEN sd_{i} > 0 THEN sd_{i} ELSE 1.0 END, 6) AS scale FROM stats_s, keep_t WHERE k_{i} = 1"""
+        for i, f in enumerate(FEATS))
+    # reindex: the frame lacks 'tax' (all missing -> median); kept features only
+    out["reindex_impute"] = base() + " " + " UNION ALL ".join(
+        f"SELECT lf.row_id, '{f}' AS feature, round(coalesce({'NULL::DOUBLE' if f == 'tax' else 'lf.' + f}, med_{i}), 6)"
+        f" AS value FROM lf, stats_m, keep_t WHERE k_{i} = 1" for i, f in enumerate(FEATS))
+
     q95 = "(SELECT quantile_cont(ae, 0.95) FROM scored WHERE split = 'val')"
     fc = base() + ",\n" + counts_cte("c", {"ae_q95": f"ae > {q95}"})
     out["fold_confusion"] = fc + " SELECT family, n_benign, fp, n_attack, tp FROM c"
