@@ -29,6 +29,13 @@ def clean_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f: nonfinite_to_null(f) for f in features})
 
 
+def narrow_float32(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Optional float32 narrowing at the boundary (features stay double
+    by default; narrowing halves cached/shuffled bytes when exactness to
+    float32 is acceptable)."""
+    return df.withColumns({f: F.col(f).cast("float") for f in features})
+
+
 def reindex(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Exactly ``features`` in order; absent ones become null, extras drop."""
     present = set(df.columns)

@@ -82,6 +82,17 @@ def q_drop_missing_benign(spark, sf_dir):
                                F.count("split").alias("n_complete_benign"))
 
 
+def q_row_counts(spark, sf_dir):
+    """Rows loaded, benign, benign kept after dropping incomplete rows,
+    train and validation, in one conditional aggregate."""
+    lf = S.assign_split(lineitem_flows(spark, sf_dir), LINEITEM_FEATURES)
+    return lf.agg(F.count(F.lit(1)).alias("loaded"),
+                  F.count_if(F.col("y") == 0).alias("benign"),
+                  F.count("split").alias("benign_complete"),
+                  F.count_if(F.col("split") == "train").alias("train"),
+                  F.count_if(F.col("split") == "val").alias("val"))
+
+
 # ---------------------------------------------------------------- sampling
 QUOTA_TOTAL = 20_000
 QUOTA_BENIGN_FRACTION = 0.65
@@ -361,6 +372,7 @@ def sql_queries() -> dict[str, Query]:
         "report_name_counts": q_report_name_counts,
         "clean_nonfinite": q_clean_nonfinite,
         "drop_missing_benign": q_drop_missing_benign,
+        "row_counts": q_row_counts,
         "quota_sample": q_quota_sample,
         "train_val_split": q_train_val_split,
         "fit_sample_topk": q_fit_sample_topk,

@@ -379,6 +379,9 @@ SELECT feature, count(*) AS n_rows, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) A
     out["drop_missing_benign"] = sp + """
 SELECT y, count(*) AS n_rows, count(split) AS n_complete_benign FROM sp GROUP BY y"""
     out["train_val_split"] = sp + " SELECT row_id, split FROM sp WHERE split IS NOT NULL"
+    out["row_counts"] = sp + """
+SELECT count(*) AS loaded, count(*) FILTER (WHERE y = 0) AS benign, count(split) AS benign_complete,
+       count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val FROM sp"""
     out["fit_sample_topk"] = sp + f"""
 SELECT row_id FROM sp WHERE split = 'train' ORDER BY {_md5_bits('row_id', 'fit42')}, row_id LIMIT 10000"""
     out["quota_sample"] = lf + f""",

@@ -136,6 +136,13 @@ def write_bundle(spark: SparkSession, root: str, st) -> DataFrame:
         "family", "accuracy", "precision", "recall", "f1_binary", "f1_macro", "fallout_fpr", "specificity",
         "tp", "fp", "tn", "fn")).alias("per_family"))
     put(per_family, "classical_results", "report", "json")
+    # Report tables as CSV (Table 2 and both Table 3 variants)
+    from ..operators.reports import ae_table, class_by_nu_table
+    for name, tbl in (("table2_accuracy_by_nu", class_by_nu_table(st)),
+                      ("table3_accuracy", ae_table(st, "accuracy")),
+                      ("table3_f1macro", ae_table(st, "f1_macro"))):
+        write_csv(tbl, f"{root}/{name}")
+        entries.append((name, "report_csv", tbl.count()))
     # Threshold search log of the reconstruction detector
     put(spark.createDataFrame([(r["threshold"], r["macro_f1"]) for r in st.thr_summary],
                               "threshold double, macro_f1 double"), "dl_threshold_grid", "report", "json")

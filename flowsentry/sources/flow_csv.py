@@ -15,7 +15,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import nonfinite_to_null
+from ..functions.expr import narrow_float32, nonfinite_to_null
 from ..functions.labels import with_label_columns
 
 # Fixed capture file names of the reference data set (the completeness check).
@@ -72,7 +72,8 @@ def _as_number(c: str):
 
 
 def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None = CAPTURE_FILES,
-                  check: bool = True, key_col: str | None = None) -> tuple[DataFrame, list[str]]:
+                  check: bool = True, key_col: str | None = None,
+                  float32: bool = False) -> tuple[DataFrame, list[str]]:
     """Returns (flow frame, feature names).
 
     ``files`` names the capture files under ``data_dir`` (checked for
@@ -103,4 +104,6 @@ def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None =
     flows = raw.select(row_id.alias("row_id"), "src_file",
                        *[nonfinite_to_null(_as_number(c)).alias(c) for c in features],
                        label.alias(LABEL))
+    if float32:
+        flows = narrow_float32(flows, features)
     return with_label_columns(flows, LABEL), features
