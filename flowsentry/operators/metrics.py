@@ -29,7 +29,7 @@ from ..session import cut_lineage
 
 METRIC_COLUMNS = ["accuracy", "recall", "precision", "f1_binary", "f1_macro",
                   "specificity", "fallout_fpr", "roc_auc"]
-WINDOW_ROWS = 2_000_000  # running sums over fewer points use a plain window
+WINDOW_ROWS = 100_000  # running sums over fewer points use a plain (single-task) window
 
 
 def eval_rows(df: DataFrame, split_col: str = "split") -> DataFrame:
@@ -150,7 +150,7 @@ def benign_acceptance(df: DataFrame, preds: Mapping[str, Column], split_col: str
 
 # ------------------------------------------------------------------ AUC
 def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_col: str,
-                n_rows: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                n_rows: int | None = None, window_rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value_col`` in global ``order_cols`` order.
 
     Small inputs use a plain window.  Large inputs never funnel through one
@@ -158,6 +158,8 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_co
     reliable checkpoint (range bounds are sampled, a recompute could move
     rows), collect one total per partition (bounded by the partition count),
     and add each partition's offset in a local pandas cumsum."""
+    if window_rows is None:
+        window_rows = WINDOW_ROWS
     if n_rows is None:
         n_rows = df.count()
     if n_rows <= window_rows:
