@@ -50,12 +50,12 @@ def _metric_frame(m: DataFrame, extra: list[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------- labels
 def q_label_binary(spark, sf_dir):
     ev = event_flows(spark, sf_dir)
-    return ev.select("row_id", "cic_label", "y", "attack_family", "report_name")
+    return ev.select("row_id", "cic_label", F.col("y").cast("int").alias("y"), "attack_family", "report_name")
 
 
 def q_family_counts(spark, sf_dir):
     ev = event_flows(spark, sf_dir)
-    return ev.groupBy("attack_family", "y").agg(F.count(F.lit(1)).alias("n"))
+    return ev.groupBy("attack_family", F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_report_name_counts(spark, sf_dir):
@@ -78,7 +78,7 @@ def q_clean_nonfinite(spark, sf_dir):
 
 def q_drop_missing_benign(spark, sf_dir):
     lf = S.assign_split(lineitem_flows(spark, sf_dir), LINEITEM_FEATURES)
-    return lf.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"),
+    return lf.groupBy(F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n_rows"),
                                F.count("split").alias("n_complete_benign"))
 
 
@@ -101,7 +101,7 @@ QUOTA_BENIGN_FRACTION = 0.65
 def q_quota_sample(spark, sf_dir):
     lf = lineitem_flows(spark, sf_dir)
     s = S.quota_sample(lf, QUOTA_TOTAL, QUOTA_BENIGN_FRACTION, seed=S.SEED)
-    return s.select("row_id", "src_file", "y")
+    return s.select("row_id", "src_file", F.col("y").cast("int").alias("y"))
 
 
 def q_train_val_split(spark, sf_dir):
@@ -359,7 +359,7 @@ def q_recon_error(spark, sf_dir):
     cen = em.where(F.col("split") == "train").select(
         F.array(*[F.avg(F.col("features")[i]) for i in range(dim)]).alias("xhat"))
     scored = em.join(F.broadcast(cen), on=F.lit(True), how="left")
-    return scored.select("row_id", "y", _r(recon_mse("features", "xhat")).alias("mse"))
+    return scored.select("row_id", F.col("y").cast("int").alias("y"), _r(recon_mse("features", "xhat")).alias("mse"))
 
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -164,9 +164,9 @@ def counts_cte(name: str, preds: dict[str, str], families: list[str] | None = No
     for cand, pred in preds.items():
         parts.append(f"""SELECT {_lit(cand)} AS candidate, a.family, coalesce(b.n_benign, 0) AS n_benign,
   coalesce(b.fp, 0) AS fp, a.n_attack, a.tp FROM
-  (SELECT family, count(*) AS n_attack, sum(CASE WHEN {pred} THEN 1 ELSE 0 END) AS tp
+  (SELECT family, count(*) AS n_attack, CAST(sum(CASE WHEN {pred} THEN 1 ELSE 0 END) AS BIGINT) AS tp
      FROM scored WHERE y = 1{fam_filter} GROUP BY family) a
-  LEFT JOIN (SELECT count(*) AS n_benign, sum(CASE WHEN {pred} THEN 1 ELSE 0 END) AS fp
+  LEFT JOIN (SELECT count(*) AS n_benign, CAST(sum(CASE WHEN {pred} THEN 1 ELSE 0 END) AS BIGINT) AS fp
      FROM scored WHERE y = 0 AND split = 'val') b ON TRUE""")
     return f"{name} AS (" + "\nUNION ALL\n".join(parts) + ")"
 
@@ -252,9 +252,9 @@ grid AS (SELECT DISTINCT round(CAST(t AS DOUBLE), 8) AS t FROM ({fixed} UNION {q
 thr_cnt AS (SELECT g.t AS threshold, a.family, coalesce(b.n_benign, 0) AS n_benign, coalesce(b.fp, 0) AS fp,
     a.n_attack, a.tp
   FROM grid g,
-  LATERAL (SELECT family, count(*) AS n_attack, sum(CASE WHEN ae > g.t THEN 1 ELSE 0 END) AS tp
+  LATERAL (SELECT family, count(*) AS n_attack, CAST(sum(CASE WHEN ae > g.t THEN 1 ELSE 0 END) AS BIGINT) AS tp
            FROM scored WHERE y = 1 GROUP BY family) a
-  LEFT JOIN LATERAL (SELECT count(*) AS n_benign, sum(CASE WHEN ae > g.t THEN 1 ELSE 0 END) AS fp
+  LEFT JOIN LATERAL (SELECT count(*) AS n_benign, CAST(sum(CASE WHEN ae > g.t THEN 1 ELSE 0 END) AS BIGINT) AS fp
            FROM scored WHERE y = 0 AND split = 'val') b ON TRUE),
 thr_c2 AS (SELECT CAST(threshold AS VARCHAR) AS candidate, threshold, family, n_benign, fp, n_attack, tp FROM thr_cnt),
 {metrics_cte('thr_m0', 'thr_c2')},
@@ -282,10 +282,10 @@ fthr AS (SELECT w.ord, w.w_svm, w.w_ae, {q!r}::DOUBLE AS thr_quantile,
 fus_cnt AS (SELECT f.ord, a.family, coalesce(b.n_benign, 0) AS n_benign, coalesce(b.fp, 0) AS fp, a.n_attack, a.tp
   FROM fthr f,
   LATERAL (SELECT family, count(*) AS n_attack,
-                  sum(CASE WHEN f.w_svm * z_svm + f.w_ae * z_ae > f.thr THEN 1 ELSE 0 END) AS tp
+                  CAST(sum(CASE WHEN f.w_svm * z_svm + f.w_ae * z_ae > f.thr THEN 1 ELSE 0 END) AS BIGINT) AS tp
            FROM zs WHERE y = 1 AND family IN (SELECT family FROM calib) GROUP BY family) a
   LEFT JOIN LATERAL (SELECT count(*) AS n_benign,
-                  sum(CASE WHEN f.w_svm * z_svm + f.w_ae * z_ae > f.thr THEN 1 ELSE 0 END) AS fp
+                  CAST(sum(CASE WHEN f.w_svm * z_svm + f.w_ae * z_ae > f.thr THEN 1 ELSE 0 END) AS BIGINT) AS fp
            FROM zs WHERE y = 0 AND split = 'val') b ON TRUE),
 fus_c2 AS (SELECT CAST(ord AS VARCHAR) AS candidate, * EXCLUDE (ord) FROM fus_cnt),
 {metrics_cte('fus_m', 'fus_c2')},
@@ -330,8 +330,8 @@ abl_pts AS (
          FROM zs, best_fus b WHERE (y = 0 AND split = 'val') OR (y = 1 AND {tf})),
 abl_cnt AS (SELECT a.model AS candidate, a.family, coalesce(b.n_benign, 0) AS n_benign, coalesce(b.fp, 0) AS fp,
                    a.n_attack, a.tp
-  FROM (SELECT model, family, count(*) AS n_attack, sum(pred) AS tp FROM abl_pts WHERE y = 1 GROUP BY ALL) a
-  LEFT JOIN (SELECT model, count(*) AS n_benign, sum(pred) AS fp FROM abl_pts WHERE y = 0 GROUP BY ALL) b
+  FROM (SELECT model, family, count(*) AS n_attack, CAST(sum(pred) AS BIGINT) AS tp FROM abl_pts WHERE y = 1 GROUP BY ALL) a
+  LEFT JOIN (SELECT model, count(*) AS n_benign, CAST(sum(pred) AS BIGINT) AS fp FROM abl_pts WHERE y = 0 GROUP BY ALL) b
   USING (model)),
 {metrics_cte('abl_m0', 'abl_cnt')},
 abl_auc AS (
@@ -368,12 +368,12 @@ def oracle_sql() -> dict[str, str]:
     ev = events_ctes()
     out["label_binary"] = ev + " SELECT row_id, cic_label, y, attack_family, report_name FROM ev"
     out["family_counts"] = ev + " SELECT attack_family, y, count(*) AS n FROM ev GROUP BY ALL"
-    out["report_name_counts"] = ev + " SELECT report_name, count(*) AS n, sum(y) AS n_attack FROM ev GROUP BY ALL"
+    out["report_name_counts"] = ev + " SELECT report_name, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_attack FROM ev GROUP BY ALL"
 
     lf = "WITH " + lineitem_ctes()
     unp = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x FROM lf" for f in FEATS)
     out["clean_nonfinite"] = lf + f""", u AS ({unp})
-SELECT feature, count(*) AS n_rows, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS n_missing,
+SELECT feature, count(*) AS n_rows, CAST(sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
        round(sum(x), 2) AS total FROM u GROUP BY feature"""
     sp = "WITH " + lineitem_ctes() + "," + split_ctes()
     out["drop_missing_benign"] = sp + """
