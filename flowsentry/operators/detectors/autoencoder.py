@@ -2,13 +2,13 @@
 between layers, linear output), trained on the cluster without torch.
 
 One Spark job per epoch: the parameters and Adam moments are broadcast, each
-partition runs Adam minibatch steps (batch 1024, MSE loss, L2 added to the
+training partition runs Adam minibatch steps (batch 1024, MSE loss, L2 added to the
 gradient) over its rows in md5(row_id, epoch) order, and returns its
 parameters, moments and row count; the driver averages them weighted by rows
 (parameter averaging).  Partitions are hash(row_id) buckets, so a run is
 reproducible for a fixed partition count; one partition is plain sequential
-minibatch Adam.  The best epoch is kept by mean validation MSE, computed by
-a distributed aggregate.  Scoring is a ``mapInPandas`` forward pass per
+minibatch Adam.  The best epoch is kept by mean validation MSE; validation
+partitions are scored inside the next epoch's job (same broadcast state).  Scoring is a ``mapInPandas`` forward pass per
 Arrow batch with broadcast weights.
 """
 
@@ -144,7 +144,11 @@ def train(train_df: DataFrame, val_df: DataFrame, cols: list[str], arch: tuple[i
     val = val_df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     b1, b2 = BETAS
     best_val, best_params, history = float("inf"), None, []
-    for epoch in range(epochs):
+    schema = "kind string, n long, steps long, sse double, p array<double>, m array<double>, v array<double>"
+    # One job per epoch: training partitions step from the broadcast state while
+    # validation partitions score that same state (the previous epoch's
+    # average), so epoch e's validation MSE rides along with epoch e+1.
+    for epoch in range(epochs + 1):
         bc = sc.broadcast((_flat(params), _flat(m), _flat(v), t))
 
         def run(batches, bc=bc):
@@ -165,24 +169,44 @@ def train(train_df: DataFrame, val_df: DataFrame, cols: list[str], arch: tuple[i
                 steps += 1
                 _adam_step(P, Mo, Vo, _grads(P, buf), t0 + steps, lr, weight_decay, b1, b2)
                 n += len(buf)
-            yield pd.DataFrame({"n": [n], "steps": [steps], "p": [_flat(P).tolist()],
-                                "m": [_flat(Mo).tolist()], "v": [_flat(Vo).tolist()]})
+            yield pd.DataFrame({"kind": ["train"], "n": [n], "steps": [steps], "sse": [0.0],
+                                "p": [_flat(P).tolist()], "m": [_flat(Mo).tolist()], "v": [_flat(Vo).tolist()]})
 
-        ordered = base.sortWithinPartitions(hash_bits("row_id", f"ae{seed}:{epoch}"))
-        res = ordered.mapInPandas(run, "n long, steps long, p array<double>, m array<double>, v array<double>")
-        rows = [r for r in res.collect() if r["n"] > 0]
-        if not rows:
+        def score(batches, bc=bc):
+            p_vec = bc.value[0]
+            P = _unflat(p_vec, [np.zeros(s) for s in shapes])
+            sse, n = 0.0, 0
+            for pdf in batches:
+                x = pdf[cols].to_numpy(dtype=np.float64)
+                if len(x):
+                    sse += float(recon_mse(P, x).sum())
+                    n += len(x)
+            yield pd.DataFrame({"kind": ["val"], "n": [n], "steps": [0], "sse": [sse],
+                                "p": [[]], "m": [[]], "v": [[]]})
+
+        parts_out = []
+        if epoch < epochs:
+            ordered = base.sortWithinPartitions(hash_bits("row_id", f"ae{seed}:{epoch}"))
+            parts_out.append(ordered.select(*cols).mapInPandas(run, schema))
+        if epoch > 0:
+            parts_out.append(val.mapInPandas(score, schema))
+        rows = parts_out[0].unionByName(parts_out[1]).collect() if len(parts_out) == 2 else parts_out[0].collect()
+        if epoch > 0:
+            vrows = [r for r in rows if r["kind"] == "val"]
+            n_val = sum(r["n"] for r in vrows)
+            val_mse = sum(r["sse"] for r in vrows) / n_val if n_val else float("inf")
+            history.append(val_mse)
+            if val_mse < best_val:
+                best_val, best_params = val_mse, [p.copy() for p in params]
+        trows = [r for r in rows if r["kind"] == "train" and r["n"] > 0]
+        if epoch == epochs or not trows:
             break
-        w = np.array([r["n"] for r in rows], dtype=np.float64)
+        w = np.array([r["n"] for r in trows], dtype=np.float64)
         w /= w.sum()
-        params = _unflat(sum(wi * np.asarray(r["p"]) for wi, r in zip(w, rows)), params)
-        m = _unflat(sum(wi * np.asarray(r["m"]) for wi, r in zip(w, rows)), m)
-        v = _unflat(sum(wi * np.asarray(r["v"]) for wi, r in zip(w, rows)), v)
-        t += max(r["steps"] for r in rows)
-        val_mse = mean_mse(val, cols, params)
-        history.append(val_mse)
-        if val_mse < best_val:
-            best_val, best_params = val_mse, [p.copy() for p in params]
+        params = _unflat(sum(wi * np.asarray(r["p"]) for wi, r in zip(w, trows)), params)
+        m = _unflat(sum(wi * np.asarray(r["m"]) for wi, r in zip(w, trows)), m)
+        v = _unflat(sum(wi * np.asarray(r["v"]) for wi, r in zip(w, trows)), v)
+        t += max(r["steps"] for r in trows)
     base.unpersist()
     val.unpersist()
     if best_params is None:

@@ -346,7 +346,9 @@ def q_val_membership(spark, sf_dir):
     """Rows of the flow table that belong to the validation split (semi join
     against the saved split membership)."""
     lf = lineitem_flows(spark, sf_dir)
-    members = S.assign_split(lf, LINEITEM_FEATURES).where(F.col("split") == "val").select("row_id")
+    # distinct keys first: exact duplicate rows share a row_id, so a hot key
+    # meets one build row instead of all its copies
+    members = S.assign_split(lf, LINEITEM_FEATURES).where(F.col("split") == "val").select("row_id").distinct()
     return lf.join(members, "row_id", "left_semi").groupBy("report_name").agg(
         F.count(F.lit(1)).alias("n"))
 
