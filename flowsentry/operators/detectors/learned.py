@@ -7,8 +7,6 @@ fit-row cap (D4) applies to the one-class fit only, as in the reference.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +39,3 @@ def learned_scores(st) -> DataFrame:
     out = oc.score(scaled, "ml_raw")
     out = best[0].score(out, "ae")
     return out.select("row_id", "y", "family", "split", "ml_raw", "ae", *cols)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -118,12 +118,15 @@ def q_fit_sample_topk(spark, sf_dir):
 
 
 def q_calib_test_families(spark, sf_dir):
+    """D5 + H3/J6: calibration families from the seeded permutation; the test
+    families are the set difference (left anti join against calibration)."""
     st = study(spark, sf_dir)
-    cal, test = st.family_roles
-    rows = [(f, "calibration") for f in cal] + [(f, "test") for f in test]
+    cal, _ = st.family_roles
     fams = st.scored.where(F.col("y") == 1).groupBy("family").agg(F.count(F.lit(1)).alias("n_attack"))
-    roles = spark.createDataFrame(rows, "family string, role string")
-    return fams.join(F.broadcast(roles), "family", "left")
+    cal_df = F.broadcast(spark.createDataFrame([(f,) for f in cal], "family string"))
+    calib = fams.join(cal_df, "family", "left_semi").withColumn("role", F.lit("calibration"))
+    test = fams.join(cal_df, "family", "left_anti").withColumn("role", F.lit("test"))
+    return calib.unionByName(test)
 
 
 # ---------------------------------------------------------------- preprocessing

@@ -29,7 +29,7 @@ from ..operators.detectors.simple import fit_boundaries, zmax, zsq
 from ..operators.preprocess import Preprocessor, fit_preprocess
 from ..session import cut_lineage
 from ..operators.sampling import (AE_THR_QUANTILES, FUSION_Q, PAPER_MSE_THRESHOLDS, SEED,
-                                  SVM_NU_VALUES, family_column, fusion_weight_grid,
+                                  SVM_NU_VALUES, attack_families, family_column, fusion_weight_grid,
                                   split_families, threshold_grid)
 
 ROBUST_EPS = 1e-9
@@ -57,6 +57,9 @@ def first_best(rows: list, key: str, maximize: bool = True):
 
 @dataclass
 class Study:
+    """``learned_options`` (detectors="learned"): ``rff_components`` (512),
+    ``oc_fit_rows`` (None = all benign train rows; an int caps the one-class
+    fit by md5 rank), ``ae_trials`` (2), ``ae_epochs`` (8)."""
     flows: DataFrame
     features: list[str]
     seed: int = SEED
@@ -200,7 +203,7 @@ class Study:
     # ------------------------------------------------------------ fusion
     @cached_property
     def families(self) -> list[str]:
-        return sorted(r[0] for r in self.scored.where(F.col("y") == 1).select("family").distinct().collect())
+        return attack_families(self.scored, "family")
 
     @cached_property
     def family_roles(self) -> tuple[list[str], list[str]]:

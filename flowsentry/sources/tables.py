@@ -21,8 +21,6 @@ from ..functions.hashing import hash_bucket
 from ..functions.labels import with_label_columns
 
 LINEITEM_FEATURES = ["qty", "price", "disc", "tax", "net", "gross"]
-EVENT_FEATURES = ["value"]
-META_COLUMNS = ["y", "attack_family", "cic_label", "report_name"]
 
 # Fixed label texts given to lineitem return-flag/line-status groups.
 LINEITEM_LABELS = {

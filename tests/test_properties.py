@@ -69,3 +69,17 @@ def test_hybrid_workflow_expression_detectors(spark):
     for r in rows:
         assert r["macro_f1"] == pytest.approx(r["mean_fold_f1_macro"])
         assert r["mean_fold_fallout_fpr"] == pytest.approx(1 - r["mean_fold_specificity"])
+
+
+def test_classical_and_deep_workflows(spark):
+    from flowsentry.plans.runs import run_classical, run_deep
+    from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
+    from tests.conftest import SF_SMALL
+    opts = {"rff_components": 64, "ae_epochs": 2, "ae_trials": 1}
+    flows = lineitem_flows(spark, SF_SMALL)
+    c = run_classical(flows, LINEITEM_FEATURES, **opts)
+    assert c.tables["svm_search"].count() == 3
+    assert c.tables["iforest_per_family"].count() == c.tables["svm_per_family"].count() > 0
+    d = run_deep(flows, LINEITEM_FEATURES, **opts)
+    assert d.tables["ae_trials"].count() == 1
+    assert d.tables["per_family_best"].count() > 0
