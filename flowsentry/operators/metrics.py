@@ -8,8 +8,9 @@ grouped aggregate computes, for every candidate predicate at once:
 * the benign-validation row: n_benign and flagged counts (fp), and
 * one row per attack family: n_attack and flagged counts (tp).
 
-The single benign row is broadcast (size bound: exactly one row) onto the
-family rows.  Everything after that is arithmetic on counts.
+The benign row is attached to the family rows by a window over that
+(#families + 1)-row aggregate, so the data is scanned and shuffled once.
+Everything after that is arithmetic on counts.
 
 Exact ROC-AUC (E7) is a rank sum with ties counted half:
     AUC = sum_attack( #benign below + 1/2 #benign equal ) / (n_b * n_a)
@@ -52,11 +53,13 @@ def fold_counts(df: DataFrame, preds: Mapping[str, Column], family_col: str,
     aggs = [F.count(F.lit(1)).alias("n")] + [
         F.sum(preds[k].cast("long")).alias(f"c{i}") for i, k in enumerate(names)]
     g = ev.groupBy(F.col("y"), fam.alias("family")).agg(*aggs)
-    benign = g.where(F.col("y") == 0).select(
-        F.col("n").alias("n_benign"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(len(names))])
-    attack = g.where(F.col("y") == 1).drop("y")
-    # the benign side is one aggregated row: a broadcast nested-loop join is safe
-    j = attack.join(F.broadcast(benign), on=F.lit(True), how="left")
+    # g has (#families + 1) rows; the benign row's counts are attached to every
+    # family row with a window over that tiny table, so the data is scanned
+    # and shuffled once (a self-join would re-run the aggregate per branch)
+    whole = Window.partitionBy()
+    benign_of = lambda c: F.max(F.when(F.col("y") == 0, F.col(c))).over(whole)
+    j = g.select("*", benign_of("n").alias("n_benign"),
+                 *[benign_of(f"c{i}").alias(f"b{i}") for i in range(len(names))]).where(F.col("y") == 1)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(k).alias("candidate"), F.col(f"c{i}").alias("tp"), F.col(f"b{i}").alias("fp"))
         for i, k in enumerate(names)]))
