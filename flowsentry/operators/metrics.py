@@ -30,7 +30,7 @@ from ..session import cut_lineage
 
 METRIC_COLUMNS = ["accuracy", "recall", "precision", "f1_binary", "f1_macro",
                   "specificity", "fallout_fpr", "roc_auc"]
-WINDOW_ROWS = 100_000  # running sums over fewer points use a plain (single-task) window
+WINDOW_ROWS = 1_000_000  # running sums over fewer points use a plain (single-task, bounded) window
 
 
 def eval_rows(df: DataFrame, split_col: str = "split") -> DataFrame:
