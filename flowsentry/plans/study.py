@@ -59,7 +59,12 @@ def first_best(rows: list, key: str, maximize: bool = True):
 class Study:
     """``learned_options`` (detectors="learned"): ``rff_components`` (512),
     ``oc_fit_rows`` (None = all benign train rows; an int caps the one-class
-    fit by md5 rank), ``ae_trials`` (2), ``ae_epochs`` (8)."""
+    fit by md5 rank), ``ae_trials`` (2), ``ae_epochs`` (8).
+
+    ``scorers`` (U2, detectors="custom"): {"ml": f, "ae": g} where each
+    function maps the list of scaled feature column names to a score Column
+    (any built-in expression or a pandas UDF over those columns); higher
+    means more anomalous."""
     flows: DataFrame
     features: list[str]
     seed: int = SEED
@@ -68,6 +73,7 @@ class Study:
     calib_fraction: float = 0.5
     selection_families: str = "all"   # reference behaviour; or "calibration"
     learned_options: dict = field(default_factory=dict)
+    scorers: dict | None = None
 
     # ------------------------------------------------------------ fitting
     cache_flows: bool = True
@@ -114,6 +120,10 @@ class Study:
         if self.detectors == "learned":
             from ..operators.detectors.learned import learned_scores
             out = learned_scores(self)
+        elif self.detectors == "custom":
+            out = self.scaled.select("row_id", "y", "family", "split", *self.zcols,
+                                     self.scorers["ml"](self.zcols).alias("ml_raw"),
+                                     self.scorers["ae"](self.zcols).alias("ae"))
         else:
             out = self.scaled.select("row_id", "y", "family", "split", *self.zcols,
                                      zmax(self.zcols).alias("ml_raw"), zsq(self.zcols).alias("ae"))

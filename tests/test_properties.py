@@ -83,3 +83,26 @@ def test_classical_and_deep_workflows(spark):
     d = run_deep(flows, LINEITEM_FEATURES, **opts)
     assert d.tables["ae_trials"].count() == 1
     assert d.tables["per_family_best"].count() > 0
+
+
+def test_user_scorers_plug_in(spark):
+    """A pandas UDF and a plain expression as the two detectors."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from flowsentry.plans.study import Study
+    from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
+    from tests.conftest import SF_SMALL
+
+    @pandas_udf("double")
+    def l1(*cols: pd.Series) -> pd.Series:
+        return sum(c.abs() for c in cols)
+
+    st = Study(lineitem_flows(spark, SF_SMALL), LINEITEM_FEATURES, detectors="custom",
+               scorers={"ml": lambda zc: l1(*[F.col(c) for c in zc]),
+                        "ae": lambda zc: F.greatest(*[F.abs(F.col(c)) for c in zc])})
+    rows = st.ablation_summary().collect()
+    assert len(rows) == 3
+    train = st.scored.where("split = 'train'")
+    share = train.select(F.avg((st.ml_decision(0.2) > 0).cast("double"))).first()[0]
+    assert share == pytest.approx(0.2, abs=0.01)
