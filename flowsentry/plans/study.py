@@ -134,8 +134,8 @@ class Study:
 
     @cached_property
     def counts(self) -> dict:
-        rows = self.scored.groupBy("split").count().collect()
-        return {r["split"]: r["count"] for r in rows}
+        """Benign split sizes, known from the fit (no extra job)."""
+        return {"train": self.prep.n_train, "val": self.prep.n_val}
 
     # ------------------------------------------------------------ ML side
     @cached_property
