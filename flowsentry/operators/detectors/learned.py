@@ -23,7 +23,8 @@ def learned_scores(st) -> DataFrame:
     train = scaled.where(F.col("split") == "train")
     val = scaled.where(F.col("split") == "val")
     oc_train = fit_sample(train, opts.get("oc_fit_rows"), st.seed)
-    oc = OC.fit(oc_train, cols, n_components=opts.get("rff_components", OC.N_FEATURES_DEFAULT), seed=st.seed)
+    oc = OC.fit(oc_train, cols, n_components=opts.get("rff_components", OC.N_FEATURES_DEFAULT), seed=st.seed,
+                nus=tuple(st.nus), iterations=opts.get("oc_iterations", 0))
     trials = []
     best = None
     for arch, lr, wd in ae_draws(opts.get("ae_trials", 2), st.seed):
@@ -38,4 +39,4 @@ def learned_scores(st) -> DataFrame:
     st.ae_model = best[0]
     out = oc.score(scaled, "ml_raw")
     out = best[0].score(out, "ae")
-    return out.select("row_id", "y", "family", "split", "ml_raw", "ae", *cols)
+    return out.select("row_id", "y", "family", "split", *oc.out_cols("ml_raw"), "ae", *cols)

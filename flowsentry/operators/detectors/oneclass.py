@@ -10,8 +10,11 @@ combined by a D-row aggregate.  The ν-boundary rho is the ν-quantile of
 w.phi(x) on the training rows (exact quantile operator), which gives the
 ν-property (training outlier share = ν) by construction.  This is the
 starting point (w = kernel mean, optimal rho given w) of the primal
-    min 1/2 |w|^2 - rho + 1/(ν n) sum max(0, rho - w.phi(x));
-no further subgradient steps are taken.
+    min 1/2 |w|^2 - rho + 1/(ν n) sum max(0, rho - w.phi(x)).
+With ``iterations`` > 0 every ν gets its own w, refined by damped
+subgradient steps  w <- w - eta (w - sum_{w.phi < rho} phi / (ν n)),  rho
+re-set to the exact ν-quantile each step; all ν share one scoring job and
+one masked-partial-sum job per step.
 
 Score column (higher = more anomalous): -w.phi(x); the decision for ν is
 score - boundary_ν > 0.  Weights are D x p doubles, broadcast by value.
@@ -86,32 +89,81 @@ def _vector_sum(df: DataFrame, cols: list[str], fn, dim: int) -> tuple[np.ndarra
 @dataclass(frozen=True)
 class OneClassModel:
     rff: RFFMap
-    w: np.ndarray
+    w: np.ndarray                      # (D,) shared, or (K, D): one row per ν
     cols: tuple[str, ...]
+    nus: tuple[float, ...] | None = None
+
+    def out_cols(self, out_col: str) -> list[str]:
+        return [out_col] if self.w.ndim == 1 else [f"{out_col}_{k}" for k in range(self.w.shape[0])]
 
     def score(self, df: DataFrame, out_col: str = "oc_score") -> DataFrame:
-        """Appends -w.phi(x) (higher = more anomalous) with Arrow batches."""
+        """Appends -w.phi(x) (higher = more anomalous) with Arrow batches;
+        one column per ν when the model is per ν (``out_col``_k)."""
         sc = df.sparkSession.sparkContext
-        bc = sc.broadcast((self.rff.W, self.rff.b, self.w))
+        bc = sc.broadcast((self.rff.W, self.rff.b, np.atleast_2d(self.w)))
         cols = list(self.cols)
-        schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
+        names = self.out_cols(out_col)
+        schema = StructType(df.schema.fields + [StructField(c, DoubleType()) for c in names])
 
         def run(batches):
             W, b, w = bc.value
             scale = np.sqrt(2.0 / len(b))
             for pdf in batches:
                 x = pdf[cols].to_numpy(dtype=np.float64)
-                z = scale * np.cos(x @ W.T + b)
-                pdf[out_col] = -(z @ w)
+                s = -(scale * np.cos(x @ W.T + b)) @ w.T
+                for k, c in enumerate(names):
+                    pdf[c] = s[:, k]
                 yield pdf
 
         return df.mapInPandas(run, schema)
 
 
 def fit(train: DataFrame, cols: list[str], n_components: int = N_FEATURES_DEFAULT,
-        seed: int = 42, gamma: float | None = None) -> OneClassModel:
+        seed: int = 42, gamma: float | None = None, nus: tuple[float, ...] | None = None,
+        iterations: int = 0) -> OneClassModel:
     g = gamma_scale(train, cols) if gamma is None else gamma
     rff = make_map(len(cols), g, n_components, seed)
     total, n = _vector_sum(train, cols, rff.transform, n_components)
     w = total / max(n, 1)
-    return OneClassModel(rff, w, tuple(cols))
+    if not iterations or not nus:
+        return OneClassModel(rff, w, tuple(cols))
+    from .. import quantiles as Q
+    nus = tuple(nus)
+    W = np.tile(w, (len(nus), 1))
+    data = train.select(*cols)
+    for it in range(iterations):
+        model = OneClassModel(rff, W, tuple(cols), nus)
+        scored = model.score(data, "_s")
+        names = model.out_cols("_s")
+        # rho_k = ν_k-quantile of w_k.phi  <=>  (1-ν_k)-quantile of -w_k.phi
+        qs = Q.quantiles(scored, names, [1.0 - nu for nu in nus], n_rows=n)
+        neg_rho = np.array([qs[c][k] for k, c in enumerate(names)])
+        G = _masked_sums(data, cols, rff, W, neg_rho)
+        eta = 1.0 / (it + 2)
+        W = (1.0 - eta) * W + eta * G / (np.asarray(nus)[:, None] * max(n, 1))
+    return OneClassModel(rff, W, tuple(cols), nus)
+
+
+def _masked_sums(df: DataFrame, cols: list[str], rff: RFFMap, W: np.ndarray, neg_rho: np.ndarray) -> np.ndarray:
+    """Per ν: sum of phi(x) over rows with w.phi(x) < rho (margin violators)."""
+    K, D = W.shape
+    bc = df.sparkSession.sparkContext.broadcast((rff.W, rff.b, W, neg_rho))
+
+    def partial(batches):
+        Wr, b, Wk, nr = bc.value
+        scale = np.sqrt(2.0 / len(b))
+        acc = np.zeros((K, D))
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=np.float64)
+            if len(x):
+                z = scale * np.cos(x @ Wr.T + b)
+                viol = (-(z @ Wk.T)) > nr          # -w.phi > -rho  <=>  w.phi < rho
+                acc += viol.T.astype(np.float64) @ z
+        yield pd.DataFrame({"v": [acc.ravel().tolist()]})
+
+    parts = df.mapInPandas(partial, "v array<double>")
+    cells = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    G = np.zeros(K * D)
+    for r in cells:
+        G[r["i"]] = r["x"]
+    return G.reshape(K, D)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import flag_gt, robust_z, weighted_sum
 from ..operators import metrics as M
 from ..operators import quantiles as Q
-from ..operators.detectors.simple import fit_boundaries, zmax, zsq
+from ..operators.detectors.simple import QuantileBoundary, fit_boundaries, zmax, zsq
 from ..operators.preprocess import Preprocessor, fit_preprocess
 from ..session import cut_lineage
 from ..operators.sampling import (AE_THR_QUANTILES, FUSION_Q, PAPER_MSE_THRESHOLDS, SEED,
@@ -59,7 +59,8 @@ def first_best(rows: list, key: str, maximize: bool = True):
 class Study:
     """``learned_options`` (detectors="learned"): ``rff_components`` (512),
     ``oc_fit_rows`` (None = all benign train rows; an int caps the one-class
-    fit by md5 rank), ``ae_trials`` (2), ``ae_epochs`` (8).
+    fit by md5 rank), ``oc_iterations`` (0 = kernel-mean model shared by all
+    ν; > 0 = one refined model per ν), ``ae_trials`` (2), ``ae_epochs`` (8).
 
     ``scorers`` (U2, detectors="custom"): {"ml": f, "ae": g} where each
     function maps the list of scaled feature column names to a score Column
@@ -143,10 +144,19 @@ class Study:
         """ν boundaries: (1-ν) quantile of the benign-train ML scores, so a
         share ν of training rows is flagged (the one-class ν-property)."""
         train = self.scored.where(F.col("split") == "train")
-        return fit_boundaries(train, "ml_raw", self.nus, n_rows=self.counts.get("train"))
+        if "ml_raw" in self.scored.columns:
+            return fit_boundaries(train, "ml_raw", self.nus, n_rows=self.counts.get("train"))
+        # one score column per ν (refined one-class model): boundary k from column k
+        names = [self.ml_col(nu) for nu in self.nus]
+        qs = Q.quantiles(train, names, [1.0 - nu for nu in self.nus], n_rows=self.counts.get("train"))
+        return QuantileBoundary(tuple(self.nus), tuple(float(qs[c][k]) for k, c in enumerate(names)))
+
+    def ml_col(self, nu: float) -> str:
+        """The ML score column for ν: shared, or ``ml_raw_k`` for per-ν models."""
+        return "ml_raw" if "ml_raw" in self.scored.columns else f"ml_raw_{self.nus.index(nu)}"
 
     def ml_decision(self, nu: float) -> Column:
-        return self.boundary.decision("ml_raw", nu)
+        return self.boundary.decision(self.ml_col(nu), nu)
 
     def nu_preds(self) -> dict:
         return {nu_name(nu): flag_gt(self.ml_decision(nu), 0.0) for nu in self.nus}

@@ -149,9 +149,10 @@ def write_bundle(spark: SparkSession, root: str, st) -> DataFrame:
     if st.detectors == "learned":
         oc, ae = st.oc_model, st.ae_model
         put(spark.createDataFrame([(oc.rff.W.ravel().tolist(), list(oc.rff.W.shape), oc.rff.b.tolist(),
-                                    oc.w.tolist(), list(oc.cols))],
+                                    oc.w.ravel().tolist(), list(oc.w.shape), list(oc.cols),
+                                    list(oc.nus) if oc.nus else None)],
                                   "W array<double>, W_shape array<int>, b array<double>, w array<double>, "
-                                  "cols array<string>"), "oc_model", "ml_model")
+                                  "w_shape array<int>, cols array<string>, nus array<double>"), "oc_model", "ml_model")
         put(spark.createDataFrame([(i, p.ravel().tolist(), list(p.shape)) for i, p in enumerate(ae.params)],
                                   "layer int, values array<double>, shape array<int>"), "ae_params", "dl_model")
         put(spark.createDataFrame([(list(ae.dims), list(ae.cols))], "dims array<int>, cols array<string>"),

@@ -95,3 +95,29 @@ def test_pca_recon(synth):
     err = np.array([r[0] for r in scored.select("pca").collect()])
     resid = x - (x @ axes) @ axes.T
     assert np.allclose(err, np.mean(resid ** 2, axis=1), atol=1e-9)
+
+
+def test_oneclass_refined_per_nu(synth):
+    from flowsentry.operators import quantiles as Q
+    train = synth.where("split = 'train'")
+    nus = (0.2, 0.1)
+    model = OC.fit(train, COLS, n_components=128, seed=2, nus=nus, iterations=3)
+    assert model.w.shape == (2, 128)
+    scored = model.score(synth, "oc")
+    for k, nu in enumerate(nus):
+        col = f"oc_{k}"
+        bnd = Q.quantiles(scored.where("split = 'train'"), [col], [1 - nu])[col][0]
+        share = scored.where("split = 'train'").select(F.avg((F.col(col) > bnd).cast("double"))).first()[0]
+        assert share == pytest.approx(nu, abs=0.01)
+        a = aucs(scored, col)
+        assert a["Shifted"] > 0.9 and a["Wide"] > 0.8
+
+
+def test_learned_study_with_refined_oneclass(spark):
+    from flowsentry.plans.study import Study
+    from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
+    from tests.conftest import SF_SMALL
+    st = Study(lineitem_flows(spark, SF_SMALL), LINEITEM_FEATURES, detectors="learned",
+               learned_options={"rff_components": 64, "oc_iterations": 2, "ae_epochs": 1, "ae_trials": 1})
+    assert "ml_raw_0" in st.scored.columns and len(st.nu_summary) == 3
+    assert st.ablation_summary().count() == 3
