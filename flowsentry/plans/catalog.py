@@ -36,7 +36,7 @@ _STUDIES: dict = {}
 
 def study(spark: SparkSession, sf_dir: str, detectors: str = "simple") -> Study:
     """One fitted study per (sf_dir, detectors) and session; queries share it."""
-    key = (id(spark), sf_dir, detectors)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, detectors)
     if key not in _STUDIES:
         _STUDIES[key] = Study(lineitem_flows(spark, sf_dir), LINEITEM_FEATURES, detectors=detectors)
     return _STUDIES[key]
