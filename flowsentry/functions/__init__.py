@@ -1 +1 @@
-
+"""Column expressions: labels, cleaning, scaling, thresholds, fusion, hashing."""

@@ -1 +1 @@
-
+"""Plans: the study, registered queries, DuckDB oracle SQL, workflow calls."""

@@ -1 +1 @@
-
+"""Structured Streaming deploy scorer."""
