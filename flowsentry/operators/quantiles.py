@@ -29,11 +29,13 @@ MAX_PASSES = 16
 
 
 def quantiles(df: DataFrame, cols: list[str], qs: list[float],
-              exact_map_rows: int = EXACT_MAP_ROWS, buckets: int = BUCKETS,
+              exact_map_rows: int | None = None, buckets: int = BUCKETS,
               n_rows: int | None = None) -> dict[str, list[float | None]]:
     """{col: [value at q for q in qs]}; nulls are ignored, None if no rows."""
     if not cols:
         return {}
+    if exact_map_rows is None:
+        exact_map_rows = EXACT_MAP_ROWS
     if n_rows is None:
         n_rows = df.count()
     if n_rows <= exact_map_rows:
@@ -93,6 +95,12 @@ def _refine(df: DataFrame, cols: list[str], qs: list[float], buckets: int) -> di
         if not active:
             break
         _refine_pass(base, active, buckets)
+    for t in targets.values():
+        if t.value is None:  # pass cap reached: exact rank inside the narrowed interval
+            inside = base.where((F.col(t.col) >= F.lit(t.lo)) & (F.col(t.col) <= F.lit(t.hi)))
+            m = inside.count()
+            q = (t.rank - t.below) / (m - 1) if m > 1 else 0.0
+            t.value = float(inside.agg(F.percentile(F.col(t.col), F.lit(q))).first()[0])
     res = {}
     for c in cols:
         if not plan[c]:

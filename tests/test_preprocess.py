@@ -61,3 +61,12 @@ def test_quantile_refinement_equals_percentile(spark, n):
     for c in ("x", "y"):
         ref = np.quantile(vals * (1 if c == "x" else 2), qs)
         assert np.allclose(exact[c], ref) and np.allclose(refined[c], ref)
+
+
+def test_quantile_refinement_pass_cap_fallback(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vals = np.exp(rng.normal(scale=12, size=500))  # values spread over many magnitudes
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    monkeypatch.setattr(Q, "MAX_PASSES", 1)
+    got = Q.quantiles(df, ["x"], [0.1, 0.5, 0.9], exact_map_rows=0, buckets=4)["x"]
+    assert np.allclose(got, np.quantile(vals, [0.1, 0.5, 0.9]), rtol=1e-9)
