@@ -73,24 +73,41 @@ def _as_number(c: str):
 
 def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None = CAPTURE_FILES,
                   check: bool = True, key_col: str | None = None,
-                  float32: bool = False) -> tuple[DataFrame, list[str]]:
+                  float32: bool = False, align_by_name: bool = False) -> tuple[DataFrame, list[str]]:
     """Returns (flow frame, feature names).
 
     ``files`` names the capture files under ``data_dir`` (checked for
     completeness when ``check``); None scans every ``*.csv`` below it.
     Flow frame: row_id, src_file, features (double, +-inf/NaN -> null), y,
     attack_family, cic_label, report_name.  ``row_id`` is md5 of the source
-    file and the raw row unless ``key_col`` names a supplied key."""
+    file and the raw row unless ``key_col`` names a supplied key.
+
+    One scan reads all files with the first file's header layout (the capture
+    set shares one).  ``align_by_name`` reads each named file on its own and
+    unions by column name (H1), for files whose column order or set differs;
+    missing columns become null."""
     reader = spark.read.option("header", True)
     if files is None:
         raw = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
                .csv(data_dir))
+        raw = raw.toDF(*normalise_headers(raw.columns)).withColumn("src_file", F.col("_metadata.file_name"))
     else:
         if check:
             check_complete(spark, data_dir, files)
-        raw = reader.csv([posixpath.join(data_dir, f) for f in files])
-    names = normalise_headers(raw.columns)
-    raw = raw.toDF(*names).withColumn("src_file", F.col("_metadata.file_name"))
+        paths = [posixpath.join(data_dir, f) for f in files]
+        if align_by_name:
+            parts = []
+            for path in paths:
+                one = reader.csv(path)
+                parts.append(one.toDF(*normalise_headers(one.columns))
+                             .withColumn("src_file", F.col("_metadata.file_name")))
+            raw = parts[0]
+            for part in parts[1:]:
+                raw = raw.unionByName(part, allowMissingColumns=True)
+        else:
+            raw = reader.csv(paths)
+            raw = raw.toDF(*normalise_headers(raw.columns)).withColumn("src_file", F.col("_metadata.file_name"))
+    names = [c for c in raw.columns if c != "src_file"]
     candidates = [c for c in names if c != LABEL and c != key_col]
     # one aggregate decides which columns are numeric everywhere (A3)
     bad = raw.agg(*[F.sum((F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`")) != "")

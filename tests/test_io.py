@@ -45,6 +45,20 @@ def test_csv_scan(spark):
     assert flows.select("row_id").distinct().count() == 160
 
 
+def test_csv_align_by_name(spark):
+    folder = tempfile.mkdtemp(prefix="captures-")
+    names = ["a.csv", "b.csv"]
+    with open(os.path.join(folder, names[0]), "w") as fh:
+        fh.write("Pkts, Bytes ,Label\n1,10,BENIGN\n2,20,PortScan\n")
+    with open(os.path.join(folder, names[1]), "w") as fh:
+        fh.write("Bytes,Label,Pkts,Extra\n30,BENIGN,3,7\n40,Bot,4,8\n")
+    flows, feats = read_flow_csv(spark, folder, files=names, align_by_name=True)
+    assert set(feats) == {"Pkts", "Bytes", "Extra"}
+    got = sorted((r["Pkts"], r["Bytes"], r["Extra"], r["report_name"]) for r in flows.collect())
+    assert got == [(1.0, 10.0, None, "Benign (Validation)"), (2.0, 20.0, None, "PortScan"),
+                   (3.0, 30.0, 7.0, "Benign (Validation)"), (4.0, 40.0, 8.0, "Botnet")]
+
+
 def test_csv_completeness(spark):
     folder = tempfile.mkdtemp(prefix="captures-")
     _write_captures(folder, drop=CAPTURE_FILES[5])
