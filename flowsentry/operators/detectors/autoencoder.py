@@ -127,9 +127,22 @@ def mean_mse(df: DataFrame, cols: list[str], params: list[np.ndarray]) -> float:
     return float(r[0] / r[1]) if r[1] else float("inf")
 
 
+def prepare(train_df: DataFrame, val_df: DataFrame, cols: list[str],
+            partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training rows hash-partitioned by row_id (reproducible for a fixed
+    partition count) and validation rows, both persisted; shareable by
+    every trial of a search."""
+    parts = partitions or int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = (train_df.select("row_id", *cols).repartition(parts, "row_id")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    val = val_df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    return base, val
+
+
 def train(train_df: DataFrame, val_df: DataFrame, cols: list[str], arch: tuple[int, int, int],
           lr: float, weight_decay: float, epochs: int = EPOCHS, batch: int = BATCH,
-          seed: int = 42, partitions: int | None = None) -> tuple[AutoEncoder, float, list[float]]:
+          seed: int = 42, partitions: int | None = None,
+          prepared: tuple[DataFrame, DataFrame] | None = None) -> tuple[AutoEncoder, float, list[float]]:
     spark = train_df.sparkSession
     sc = spark.sparkContext
     dims = layer_dims(len(cols), *arch)
@@ -138,10 +151,8 @@ def train(train_df: DataFrame, val_df: DataFrame, cols: list[str], arch: tuple[i
     m = [np.zeros(s) for s in shapes]
     v = [np.zeros(s) for s in shapes]
     t = 0
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (train_df.select("row_id", *cols).repartition(parts, "row_id")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    val = val_df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    owned = prepared is None
+    base, val = prepare(train_df, val_df, cols, partitions) if owned else prepared
     b1, b2 = BETAS
     best_val, best_params, history = float("inf"), None, []
     schema = "kind string, n long, steps long, sse double, p array<double>, m array<double>, v array<double>"
@@ -207,8 +218,9 @@ def train(train_df: DataFrame, val_df: DataFrame, cols: list[str], arch: tuple[i
         m = _unflat(sum(wi * np.asarray(r["m"]) for wi, r in zip(w, trows)), m)
         v = _unflat(sum(wi * np.asarray(r["v"]) for wi, r in zip(w, trows)), v)
         t += max(r["steps"] for r in trows)
-    base.unpersist()
-    val.unpersist()
+    if owned:
+        base.unpersist()
+        val.unpersist()
     if best_params is None:
         best_params = params
     return AutoEncoder(dims, best_params, tuple(cols)), best_val, history

@@ -7,6 +7,8 @@ fit-row cap (D4) applies to the one-class fit only, as in the reference.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +27,24 @@ def learned_scores(st) -> DataFrame:
     oc_train = fit_sample(train, opts.get("oc_fit_rows"), st.seed)
     oc = OC.fit(oc_train, cols, n_components=opts.get("rff_components", OC.N_FEATURES_DEFAULT), seed=st.seed,
                 nus=tuple(st.nus), iterations=opts.get("oc_iterations", 0))
+    # trials are independent: they share one partitioned, persisted copy of
+    # the training rows and are submitted from driver threads so their small
+    # epoch jobs overlap; selection keeps draw order (first minimum wins)
+    draws = ae_draws(opts.get("ae_trials", 2), st.seed)
+    prepared = AE.prepare(train, val, cols)
+    epochs = opts.get("ae_epochs", AE.EPOCHS)
+
+    def one(draw):
+        arch, lr, wd = draw
+        return AE.train(train, val, cols, arch, lr, wd, epochs=epochs, seed=st.seed, prepared=prepared)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(draws), opts.get("ae_parallel", 2)))) as pool:
+        results = list(pool.map(one, draws))
+    prepared[0].unpersist()
+    prepared[1].unpersist()
     trials = []
     best = None
-    for arch, lr, wd in ae_draws(opts.get("ae_trials", 2), st.seed):
-        model, val_mse, hist = AE.train(train, val, cols, arch, lr, wd,
-                                        epochs=opts.get("ae_epochs", AE.EPOCHS), seed=st.seed)
+    for (arch, lr, wd), (model, val_mse, hist) in zip(draws, results):
         trials.append({"h1": arch[0], "h2": arch[1], "h3": arch[2], "lr": lr, "weight_decay": wd,
                        "best_val_mse_mean": val_mse, "epochs_run": len(hist)})
         if best is None or val_mse < best[1]:
