@@ -173,11 +173,19 @@ class Study:
         return M.fold_metrics(self.scored, self.nu_preds(), "family",
                               families=self.selection_scope(), scores=scores)
 
+    @cached_property
+    def _sweep_summary(self) -> dict:
+        """macro-F1 and benign acceptance of every ν and every AE threshold:
+        the two sweeps are independent predicate sets over the same scored
+        frame, so one fold-count aggregate and one collect serve both."""
+        preds = {**self.nu_preds(), **self.thr_preds(self.thr_grid)}
+        both = M.fold_metrics(self.scored, preds, "family", families=self.selection_scope())
+        return {r["candidate"]: r for r in M.summarize(both).collect()}
+
     @cached_property
     def nu_summary(self) -> list:
-        """macro-F1 and benign acceptance (= 1 - fp / n_benign) per ν, one job."""
-        rows = M.summarize(self.nu_metrics).collect()
-        by = {r["candidate"]: r for r in rows}
+        """macro-F1 and benign acceptance (= 1 - fp / n_benign) per ν."""
+        by = {k: r for k, r in self._sweep_summary.items() if k.startswith("nu=")}
         if len(by) < len(self.nus):  # no attack family: acceptance from val alone
             acc = {r["candidate"]: r["benign_accuracy"]
                    for r in M.benign_acceptance(self.scored, self.nu_preds()).collect()}
@@ -212,7 +220,7 @@ class Study:
 
     @cached_property
     def thr_summary(self) -> list:
-        mf = {r["candidate"]: r["macro_f1"] for r in M.macro_f1(self.thr_metrics).collect()}
+        mf = {k: r["macro_f1"] for k, r in self._sweep_summary.items() if k.startswith("thr=")}
         return [{"threshold": t, "candidate": thr_name(t), "macro_f1": mf.get(thr_name(t), 0.0)}
                 for t in self.thr_grid]
 
