@@ -91,7 +91,7 @@ OP3 = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, len(embedding) AS d, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.d = q.d AND p.vec_id <> q.vec_id
   WHERE list_cosine_similarity(p.e, q.e) >= 0.98
@@ -126,7 +126,7 @@ WITH RECURSIVE w AS (
                                     '[^\\x20\\x09-\\x0D]+') AS x FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(x[i:i + 4], ' ') AS g
-  FROM (SELECT doc_id, x, unnest(range(1, greatest(2, len(x) - 2))) AS i FROM w WHERE len(x) > 0)
+  FROM (SELECT doc_id, x, unnest(range(1, greatest(2, len(x) - 3))) AS i FROM w WHERE len(x) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
 pairs AS (
