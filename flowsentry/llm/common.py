@@ -40,6 +40,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def row_numbering() -> Iterator[int]:
     """Row ids of the running task: unique over the whole input, the same
     again when a task of a file scan is repeated."""

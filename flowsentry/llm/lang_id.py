@@ -160,6 +160,9 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
     scratch = Scratch(rows.sparkSession, "lang-id")
     words = scratch.table(word_counts(rows), "words")
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
+    if not langs:
+        scratch.drop(words)
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     w, w_logp = _most_frequent(words, "word", langs, n_words)
     g, g_logp = _most_frequent(gram_counts(words), "gram", langs, n_grams)
     scratch.drop(words)

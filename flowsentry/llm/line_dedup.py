@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.common import Scratch, row_numbering, texts
+from flowsentry.llm.common import Scratch, fresh, row_numbering, texts
 
 MIN_WORDS = 25
 SENTENCE_END = regex.compile(r"(?<=[.!?])\s+|\n+")
@@ -138,15 +138,16 @@ def remove_passages(text: str, spans: list[tuple[int, int]]) -> str:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input with repeated passages cut out of ``text_col``.  Rows are
     numbered by their place in the scan, so ``docs`` is to be a table."""
+    number, span = fresh(docs, "_row_number"), fresh(docs, "_spans")
     passages = repeated_passages(docs, id_col, text_col, min_words)
-    spans = passages.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = passages.groupBy(F.col("row").alias(number)).agg(F.collect_list(F.struct("start", "end")).alias(span))
     columns = docs.columns
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = row_numbering()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([next(numbers) for _ in range(batch.num_rows)], pa.int64())],
-                                             names=[*columns, "_row"])
+                                             names=[*columns, number])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text_col)
@@ -157,6 +158,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays[at] = pa.array(new, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    numbered = docs.mapInArrow(number, T.StructType([*docs.schema.fields, T.StructField("_row", T.LongType())]))
-    joined = numbered.join(spans.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "_spans").mapInArrow(cut, docs.schema)
+    rows = docs.mapInArrow(numbered, T.StructType([*docs.schema.fields, T.StructField(number, T.LongType())]))
+    joined = rows.join(spans, number, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in columns], span).mapInArrow(cut, docs.schema)
