@@ -136,7 +136,7 @@ def fit(train: DataFrame, cols: list[str], n_components: int = N_FEATURES_DEFAUL
         scored = model.score(data, "_s")
         names = model.out_cols("_s")
         # rho_k = ν_k-quantile of w_k.phi  <=>  (1-ν_k)-quantile of -w_k.phi
-        qs = Q.quantiles(scored, names, [1.0 - nu for nu in nus], n_rows=n)
+        qs = Q.quantiles(scored, names, [1.0 - nu for nu in nus])
         neg_rho = np.array([qs[c][k] for k, c in enumerate(names)])
         G = _masked_sums(data, cols, rff, W, neg_rho)
         eta = 1.0 / (it + 2)

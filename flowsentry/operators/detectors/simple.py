@@ -40,8 +40,7 @@ class QuantileBoundary:
         return s - F.lit(float(b))
 
 
-def fit_boundaries(train: DataFrame, score_col: str, nus: tuple[float, ...],
-                   n_rows: int | None = None) -> QuantileBoundary:
+def fit_boundaries(train: DataFrame, score_col: str, nus: tuple[float, ...]) -> QuantileBoundary:
     qs = [1.0 - nu for nu in nus]
-    vals = Q.quantiles(train, [score_col], qs, n_rows=n_rows)[score_col]
+    vals = Q.quantiles(train, [score_col], qs)[score_col]
     return QuantileBoundary(tuple(nus), tuple(float(v) for v in vals))

@@ -30,7 +30,6 @@ from ..session import cut_lineage
 
 METRIC_COLUMNS = ["accuracy", "recall", "precision", "f1_binary", "f1_macro",
                   "specificity", "fallout_fpr", "roc_auc"]
-WINDOW_ROWS = 1_000_000  # running sums over fewer points use a plain (single-task, bounded) window
 
 
 def eval_rows(df: DataFrame, split_col: str = "split") -> DataFrame:
@@ -121,13 +120,26 @@ def fold_metrics(df: DataFrame, preds: Mapping[str, Column], family_col: str,
     return m
 
 
-def macro_f1(metrics: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
-    """Mean f1_macro over families (0.0 when a candidate has none)."""
+def macro_f1(metrics: DataFrame, by: Sequence[str] = ("candidate",), candidates: Sequence[str] | None = None) -> DataFrame:
+    """Mean f1_macro over families; with ``candidates``, 0.0 for one
+    that has none."""
+    if candidates is not None:
+        metrics = for_all(candidates, metrics)
     return metrics.groupBy(*by).agg(F.coalesce(F.avg("f1_macro"), F.lit(0.0)).alias("macro_f1"))
 
 
-def mean_fold(metrics: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
-    """macro_f1 plus null-skipping means of the 8 fold metrics."""
+def for_all(candidates: Sequence[str], metrics: DataFrame) -> DataFrame:
+    """A row for every candidate: ones without a fold get a row of nulls."""
+    names = metrics.sparkSession.createDataFrame([(c,) for c in candidates], "candidate string")
+    return names.join(metrics, "candidate", "left")
+
+
+def mean_fold(metrics: DataFrame, by: Sequence[str] = ("candidate",), candidates: Sequence[str] | None = None) -> DataFrame:
+    """macro_f1 plus null-skipping means of the 8 fold metrics.  With
+    ``candidates``, each of them has a row: macro_f1 0.0 and null means where
+    the scope holds no family."""
+    if candidates is not None:
+        metrics = for_all(candidates, metrics)
     return metrics.groupBy(*by).agg(
         F.coalesce(F.avg("f1_macro"), F.lit(0.0)).alias("macro_f1"),
         *[F.avg(c).alias(f"mean_fold_{c}") for c in METRIC_COLUMNS])
@@ -152,22 +164,13 @@ def benign_acceptance(df: DataFrame, preds: Mapping[str, Column], split_col: str
 
 
 # ------------------------------------------------------------------ AUC
-def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_col: str,
-                n_rows: int | None = None, window_rows: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_col: str) -> DataFrame:
     """Inclusive running sum of ``value_col`` in global ``order_cols`` order.
 
-    Small inputs use a plain window.  Large inputs never funnel through one
-    task: range-partition + sort within partitions, cut lineage with a
-    reliable checkpoint (range bounds are sampled, a recompute could move
+    Never one task: range-partition + sort within partitions, cut lineage with
+    a reliable checkpoint (range bounds are sampled, a recompute could move
     rows), collect one total per partition (bounded by the partition count),
     and add each partition's offset in a local pandas cumsum."""
-    if window_rows is None:
-        window_rows = WINDOW_ROWS
-    if n_rows is None:
-        n_rows = df.count()
-    if n_rows <= window_rows:
-        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out_col, F.sum(value_col).over(w))
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut_lineage(df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols))
@@ -194,7 +197,7 @@ def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_co
 
 
 def fold_auc(df: DataFrame, scores: Mapping[str, Column], family_col: str,
-             families: Sequence[str] | None = None, n_rows: int | None = None) -> DataFrame:
+             families: Sequence[str] | None = None) -> DataFrame:
     """(candidate, family, roc_auc) by exact rank sum, ties counted half.
 
     All candidates in one pass: eval rows are stacked once per candidate,
@@ -221,8 +224,7 @@ def fold_auc(df: DataFrame, scores: Mapping[str, Column], family_col: str,
         offs.append((i, acc, totals.get(i, 0)))
         acc += totals.get(i, 0)
     off_df = df.sparkSession.createDataFrame(offs, "c int, off long, n_b long")
-    bound = None if n_rows is None else n_rows * len(names)
-    le = running_sum(both, ["c", "score", "is_att"], "nb", "cum", n_rows=bound)
+    le = running_sum(both, ["c", "score", "is_att"], "nb", "cum")
     contrib = (le.where(F.col("is_att") == 1)
                .join(F.broadcast(off_df), "c")
                .join(ben.withColumnRenamed("nb", "eq_b"), ["c", "score"], "left")

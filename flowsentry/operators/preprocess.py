@@ -161,7 +161,7 @@ def fit_preprocess(df: DataFrame, features: list[str], seed: int = SEED,
     dropped = prune_correlated(features, corr, corr_threshold)
     kept = [f for f in features if f not in dropped]
     idx = [features.index(f) for f in kept]
-    med = Q.quantiles(train, kept, [0.5], n_rows=n_train)
+    med = Q.quantiles(train, kept, [0.5])
     medians = [finite_or_zero(med[f][0]) for f in kept]
     means = [all_means[i] for i in idx]
     stds = [float(math.sqrt(var[i])) for i in idx]

@@ -1,18 +1,14 @@
 """Exact quantiles with linear interpolation (numpy's default definition).
 
-Two strategies, same answer:
-
-* ``percentile`` aggregate (Spark's exact percentile, one pass).  It keeps a
-  value->count map per group, so it is used only while the row count is
-  under ``exact_map_rows``.
-* Histogram refinement for large inputs: each pass buckets the values that
-  still lie in the candidate interval into ``buckets`` equal-width bins
-  (partial aggregation, the shuffle carries #targets x #bins rows), keeps the
-  bin holding the wanted rank and narrows to that bin's real min/max.  A pass
-  is a filtered scan; 2-4 passes suffice for real-valued data.  Nothing but
-  bin counts reaches the driver.
-
-Both handle many (column, q) targets per pass.
+Histogram refinement, at every size: each pass buckets the values that still
+lie in the candidate interval into ``buckets`` equal-width bins (partial
+aggregation, the shuffle carries #targets x #bins rows), keeps the bin holding
+the wanted rank and narrows to that bin's real min/max.  The least and the
+greatest value fall into different bins, so every pass narrows; it ends when
+the interval is one value, 2-4 passes for real-valued data.  Nothing but
+bin counts reaches the driver.
+
+Many (column, q) targets share a pass.
 """
 
 from __future__ import annotations
@@ -23,38 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_MAP_ROWS = 5_000_000
 BUCKETS = 2048
-MAX_PASSES = 16
 
 
-def quantiles(df: DataFrame, cols: list[str], qs: list[float],
-              exact_map_rows: int | None = None, buckets: int = BUCKETS,
-              n_rows: int | None = None) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """{col: [value at q for q in qs]}; nulls are ignored, None if no rows."""
-    if not cols:
-        return {}
-    if exact_map_rows is None:
-        exact_map_rows = EXACT_MAP_ROWS
-    if n_rows is None:
-        n_rows = df.count()
-    if n_rows <= exact_map_rows:
-        return _percentile_agg(df, cols, qs)
-    return _refine(df, cols, qs, buckets)
-
-
-def quantile_exprs(cols: list[str], qs: list[float]) -> list:
-    arr = F.array(*[F.lit(float(q)) for q in qs])
-    return [F.percentile(F.col(c), arr).alias(c) for c in cols]
-
-
-def _percentile_agg(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
-    row = df.agg(*quantile_exprs(cols, qs)).first()
-    out = {}
-    for c in cols:
-        v = row[c]
-        out[c] = [None] * len(qs) if v is None else [float(x) for x in v]
-    return out
+    return _refine(df, cols, qs, buckets) if cols else {}
 
 
 @dataclass
@@ -90,17 +60,8 @@ def _refine(df: DataFrame, cols: list[str], qs: list[float], buckets: int) -> di
     for t in targets.values():
         if t.lo == t.hi:
             t.value = t.lo
-    for _ in range(MAX_PASSES):
-        active = [t for t in targets.values() if t.value is None]
-        if not active:
-            break
+    while active := [t for t in targets.values() if t.value is None]:
         _refine_pass(base, active, buckets)
-    for t in targets.values():
-        if t.value is None:  # pass cap reached: exact rank inside the narrowed interval
-            inside = base.where((F.col(t.col) >= F.lit(t.lo)) & (F.col(t.col) <= F.lit(t.hi)))
-            m = inside.count()
-            q = (t.rank - t.below) / (m - 1) if m > 1 else 0.0
-            t.value = float(inside.agg(F.percentile(F.col(t.col), F.lit(q))).first()[0])
     res = {}
     for c in cols:
         if not plan[c]:
@@ -118,10 +79,12 @@ def _refine_pass(base: DataFrame, active: list[_Target], buckets: int) -> None:
     # one row per (target, value in the target's interval): stack via explode
     parts = []
     for k, t in enumerate(active):
-        width = t.hi - t.lo
         x = F.col(t.col)
-        idx = F.least(F.floor((x - F.lit(t.lo)) / F.lit(width) * F.lit(buckets)).cast("int"),
-                      F.lit(buckets - 1))
+        scale = 1.0 if math.isfinite(t.hi - t.lo) else 0.5      # halves, where the width is beyond a double
+        width = t.hi * scale - t.lo * scale
+        idx = F.when(x == F.lit(t.hi), F.lit(buckets - 1)).otherwise(F.least(
+            F.floor((x * F.lit(scale) - F.lit(t.lo * scale)) / F.lit(width) * F.lit(buckets)).cast("int"),
+            F.lit(buckets - 2)))
         parts.append(F.when((x >= F.lit(t.lo)) & (x <= F.lit(t.hi)),
                             F.struct(F.lit(k).alias("t"), idx.alias("b"), x.alias("x"))))
     exploded = base.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s"))

@@ -104,6 +104,13 @@ def q_quota_sample(spark, sf_dir):
     return s.select("row_id", "src_file", F.col("y").cast("int").alias("y"))
 
 
+def q_quota_sample_repeats(spark, sf_dir):
+    """D1 with ids that repeat hundreds of times: exact sizes per file and class."""
+    lf = lineitem_flows(spark, sf_dir).withColumn("row_id", F.concat_ws("-", "Label", F.col("qty").cast("string")))
+    s = S.quota_sample(lf, QUOTA_TOTAL, QUOTA_BENIGN_FRACTION, seed=S.SEED)
+    return s.groupBy("src_file", F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_train_val_split(spark, sf_dir):
     lf = S.assign_split(lineitem_flows(spark, sf_dir), LINEITEM_FEATURES)
     return lf.where(F.col("split").isNotNull()).select("row_id", "split")
@@ -191,7 +198,7 @@ def q_impute_scale(spark, sf_dir):
 # ---------------------------------------------------------------- fold metrics
 def _q95(st: Study) -> float:
     val = st.scored.where(F.col("split") == "val")
-    return Q.quantiles(val, ["ae"], [0.95], n_rows=st.counts.get("val"))["ae"][0]
+    return Q.quantiles(val, ["ae"], [0.95])["ae"][0]
 
 
 def q_fold_confusion(spark, sf_dir):
@@ -224,7 +231,7 @@ def q_quantile_thresholds(spark, sf_dir):
     st = study(spark, sf_dir)
     val = st.scored.where(F.col("split") == "val")
     qs = [0.9, 0.92, 0.95]
-    res = Q.quantiles(val, ["ae", "ml_raw"], qs, n_rows=st.counts.get("val"))
+    res = Q.quantiles(val, ["ae", "ml_raw"], qs)
     rows = [(col, q, res[col][i]) for col in ("ae", "ml_raw") for i, q in enumerate(qs)]
     return spark.createDataFrame(rows, "score string, q double, value double").select(
         "score", "q", _r("value").alias("value"))
@@ -379,6 +386,7 @@ def sql_queries() -> dict[str, Query]:
         "drop_missing_benign": q_drop_missing_benign,
         "row_counts": q_row_counts,
         "quota_sample": q_quota_sample,
+        "quota_sample_repeats": q_quota_sample_repeats,
         "train_val_split": q_train_val_split,
         "fit_sample_topk": q_fit_sample_topk,
         "calib_test_families": q_calib_test_families,
@@ -419,11 +427,8 @@ def sql_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     out = dict(sql_queries())
     out.update(io_queries())
-    try:
-        from .learned_catalog import learned_queries
-        out.update(learned_queries())
-    except ImportError:
-        pass
+    from .learned_catalog import learned_queries
+    out.update(learned_queries())
     return out
 
 

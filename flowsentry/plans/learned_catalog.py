@@ -62,7 +62,7 @@ def q_iforest_metrics(spark, sf_dir):
     scored = forest.score(st.scored.select("row_id", "y", "family", "split", *st.zcols), "if_score")
     scored = scored.select("row_id", "y", "family", "split", "if_score").cache()
     val = scored.where(F.col("split") == "val")
-    thr = Q.quantiles(val, ["if_score"], [IFOREST_QUANTILE], n_rows=st.counts.get("val"))["if_score"][0]
+    thr = Q.quantiles(val, ["if_score"], [IFOREST_QUANTILE])["if_score"][0]
     m = M.fold_metrics(scored, {"iforest": flag_ge("if_score", thr)}, "family",
                        scores={"iforest": F.col("if_score")})
     return _metric_frame(m, extra=["candidate"])
@@ -74,7 +74,7 @@ def q_pca_recon(spark, sf_dir):
     axes = PC.fit_axes(train, st.zcols)
     scored = PC.with_recon_error(st.scored, st.zcols, axes, "pca").select("row_id", "y", "family", "split", "pca")
     val = scored.where(F.col("split") == "val")
-    thr = Q.quantiles(val, ["pca"], [0.95], n_rows=st.counts.get("val"))["pca"][0]
+    thr = Q.quantiles(val, ["pca"], [0.95])["pca"][0]
     m = M.fold_metrics(scored, {"pca_q95": flag_gt("pca", thr)}, "family", scores={"pca_q95": F.col("pca")})
     return _metric_frame(m, extra=["candidate"])
 

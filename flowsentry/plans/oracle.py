@@ -319,7 +319,7 @@ def ablation_ctes() -> str:
     tf = "family IN (SELECT family FROM test)"
     return f""",
 abl_pts AS (
-  SELECT 'ML_only_OC_SVM' AS model, family, y, split, CASE WHEN ml_raw - (SELECT bnd FROM bound) > 0 THEN 1 ELSE 0 END AS pred,
+  SELECT 'ML_only_OC_SVM' AS model, family, y, split, CASE WHEN ml_raw - (SELECT bnd FROM bound) >= 0 THEN 1 ELSE 0 END AS pred,
          CAST(NULL AS DOUBLE) AS s FROM zs WHERE (y = 0 AND split = 'val') OR (y = 1 AND {tf})
   UNION ALL
   SELECT 'DL_only_AE', family, y, split, CASE WHEN ae > (SELECT threshold FROM best_thr) THEN 1 ELSE 0 END, ae
@@ -391,6 +391,11 @@ q AS (SELECT CAST(ceil(floor(20000 * 0.65) / n) AS BIGINT) AS qb,
 r AS (SELECT row_id, src_file, y, row_number() OVER (PARTITION BY src_file, y
         ORDER BY {_md5_bits('row_id', '42')}, row_id) AS rn FROM lf)
 SELECT row_id, src_file, y FROM r, q WHERE rn <= CASE WHEN y = 0 THEN qb ELSE qa END"""
+    out["quota_sample_repeats"] = lf + f""",
+nf AS (SELECT count(DISTINCT src_file) AS n FROM lf),
+q AS (SELECT CAST(ceil(floor(20000 * 0.65) / n) AS BIGINT) AS qb,
+             CAST(ceil((20000 - floor(20000 * 0.65)) / n) AS BIGINT) AS qa FROM nf)
+SELECT src_file, y, least(count(*), max(CASE WHEN y = 0 THEN qb ELSE qa END)) AS n FROM lf, q GROUP BY src_file, y"""
 
     st = study_sql()
     pairs = [(i, j) for i in range(len(FEATS)) for j in range(i + 1, len(FEATS))]

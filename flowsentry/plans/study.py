@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import flag_gt, robust_z, weighted_sum
+from ..functions.expr import flag_ge, flag_gt, robust_z, weighted_sum
 from ..operators import metrics as M
 from ..operators import quantiles as Q
 from ..operators.detectors.simple import QuantileBoundary, fit_boundaries, zmax, zsq
@@ -55,6 +55,9 @@ def first_best(rows: list, key: str, maximize: bool = True):
     return best
 
 
+ABLATION_MODELS = ("ML_only_OC_SVM", "DL_only_AE", "Hybrid_fusion")
+
+
 @dataclass
 class Study:
     """``learned_options`` (detectors="learned"): ``rff_components`` (512),
@@ -145,10 +148,10 @@ class Study:
         share ν of training rows is flagged (the one-class ν-property)."""
         train = self.scored.where(F.col("split") == "train")
         if "ml_raw" in self.scored.columns:
-            return fit_boundaries(train, "ml_raw", self.nus, n_rows=self.counts.get("train"))
+            return fit_boundaries(train, "ml_raw", self.nus)
         # one score column per ν (refined one-class model): boundary k from column k
         names = [self.ml_col(nu) for nu in self.nus]
-        qs = Q.quantiles(train, names, [1.0 - nu for nu in self.nus], n_rows=self.counts.get("train"))
+        qs = Q.quantiles(train, names, [1.0 - nu for nu in self.nus])
         return QuantileBoundary(tuple(self.nus), tuple(float(qs[c][k]) for k, c in enumerate(names)))
 
     def ml_col(self, nu: float) -> str:
@@ -164,14 +167,14 @@ class Study:
     @cached_property
     def nu_metrics(self) -> DataFrame:
         """per (ν, family) metrics, all ν in one aggregate (no AUC: the
-        selection needs macro-F1 only; ``nu_metrics_auc`` adds it)."""
-        return M.fold_metrics(self.scored, self.nu_preds(), "family", families=self.selection_scope())
+        selection needs macro-F1 only; ``nu_metrics_auc`` adds it).  Over all
+        families: the selection scope chooses ν, it never cuts a report."""
+        return M.fold_metrics(self.scored, self.nu_preds(), "family")
 
     @cached_property
     def nu_metrics_auc(self) -> DataFrame:
         scores = {nu_name(nu): self.ml_decision(nu) for nu in self.nus}
-        return M.fold_metrics(self.scored, self.nu_preds(), "family",
-                              families=self.selection_scope(), scores=scores)
+        return M.fold_metrics(self.scored, self.nu_preds(), "family", scores=scores)
 
     @cached_property
     def _sweep_summary(self) -> dict:
@@ -203,7 +206,7 @@ class Study:
     @cached_property
     def ae_val_quantiles(self) -> list[float]:
         val = self.scored.where(F.col("split") == "val")
-        return Q.quantiles(val, ["ae"], list(AE_THR_QUANTILES), n_rows=self.counts.get("val"))["ae"]
+        return Q.quantiles(val, ["ae"], list(AE_THR_QUANTILES))["ae"]
 
     @cached_property
     def thr_grid(self) -> list[float]:
@@ -243,10 +246,10 @@ class Study:
         val = self.scored.where(F.col("split") == "val").select(
             self.ml_decision(self.best_nu).alias("svm"), F.col("ae"))
         n = self.counts.get("val")
-        med = Q.quantiles(val, ["svm", "ae"], [0.5], n_rows=n)
+        med = Q.quantiles(val, ["svm", "ae"], [0.5])
         ms, ma = med["svm"][0], med["ae"][0]
         dev = val.select(F.abs(F.col("svm") - F.lit(ms)).alias("svm"), F.abs(F.col("ae") - F.lit(ma)).alias("ae"))
-        mad = Q.quantiles(dev, ["svm", "ae"], [0.5], n_rows=n)
+        mad = Q.quantiles(dev, ["svm", "ae"], [0.5])
         return {"svm": (ms, mad["svm"][0] + ROBUST_EPS), "ae": (ma, mad["ae"][0] + ROBUST_EPS)}
 
     def z_svm(self) -> Column:
@@ -270,8 +273,7 @@ class Study:
         val = self.scored.where(F.col("split") == "val").select(
             *[self.fused(ws, wa).alias(f"f{i}") for i, (ws, wa) in enumerate(self.weight_grid)])
         qs = list(FUSION_Q)
-        res = Q.quantiles(val, [f"f{i}" for i in range(len(self.weight_grid))], qs,
-                          n_rows=self.counts.get("val"))
+        res = Q.quantiles(val, [f"f{i}" for i in range(len(self.weight_grid))], qs)
         return {(i, q): res[f"f{i}"][k] for i in range(len(self.weight_grid)) for k, q in enumerate(qs)}
 
     def fusion_candidates(self) -> list[dict]:
@@ -317,7 +319,7 @@ class Study:
         b = self.best_fusion
         fused = self.fused(b["w_svm"], b["w_ae"])
         preds = {
-            "ML_only_OC_SVM": flag_gt(self.ml_decision(self.best_nu), 0.0),
+            "ML_only_OC_SVM": flag_ge(self.ml_decision(self.best_nu), 0.0),   # predict = -1 holds at 0 too
             "DL_only_AE": flag_gt("ae", self.best_thr),
             "Hybrid_fusion": flag_gt(fused, b["thr"]),
         }
@@ -325,7 +327,7 @@ class Study:
         return M.fold_metrics(self.scored, preds, "family", families=test, scores=scores)
 
     def ablation_summary(self) -> DataFrame:
-        return M.mean_fold(self.ablation_metrics).withColumnRenamed("candidate", "model")
+        return M.mean_fold(self.ablation_metrics, candidates=ABLATION_MODELS).withColumnRenamed("candidate", "model")
 
     def selection_scope(self) -> list[str] | None:
         return self.family_roles[0] if self.selection_families == "calibration" else None

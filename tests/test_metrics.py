@@ -37,8 +37,9 @@ def test_macro_f1_empty(spark):
     df = frame(spark, [0, 0], [.1, .2])
     m = M.fold_metrics(df, {"c": F.col("score") > 1}, "family")
     assert m.count() == 0
-    row = M.macro_f1(m).collect()
-    assert row == []  # no candidate rows; callers default to 0.0
+    assert [tuple(r) for r in M.macro_f1(m, candidates=["c"]).collect()] == [("c", 0.0)]
+    row = M.mean_fold(m, candidates=["c", "d"]).orderBy("candidate").collect()
+    assert [(r["candidate"], r["macro_f1"], r["mean_fold_recall"]) for r in row] == [("c", 0.0, None), ("d", 0.0, None)]
 
 
 def brute_auc(yb, sb, sa):
@@ -64,15 +65,16 @@ def test_auc_matches_brute_force_with_ties(spark):
         assert got[f] == pytest.approx(brute_auc(None, ben, arr), abs=1e-12)
 
 
-def test_running_sum_paths_agree(spark):
+def test_running_sum_equals_window(spark):
+    from pyspark.sql import Window
     rng = np.random.default_rng(3)
     rows = [(float(v), int(k), int(w)) for v, k, w in zip(rng.integers(0, 50, 2000), rng.integers(0, 2, 2000),
                                                            rng.integers(0, 5, 2000))]
-    df = spark.createDataFrame(rows, "score double, is_att int, nb long").dropDuplicates(["score", "is_att"])
-    a = {(r["score"], r["is_att"]): r["cum"] for r in M.running_sum(df, ["score", "is_att"], "nb", "cum").collect()}
-    b = {(r["score"], r["is_att"]): r["cum"] for r in
-         M.running_sum(df, ["score", "is_att"], "nb", "cum", window_rows=0).collect()}
-    assert a == b
+    df = spark.createDataFrame(rows, "score double, is_att int, nb long").dropDuplicates(["score", "is_att"]).cache()
+    got = {(r["score"], r["is_att"]): r["cum"] for r in M.running_sum(df, ["score", "is_att"], "nb", "cum").collect()}
+    w = Window.orderBy("score", "is_att").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    assert got == {(r["score"], r["is_att"]): r["cum"] for r in df.withColumn("cum", F.sum("nb").over(w)).collect()}
+    df.unpersist()
 
 
 def test_candidates_in_one_pass(spark):

@@ -57,16 +57,21 @@ def test_quantile_refinement_equals_percentile(spark, n):
     df = spark.createDataFrame([(float(v), float(v) * 2) for v in vals], "x double, y double")
     qs = [0.0, 0.1, 0.5, 0.92, 0.95, 1.0]
     exact = Q.quantiles(df, ["x", "y"], qs)
-    refined = Q.quantiles(df, ["x", "y"], qs, exact_map_rows=0, buckets=16)
+    refined = Q.quantiles(df, ["x", "y"], qs, buckets=16)
     for c in ("x", "y"):
         ref = np.quantile(vals * (1 if c == "x" else 2), qs)
         assert np.allclose(exact[c], ref) and np.allclose(refined[c], ref)
 
 
-def test_quantile_refinement_pass_cap_fallback(spark, monkeypatch):
+def test_quantile_refinement_few_buckets(spark):
     rng = np.random.default_rng(9)
     vals = np.exp(rng.normal(scale=12, size=500))  # values spread over many magnitudes
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    monkeypatch.setattr(Q, "MAX_PASSES", 1)
-    got = Q.quantiles(df, ["x"], [0.1, 0.5, 0.9], exact_map_rows=0, buckets=4)["x"]
+    got = Q.quantiles(df, ["x"], [0.1, 0.5, 0.9], buckets=4)["x"]
     assert np.allclose(got, np.quantile(vals, [0.1, 0.5, 0.9]), rtol=1e-9)
+
+
+def test_quantile_refinement_full_double_range(spark):
+    vals = [-1.7e308, -1.0, 0.0, 2.0, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert Q.quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75, 1.0], buckets=4)["x"] == vals
