@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from flowsentry.llm.common import Scratch, texts
 
 UNDETERMINED = "und"
-N_WORDS = 100_000
+N_WORDS = 300_000
 N_GRAMS = 100_000
 LONGEST = 4
 LONGEST_WORD = 64
@@ -62,21 +62,22 @@ class Model:
     words: dict[str, int]
     word_logp: np.ndarray
     grams: dict[str, int]
-    gram_logp: np.ndarray
+    gram_logp: list[list[float]]
 
-    def backoff(self, word: str) -> np.ndarray | None:
+    def backoff(self, word: str) -> list[float] | None:
         """Mean log frequency of the longest n-grams of which any is known."""
         for n in range(LONGEST, 0, -1):
             found = [g for g in (self.grams.get(x) for x in grams_of(word, n)) if g is not None]
             if found:
-                return self.gram_logp[found].mean(axis=0)
+                rows = [self.gram_logp[g] for g in found]
+                return [sum(x) / len(rows) for x in zip(*rows)]
         return None
 
     def predict(self, text: str | None, memo: dict) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        known, times, total = [], [], np.zeros(len(self.langs))
+        known, times, rest = [], [], [0.0] * len(self.langs)
         for w, k in Counter(words).items():
             i = self.words.get(w)
             if i is not None:
@@ -88,7 +89,8 @@ class Model:
                     memo.clear()
                 memo[w] = self.backoff(w)
             if memo[w] is not None:
-                total += k * memo[w]
+                rest = [a + k * b for a, b in zip(rest, memo[w])]
+        total = np.array(rest)
         if known:
             total += np.asarray(times, dtype=np.float64) @ self.word_logp[known]
         best = int(np.argmax(total))
@@ -98,17 +100,16 @@ class Model:
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, lang, n) over all rows of (text, lang)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array([w for _, w in seen], pa.string()),
-                                               "lang": pa.array([x for x, _ in seen], pa.string()),
-                                               "n": pa.array(list(seen.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array([w for c in seen.values() for w in c], pa.string()),
+                                               "lang": pa.array([x for x, c in seen.items() for _ in c], pa.string()),
+                                               "n": pa.array([n for c in seen.values() for n in c.values()], pa.int64())})
         for batch in batches:
             for text, lang in zip(texts(batch.column(0)), texts(batch.column(1))):
-                for w, k in Counter(words_of(text)).items():
-                    seen[lang, w] += k
-                if len(seen) > FLUSH:
+                seen.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, seen.values())) > FLUSH:
                     yield out()
                     seen.clear()
         if seen:
@@ -162,11 +163,11 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     if not langs:
         scratch.drop(words)
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+        return Model([], {}, np.zeros((0, 0)), {}, [])
     w, w_logp = _most_frequent(words, "word", langs, n_words)
     g, g_logp = _most_frequent(gram_counts(words), "gram", langs, n_grams)
     scratch.drop(words)
-    return Model(langs, w, w_logp, g, g_logp)
+    return Model(langs, w, w_logp, g, g_logp.tolist())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred",

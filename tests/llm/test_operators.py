@@ -249,9 +249,9 @@ def test_language_id_odd_rows(spark, odd):
 
 
 def test_backoff_takes_the_longest_known_grams():
-    m = lang_id.Model(["a", "b"], {"known": 0}, np.log([[.9, .1]]), {"<ab": 0, "x": 1}, np.log([[.2, .8], [.7, .3]]))
-    assert m.backoff("abx").tolist() == m.gram_logp[0].tolist()      # three characters before one
-    assert m.backoff("x").tolist() == m.gram_logp[1].tolist()
+    m = lang_id.Model(["a", "b"], {"known": 0}, np.log([[.9, .1]]), {"<ab": 0, "x": 1}, np.log([[.2, .8], [.7, .3]]).tolist())
+    assert m.backoff("abx") == m.gram_logp[0]      # three characters before one
+    assert m.backoff("x") == m.gram_logp[1]
     assert m.backoff("q") is None
     assert m.predict("known", {})[0] == "a" and m.predict("abz", {})[0] == "b"
 
