@@ -106,7 +106,7 @@ def q_quota_sample(spark, sf_dir):
 
 def q_quota_sample_repeats(spark, sf_dir):
     """D1 with ids that repeat hundreds of times: exact sizes per file and class."""
-    lf = lineitem_flows(spark, sf_dir).withColumn("row_id", F.concat_ws("-", "Label", F.col("qty").cast("string")))
+    lf = lineitem_flows(spark, sf_dir).withColumn("row_id", F.concat_ws("-", "cic_label", F.col("qty").cast("string")))
     s = S.quota_sample(lf, QUOTA_TOTAL, QUOTA_BENIGN_FRACTION, seed=S.SEED)
     return s.groupBy("src_file", F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
