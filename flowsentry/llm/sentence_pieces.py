@@ -58,10 +58,11 @@ class Pieces:
         self.rank = {p: i for i, p in enumerate(order)}
         self.last_spaces = all(set(p) == {MARK} for p in order[len(order) - sum(set(p) == {MARK} for p in order):])
         self._splits: dict[str, tuple[str, str] | None] = {}
-        #: Pieces that a path may hold, and every ending of one.
-        self.usable = {p for p in scores if len(p) == 1 or kind != BPE or self.split_of(p)}
-        self.endings = {p[i:] for p in self.usable for i in range(len(p))}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        #: A number for each piece that a path may hold, and every beginning of one.
+        self.numbers = {p: k for k, p in enumerate(x for x in scores if len(x) == 1 or kind != BPE or self.split_of(x))}
+        self.starts = {p[:i] for p in self.numbers for i in range(1, len(p) + 1)}
+        self._steps: dict[str, tuple[str, tuple]] = {}
+        self._pairs: dict[int, bool] = {}
         self.worst = min(scores.values(), default=0.0) - 10.0
         back = {i: p for p, i in ids.items()}
         bytes_of = {i: b for b, i in enumerate(byte_ids or [])}
@@ -116,19 +117,27 @@ class Pieces:
             self._splits[s] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self._splits[s]
 
+    def step(self, s: str) -> tuple[str, tuple]:
+        """For ``s``, which is the longest ending of the text before that
+        begins a piece, and one more character: the longest ending that
+        begins a piece now, and the pieces that end here from long to short
+        as (number, length, piece).  An unknown character is a piece too."""
+        got = self._steps.get(s)
+        if got is None:
+            if len(self._steps) >= MEMO:
+                self._steps.clear()
+            state = next((s[i:] for i in range(len(s)) if s[i:] in self.starts), "")
+            ends = tuple((self.numbers[state[i:]], len(state) - i, state[i:]) for i in range(len(state))
+                         if state[i:] in self.numbers)
+            if not ends or ends[-1][1] > 1:
+                ends += ((-1, 1, s[-1]),)
+            got = self._steps[s] = state, ends
+        return got
+
     def may_follow(self, a: str, b: str) -> bool:
         """BPE: merging a + b gives just (a, b).  Undoes the merges inside
         both, the last one first; a merge across the border must never have
         come before the one undone (the leftmost first among equals)."""
-        k = (a, b)
-        got = self._pairs.get(k)
-        if got is None:
-            if len(self._pairs) >= MEMO:
-                self._pairs.clear()
-            got = self._pairs[k] = self._stays_apart(a, b)
-        return got
-
-    def _stays_apart(self, a: str, b: str) -> bool:
         rank, before = self.rank, len(self.rank) + 1
         while True:
             across = rank.get(a + b)
@@ -158,45 +167,50 @@ class StreamingViterbi:
         self.reset()
 
     def reset(self) -> None:
-        #: Node of a boundary: (score, piece, node before, position).
-        self.tail = ""
-        self.live: list = [(0.0, "", None, 0)]
+        #: Node of a boundary: (score, piece, node before, position, number of the piece).
+        self.state, self.open = "", 0
+        self.live: list = [(0.0, "", None, 0, -1)]
         self.committed: list[str] = []
 
     def feed(self, chars: str) -> None:
         p, live, longest = self.p, self.live, self.p.longest
-        usable, endings, scores, bpe = p.usable, p.endings, p.scores, p.kind == BPE
+        known, pairs, scores, bpe = p._steps.get, p._pairs, p.scores, p.kind == BPE
+        state = self.state
         for i in range(0, len(chars), 4 * longest):
-            tail = self.tail + chars[i:i + 4 * longest]
-            for end in range(len(self.tail) + 1, len(tail) + 1):
-                # pieces that end here, from short to long; one unknown character is a piece too
-                at, found = end - 1, []
-                while at >= 0 and end - at <= len(live) and (piece := tail[at:end]) in endings:
-                    if piece in usable:
-                        found.append(piece)
-                    at -= 1
-                if not found or len(found[0]) > 1:
-                    found.insert(0, tail[end - 1])
+            block = chars[i:i + 4 * longest]
+            for ch in block:
+                at = state + ch
+                state, ends = known(at) or p.step(at)
                 node = None
-                for piece in reversed(found):
-                    before = live[-len(piece)]
+                for k, n, piece in ends:
+                    before = live[-n]
                     if before is None:
                         continue
                     if bpe:
-                        if before[1] == "" or p.may_follow(before[1], piece):
-                            node = (0.0, piece, before, before[3] + len(piece))
-                            break
-                    else:
-                        total = before[0] + scores.get(piece, p.worst)
-                        if node is None or total > node[0]:
-                            node = (total, piece, before, before[3] + len(piece))
+                        last = before[4]
+                        if last >= 0 and k >= 0:    # nothing merges with an unknown character
+                            pair = last << 24 | k
+                            ok = pairs.get(pair)
+                            if ok is None:
+                                if len(pairs) >= MEMO:
+                                    pairs.clear()
+                                ok = pairs[pair] = p.may_follow(before[1], piece)
+                            if not ok:
+                                continue
+                        node = (0.0, piece, before, before[3] + n, k)
+                        break
+                    total = before[0] + scores.get(piece, p.worst)
+                    if node is None or total > node[0]:
+                        node = (total, piece, before, before[3] + n, k)
                 live.append(node)
-            self.tail = tail[-longest:]
             if len(live) > longest:
                 del live[:-longest]
-            if len(tail) >= 4 * longest:
+            self.open += len(block)
+            if self.open >= 4 * longest:
+                self.open = 0
                 self._commit()
                 live = self.live
+        self.state = state
 
     def _commit(self) -> None:
         """Ids before the boundary in which all live paths meet are final."""
@@ -216,12 +230,12 @@ class StreamingViterbi:
             node = node[2]
         if path:
             self.committed += reversed(path)
-            base = (root[0], root[1], None, root[3])
+            base = (root[0], root[1], None, root[3], root[4])
             seen = {id(root): base}
 
             def cut(x):
                 if id(x) not in seen:
-                    seen[id(x)] = (x[0], x[1], cut(x[2]), x[3])
+                    seen[id(x)] = (x[0], x[1], cut(x[2]), x[3], x[4])
                 return seen[id(x)]
             self.live = [None if x is None else cut(x) for x in self.live]
 
