@@ -1,7 +1,7 @@
 """Multi-file flow CSV scan.
 
-One job reads every capture file (chunking disappears: the scan is split by
-Spark).  Columns arrive as strings; header names are stripped and
+One scan per distinct header reads the capture files (chunking disappears: the
+scan is split by Spark).  Columns arrive as strings; header names are stripped and
 de-duplicated; a column is a feature when every non-empty value parses as a
 number, decided by one aggregate over all columns (the per-chunk dtype
 inference of a pandas reader is replaced by one fixed, data-wide rule);
@@ -10,10 +10,14 @@ values are read with ``try_cast`` so junk becomes missing instead of failing.
 
 from __future__ import annotations
 
+import csv
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import narrow_float32, nonfinite_to_null
 from ..functions.labels import with_label_columns
@@ -36,6 +40,10 @@ class MissingCaptureFiles(FileNotFoundError):
     pass
 
 
+class MissingLabel(ValueError):
+    pass
+
+
 def list_files(spark: SparkSession, data_dir: str, glob: str = "*.csv") -> DataFrame:
     """(path, name, length) of the files under ``data_dir`` (contents are
     not read: only metadata columns are selected)."""
@@ -67,13 +75,35 @@ def normalise_headers(cols: list[str]) -> list[str]:
     return out
 
 
+def read_headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Normalised header -> its files.  Each file's first line is read by a
+    one-row job; files without any line are left out."""
+    def header(path: str) -> tuple[str, ...] | None:
+        line = spark.read.text(path).where(F.trim("value") != "").first()
+        return tuple(normalise_headers(next(csv.reader([line[0].lstrip("\ufeff")])))) if line else None
+
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(header, paths))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path, cols in zip(paths, found):
+        if cols:
+            out.setdefault(cols, []).append(path)
+    return out
+
+
+def _scan(spark: SparkSession, cols: tuple[str, ...], paths: list[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+    return (spark.read.option("header", True).schema(schema).csv(paths)
+            .withColumn("src_file", F.col("_metadata.file_name")))
+
+
 def _as_number(c: str):
     return F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
 
 
 def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None = CAPTURE_FILES,
                   check: bool = True, key_col: str | None = None,
-                  float32: bool = False, align_by_name: bool = False) -> tuple[DataFrame, list[str]]:
+                  float32: bool = False, align_by_name: bool = True) -> tuple[DataFrame, list[str]]:
     """Returns (flow frame, feature names).
 
     ``files`` names the capture files under ``data_dir`` (checked for
@@ -82,31 +112,28 @@ def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None =
     attack_family, cic_label, report_name.  ``row_id`` is md5 of the source
     file and the raw row unless ``key_col`` names a supplied key.
 
-    One scan reads all files with the first file's header layout (the capture
-    set shares one).  ``align_by_name`` reads each named file on its own and
-    unions by column name (H1), for files whose column order or set differs;
-    missing columns become null."""
-    reader = spark.read.option("header", True)
+    Columns go by name: files are grouped by their header, each distinct header
+    is one scan, and the scans are united by column name (H1); missing columns
+    become null.  Every file must have a Label column.  With
+    ``align_by_name=False`` the caller states that all files have the first
+    one's header, and no other header is read."""
     if files is None:
-        raw = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-               .csv(data_dir))
-        raw = raw.toDF(*normalise_headers(raw.columns)).withColumn("src_file", F.col("_metadata.file_name"))
+        paths = sorted(r[0] for r in list_files(spark, data_dir).select("path").collect())
     else:
         if check:
             check_complete(spark, data_dir, files)
         paths = [posixpath.join(data_dir, f) for f in files]
-        if align_by_name:
-            parts = []
-            for path in paths:
-                one = reader.csv(path)
-                parts.append(one.toDF(*normalise_headers(one.columns))
-                             .withColumn("src_file", F.col("_metadata.file_name")))
-            raw = parts[0]
-            for part in parts[1:]:
-                raw = raw.unionByName(part, allowMissingColumns=True)
-        else:
-            raw = reader.csv(paths)
-            raw = raw.toDF(*normalise_headers(raw.columns)).withColumn("src_file", F.col("_metadata.file_name"))
+    if align_by_name:
+        headers = read_headers(spark, paths)
+    else:
+        headers = {cols: paths for cols in read_headers(spark, paths[:1])}
+    if not headers:
+        raise MissingCaptureFiles(f"no capture file with a header under {data_dir}")
+    unlabelled = sorted(f for cols, group in headers.items() if LABEL not in cols for f in group)
+    if unlabelled:
+        raise MissingLabel(f"no {LABEL} column in {unlabelled}")
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                 [_scan(spark, cols, group) for cols, group in headers.items()])
     names = [c for c in raw.columns if c != "src_file"]
     candidates = [c for c in names if c != LABEL and c != key_col]
     # one aggregate decides which columns are numeric everywhere (A3)
@@ -117,10 +144,9 @@ def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None =
     raw_concat = F.concat_ws("\u001f", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
     row_id = (F.col(f"`{key_col}`").cast("string") if key_col
               else F.md5(F.concat_ws("\u001e", F.col("src_file"), raw_concat)))
-    label = F.col(f"`{LABEL}`") if LABEL in names else F.lit(None).cast("string")
     flows = raw.select(row_id.alias("row_id"), "src_file",
                        *[nonfinite_to_null(_as_number(c)).alias(c) for c in features],
-                       label.alias(LABEL))
+                       F.col(LABEL))
     if float32:
         flows = narrow_float32(flows, features)
     return with_label_columns(flows, LABEL), features

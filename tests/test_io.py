@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.sources.artifacts import FusionConfig
-from flowsentry.sources.flow_csv import CAPTURE_FILES, MissingCaptureFiles, normalise_headers, read_flow_csv
+from flowsentry.sources.flow_csv import CAPTURE_FILES, MissingCaptureFiles, MissingLabel, normalise_headers, read_flow_csv
 
 
 def _write_captures(folder, drop=None):
@@ -59,6 +59,27 @@ def test_csv_align_by_name(spark):
                    (3.0, 30.0, 7.0, "Benign (Validation)"), (4.0, 40.0, 8.0, "Botnet")]
 
 
+def test_csv_swapped_columns_go_by_name(spark):
+    folder = tempfile.mkdtemp(prefix="captures-")
+    for name, text in {"a.csv": "Pkts,Bytes,Label\n1,10,BENIGN\n", "b.csv": "Bytes,Pkts,Label\n30,3,BENIGN\n",
+                       "c.csv": "Pkts,Bytes,Label\n2,20,Bot\n", "empty.csv": ""}.items():
+        with open(os.path.join(folder, name), "w") as fh:
+            fh.write(text)
+    flows, feats = read_flow_csv(spark, folder, files=None)
+    assert sorted(feats) == ["Bytes", "Pkts"]
+    assert sorted((r["Pkts"], r["Bytes"], r["src_file"]) for r in flows.collect()) == [
+        (1.0, 10.0, "a.csv"), (2.0, 20.0, "c.csv"), (3.0, 30.0, "b.csv")]
+
+
+def test_csv_label_is_required(spark):
+    folder = tempfile.mkdtemp(prefix="captures-")
+    for name, text in {"a.csv": "Pkts,Bytes,Label\n1,10,BENIGN\n", "b.csv": "Pkts,Bytes\n2,20\n"}.items():
+        with open(os.path.join(folder, name), "w") as fh:
+            fh.write(text)
+    with pytest.raises(MissingLabel, match="b.csv"):
+        read_flow_csv(spark, folder, files=["a.csv", "b.csv"], check=False)
+
+
 def test_csv_completeness(spark):
     folder = tempfile.mkdtemp(prefix="captures-")
     _write_captures(folder, drop=CAPTURE_FILES[5])
