@@ -435,7 +435,8 @@ def all_queries() -> dict[str, Query]:
 # ---------------------------------------------------------------- sources, sinks, stream
 def q_csv_flow_scan(spark, sf_dir):
     """The dirty lineitem flows written as CSV capture files with
-    padded and repeated headers plus a non-numeric column, then scanned."""
+    padded headers plus a non-numeric column, then scanned (repeated headers:
+    see the tests)."""
     from ..session import shared_path
     from ..sources.flow_csv import read_flow_csv
     src = lineitem_flows(spark, sf_dir, with_labels=False)
