@@ -18,8 +18,8 @@ Defined cases: null and empty texts have no windows.  An item of fewer than
 ``width`` but at least ``LEAST`` words is one window of its own length; a
 shorter one is never matched.  An alignment of which fewer than half of the
 words are literal stands only with equal values.  Repeated document rows are
-matched row by row and give one result per (id, item); repeated items are
-items of their own.  Null ids are kept.  Other columns are not read; empty
+matched row by row and give one result per (id, item); ``decontaminate``
+removes by row.  Repeated items are items of their own.  Null ids are kept.  Other columns are not read; empty
 tables give an empty result.
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import Scratch
+from flowsentry.llm.common import Scratch, fresh
 
 WIDTH = 8
 LEAST = 3
@@ -73,11 +73,36 @@ def windows(words: Column, n: int) -> Column:
     return F.regexp_extract_all(words, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{n - 1}}}))[^ ]++ ?"), F.lit(1))
 
 
+def digest(text: Column) -> Column:
+    """Names a text; equal texts match the same items."""
+    return F.sha2(text, 256)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per (document, item) that match: id, item id, n_windows,
     matched_words (item words covered), item_words, kind (exact or template),
     n_rows (document rows of that id that match)."""
+    schema = (f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, "
+              "n_windows long, matched_words long, item_words long, kind string, n_rows long")
+    names = {"id": id_col, "item": item_col}
+    got = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
+    if got is None:
+        return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed(names)
+    found, items = got
+    found = (found.groupBy("id", "item_row")
+             .agg(F.max("n_windows").alias("n_windows"), F.max("matched_words").alias("matched_words"),
+                  F.max(F.col("item_words").cast("long")).alias("item_words"),
+                  F.when(F.max("exact"), "exact").otherwise("template").alias("kind"), F.count("*").alias("n_rows")))
+    return (found.join(items.select("item_row", "item"), "item_row")
+            .select("id", "item", "n_windows", "matched_words", "item_words", "kind", "n_rows").withColumnsRenamed(names))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+             width: int) -> tuple[DataFrame, DataFrame] | None:
+    """(row, id, digest of the text, item_row, item_words, n_windows,
+    matched_words, exact) of the document rows that match an item, and the
+    items; None if no item can match."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.table(
         benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item"),
@@ -87,11 +112,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         .withColumn("item_words", F.size("item_values")).where(F.col("item_words") >= LEAST)
         .withColumn("size", F.least("item_words", F.lit(width))), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    schema = (f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, "
-              "n_windows long, matched_words long, item_words long, kind string, n_rows long")
-    names = {"id": id_col, "item": item_col}
     if not sizes:
-        return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed(names)
+        return None
 
     probe = None
     for n in sizes:
@@ -134,25 +156,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                   & (F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["d"])))) == n))
     stands = (aligned.withColumn("exact", F.forall("pairs", lambda p: p["b"] == p["d"]))
               .where(one_to_one & (F.col("exact") | (F.size("slots") * 2 <= F.size("covered"))))
-              .select("row", "id", "item_row", "item_words", "places", "covered", "exact"))
-    found = (stands.groupBy("row", "id", "item_row", "item_words")
+              .select("row", "id", digest(F.col("text")).alias("digest"), "item_row", "item_words", "places", "covered", "exact"))
+    found = (stands.groupBy("row", "id", "digest", "item_row", "item_words")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
                   F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("long").alias("matched_words"),
-                  F.max("exact").alias("exact"))
-             .groupBy("id", "item_row")
-             .agg(F.max("n_windows").alias("n_windows"), F.max("matched_words").alias("matched_words"),
-                  F.max(F.col("item_words").cast("long")).alias("item_words"),
-                  F.when(F.max("exact"), "exact").otherwise("template").alias("kind"), F.count("*").alias("n_rows")))
-    return (found.join(items.select("item_row", "item"), "item_row")
-            .select("id", "item", "n_windows", "matched_words", "item_words", "kind", "n_rows").withColumnsRenamed(names))
+                  F.max("exact").alias("exact")))
+    return found, items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The documents that match no item; of rows that share an id, all go if
-    one matches.  A null id counts as an id."""
-    found = leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
-    found = Scratch(docs.sparkSession, "decontaminate").table(found.select(F.col(id_col).alias("_leaked")).distinct(), "leaked")
+    """The rows that match no item, each judged by its own text: rows of one
+    id, or without an id, don't take each other along."""
+    got = _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
+    if got is None:
+        return docs
+    leaked = fresh(docs, "_leaked")
+    found = Scratch(docs.sparkSession, "decontaminate").table(got[0].select(F.col("digest").alias(leaked)).distinct(), "leaked")
     if found.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         found = F.broadcast(found)
-    return docs.join(found, docs[id_col].eqNullSafe(found["_leaked"]), "left_anti")
+    return docs.join(found, digest(docs[text_col]) == found[leaked], "left_anti")

@@ -163,6 +163,16 @@ def test_decontaminate_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd, mine).count() == odd.count() - 1
 
 
+def test_decontaminate_removes_rows_not_ids(spark):
+    rows = [(None, ITEMS[0][1]), (None, "clean words without any id here"), (7, "other clean words under one id"), (7, "see: " + ITEMS[4][1]),
+            (7, None), (8, "more clean words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash"))
+    out = decontaminate.decontaminate(df, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert out.columns == df.columns
+    assert sorted(map(str, out.drop("digest").collect())) == sorted(map(str, df.drop("digest").where(
+        "text is null or text like '%clean%'").collect()))
+
+
 # ------------------------------------------------------------------ 3
 def plain_links(rows, threshold):
     n = len(rows)
