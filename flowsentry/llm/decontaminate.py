@@ -3,7 +3,10 @@
 Words of documents and benchmark items become template words: numbers, units
 behind numbers, and names (capitalised words inside a sentence) are replaced
 by typed placeholders, all else is put in lower case, and marks go.  Windows of ``width``
-template words are hashed and joined.  Matched windows on one diagonal
+template words are hashed and joined, each in all its forms: as typed, with
+its first word literal (whether that one is a name or unit hangs on what
+stands before the window), and all literal (copies in other letter case, or
+with other sentence ends, type other words).  Matched windows on one diagonal
 (document place minus item place) form an alignment; an alignment stands if
 its slot values are consistent: each value of the item goes with one value of
 the document and the other way round.  Equal values are an exact leak,
@@ -73,6 +76,21 @@ def windows(words: Column, n: int) -> Column:
     return F.regexp_extract_all(words, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{n - 1}}}))[^ ]++ ?"), F.lit(1))
 
 
+def literal(text: Column) -> Column:
+    """The words themselves, joined by one space."""
+    return F.array_join(values(text), " ")
+
+
+def forms(typed: Column, plain: Column) -> Column:
+    """Array of the distinct forms of a window, given as template words and
+    as the words themselves."""
+    first = F.concat(F.substring_index(plain, " ", 1), F.substring(typed, len("#name") + 1, 1 << 30))
+    return (F.when(typed == plain, F.array(typed))
+            .when(typed.startswith("#name ") | typed.startswith("#unit "),
+                  F.when(first == plain, F.array(typed, plain)).otherwise(F.array(typed, first, plain)))
+            .otherwise(F.array(typed, plain)))
+
+
 def digest(text: Column) -> Column:
     """Names a text; equal texts match the same items."""
     return F.sha2(text, 256)
@@ -108,7 +126,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item"),
                          F.col(item_text_col).alias("text"), spaced(F.col(item_text_col)).alias("spaced"))
         .select("item_row", "item", F.coalesce(template(F.col("spaced")), F.lit("")).alias("template"),
-                values(F.col("text")).alias("item_values"))
+                values(F.col("text")).alias("item_values"), literal(F.col("text")).alias("literal"))
         .withColumn("item_words", F.size("item_values")).where(F.col("item_words") >= LEAST)
         .withColumn("size", F.least("item_words", F.lit(width))), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
@@ -118,17 +136,23 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     probe = None
     for n in sizes:
         part = (items.where(F.col("size") == n)
-                .select("item_row", "size", F.posexplode(windows(F.col("template"), n)).alias("item_pos", "item_window")))
+                .select("item_row", "size", F.posexplode(F.arrays_zip(
+                    windows(F.col("template"), n).alias("typed"), windows(F.col("literal"), n).alias("plain"))).alias("item_pos", "w"))
+                .select("item_row", "size", "item_pos", F.explode(forms(F.col("w.typed"), F.col("w.plain"))).alias("item_window")))
         probe = part if probe is None else probe.unionByName(part)
     probe = scratch.table(probe.withColumn("h", F.xxhash64("size", "item_window")), "windows")
     small = probe.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                       spaced(F.col(text_col)).alias("spaced"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not small:       # these rows are read twice
+        rows = scratch.table(rows, "rows")
+    rows = rows.select("row", "id", "text", spaced(F.col("text")).alias("spaced"))
     hits = None
     for n in sizes:
         # posexplode_outer: for posexplode, the optimiser infers a filter that would make the windows twice
-        grams = (rows.select("row", "id", "text", F.posexplode_outer(windows(template(F.col("spaced")), n)).alias("pos", "window"))
+        grams = (rows.select("row", "id", "text", F.posexplode_outer(F.arrays_zip(
+                     windows(template(F.col("spaced")), n).alias("typed"), windows(literal(F.col("text")), n).alias("plain"))).alias("pos", "w"))
+                 .select("row", "id", "text", "pos", F.explode(forms(F.col("w.typed"), F.col("w.plain"))).alias("window"))
                  .withColumn("h", F.xxhash64(F.lit(n), "window")))
         mine = probe.where(F.col("size") == n)
         if small:

@@ -163,6 +163,18 @@ def test_decontaminate_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd, mine).count() == odd.count() - 1
 
 
+def test_leaks_do_not_hang_on_case_or_what_stands_before(spark):
+    items = [(1, "What is the capital of France?"), (2, "Anna and Tom walk 3 km to the market. There they buy bread for Mary.")]
+    before = ["", "Question:\n", "Question: ", "# Task 7\n", "so he asked \"", "see (", "one line\n"]
+    docs = [(10 * i + j, b + t) for i, b in enumerate(before)
+            for j, t in enumerate([x for _, q in items for x in (q, q.lower(), q.upper())])]
+    docs += [(900, "Question:\nWhat is the capital of Spain?"), (901, "Question:\nWhat is the river of Spain?"), (902, "what IS the")]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.leaks(*args).collect()}
+    want = {(d, 1 + (d % 10) // 3): "exact" for d, _ in docs[:-3]} | {(900, 1): "template"}
+    assert got == want
+
+
 def test_decontaminate_removes_rows_not_ids(spark):
     rows = [(None, ITEMS[0][1]), (None, "clean words without any id here"), (7, "other clean words under one id"), (7, "see: " + ITEMS[4][1]),
             (7, None), (8, "more clean words")]
