@@ -7,10 +7,12 @@ template words are hashed and joined, each in all its forms: as typed, with
 its first word literal (whether that one is a name or unit hangs on what
 stands before the window), and all literal (copies in other letter case, or
 with other sentence ends, type other words).  Matched windows on one diagonal
-(document place minus item place) form an alignment; an alignment stands if
-its slot values are consistent: each value of the item goes with one value of
-the document and the other way round.  Equal values are an exact leak,
-others a re-parameterised question.
+(document place minus item place) form an alignment; each run of consecutive
+windows of it stands if its slot values are consistent: each value of the
+item goes with one value of the document and the other way round.  If they
+clash, only the windows with a changed value that clashes go, and a run of
+what is left stands if it is equal word by word, or has as many words outside
+slots as a window is long.  Equal values are an exact leak, others a re-parameterised question.
 
 Only DataFrame functions.  Document windows are never shuffled while the
 benchmark has at most ``BROADCAST_WINDOWS`` windows (counted, then broadcast);
@@ -116,6 +118,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             .select("id", "item", "n_windows", "matched_words", "item_words", "kind", "n_rows").withColumnsRenamed(names))
 
 
+def _runs(df: DataFrame) -> DataFrame:
+    """One row for each run of consecutive numbers in the sorted ``places``."""
+    runs = F.array_distinct(F.transform("places", lambda p, i: p - i))
+    return (df.withColumn("run", F.explode(runs))
+            .withColumn("places", F.filter("places", lambda p, i: p - i == F.col("run"))).drop("run"))
+
+
+def _pair(p: Column) -> Column:
+    """Type and values, in item and document, of the slot at item place ``p``."""
+    return F.struct(F.get("item_template", p).alias("t"), F.get("item_values", p).alias("b"),
+                    F.get("values", p + F.col("diagonal")).alias("d"))
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    """covered (item places from 0 of the run), slots among them, changed
+    (places with another word), pairs of slot values, exact (no other word),
+    consistent (pairs are one to one)."""
+    n = F.size("pairs")
+    return (df.withColumn("covered", F.sequence(F.array_min("places"), F.array_max("places") + F.col("size") - 1))
+            .withColumn("slots", F.filter("covered", lambda p: F.get("item_template", p).startswith("#")))
+            .withColumn("changed", F.filter("covered", lambda p: F.get("item_values", p) != F.get("values", p + F.col("diagonal"))))
+            .withColumn("pairs", F.array_distinct(F.transform("slots", _pair)))
+            .withColumn("exact", F.size("changed") == 0)
+            .withColumn("consistent",
+                        (F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["b"])))) == n)
+                        & (F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["d"])))) == n)))
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
              width: int) -> tuple[DataFrame, DataFrame] | None:
     """(row, id, digest of the text, item_row, item_words, n_windows,
@@ -165,22 +195,23 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
                 .agg(F.collect_set("item_pos").alias("places"), F.first("text").alias("text")))
         hits = part if hits is None else hits.unionByName(part)
 
-    # item places (from 0) that the alignment covers, and the values in the slots among them
-    item_words = F.split("template", " ")
-    aligned = (hits.join(items.drop("size", "item"), "item_row")
-               .withColumn("values", values(F.col("text")))
-               .withColumn("item_template", item_words)
-               .withColumn("covered", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
-               .withColumn("slots", F.filter("covered", lambda p: F.get("item_template", p).startswith("#")))
-               .withColumn("pairs", F.array_distinct(F.transform("slots", lambda p: F.struct(
-                   F.get("item_template", p).alias("t"), F.get("item_values", p).alias("b"),
-                   F.get("values", p + F.col("diagonal")).alias("d"))))))
-    n = F.size("pairs")
-    one_to_one = ((F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["b"])))) == n)
-                  & (F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["t"], p["d"])))) == n))
-    stands = (aligned.withColumn("exact", F.forall("pairs", lambda p: p["b"] == p["d"]))
-              .where(one_to_one & (F.col("exact") | (F.size("slots") * 2 <= F.size("covered"))))
-              .select("row", "id", digest(F.col("text")).alias("digest"), "item_row", "item_words", "places", "covered", "exact"))
+    aligned = (hits.join(items.select("item_row", "item_words", "item_values", F.split("template", " ").alias("item_template")), "item_row")
+               .withColumn("values", values(F.col("text"))).withColumn("digest", digest(F.col("text"))).drop("text")
+               .withColumn("places", F.sort_array("places")))
+    whole = _judged(_runs(aligned))
+    good = F.col("consistent") & (F.col("exact") | (F.size("slots") * 2 <= F.size("covered")))
+    # of a run that does not stand: the windows without a clash, and those that are equal word by word
+    clashing = F.filter("pairs", lambda p: (p["b"] != p["d"]) & F.exists("pairs", lambda q: (q["t"] == p["t"]) & (
+        (q["b"] == p["b"]) != (q["d"] == p["d"]))))
+    bad = F.filter("slots", lambda p: F.array_contains("clashing", _pair(p)))
+    parts = (whole.withColumn("whole", good).withColumn("clashing", clashing).withColumn("bad", bad)
+             .withColumn("parts", F.when(F.col("whole"), F.array("places")).otherwise(F.array(
+                 F.filter("places", lambda w: ~F.exists("bad", lambda p: (p >= w) & (p < w + F.col("size")))),
+                 F.filter("places", lambda w: ~F.exists("changed", lambda p: (p >= w) & (p < w + F.col("size")))))))
+             .select("row", "id", "digest", "item_row", "item_words", "size", "diagonal", "item_values", "item_template", "values", "whole",
+                     F.explode("parts").alias("places")))
+    stands = (_judged(_runs(parts))
+              .where(good & (F.col("whole") | F.col("exact") | (F.size("covered") - F.size("slots") >= F.col("size")))))
     found = (stands.groupBy("row", "id", "digest", "item_row", "item_words")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
                   F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("long").alias("matched_words"),

@@ -175,6 +175,18 @@ def test_leaks_do_not_hang_on_case_or_what_stands_before(spark):
     assert got == want
 
 
+def test_leaks_beside_a_clash(spark):
+    """Long literal runs stand though two equal values of the item differ."""
+    head, tail = " ".join(words("head", 20)), " ".join(words("tail", 25))
+    items = [(1, f"so Tom has 12 apples {head} and 12 pears {tail}"), (2, "so Tom met Tom and Tom paid 4 of 4 coins")]
+    docs = [(1, f"so Tom has 12 apples {head} and 13 pears {tail}"),            # one of two values changed
+            (2, f"so Bob has 7 apples {head} and 8 pears {tail}"),              # drawn apart
+            (3, "so Tom met Bob and Jim paid 4 of 5 coins"), (4, f"{' '.join(words('a', 20))} and 13 pears {' '.join(words('b', 20))}")]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.leaks(*args).collect()}
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1] >= 40 and got[2, 1] >= 40
+
+
 def test_decontaminate_removes_rows_not_ids(spark):
     rows = [(None, ITEMS[0][1]), (None, "clean words without any id here"), (7, "other clean words under one id"), (7, "see: " + ITEMS[4][1]),
             (7, None), (8, "more clean words")]
