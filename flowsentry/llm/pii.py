@@ -1,7 +1,9 @@
 """Personal data: surrogates for detected entities (operator 9).
 
-Detected: e-mail addresses, IPv4 addresses, card and account numbers, phone
-numbers, social security numbers, keys and tokens with a label, and names
+Detected, in the digits of any script: e-mail addresses, IPv4 addresses, card
+and account numbers, phone numbers (an area code set apart, + and 8 to 15
+digits, pairs behind a trunk 0 or 00, ten digits in a row), social security
+numbers, keys and tokens with a label, and names
 behind a title.  Every entity gets a surrogate of its own type, drawn with a
 secret key: the same value has the same surrogate in all documents and
 notations (coreference), and the layout is kept (separators, country code,
@@ -43,18 +45,24 @@ MANY_ATTEMPTS = 12
 
 EMAIL, IPV4, CARD, ACCOUNT, PHONE, SSN, SECRET, NAME = "email", "ipv4", "card", "account", "phone", "ssn", "secret", "name"
 
+#: The digit zero in all scripts.
+ZEROS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.decimal(c, None) == 0)
 PATTERNS = regex.compile(
     r"(?P<email>(?<![\w.+-])[\p{L}\p{N}_][\p{L}\p{N}_.+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}]))"
     r"|(?P<secret>(?<=(?i:api_key|apikey|access_key|secret|token|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-/+]{12,128}(?![A-Za-z0-9_\-/+]))"
     r"|(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d]|[.,-]\d))"
-    r"|(?P<phone>(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\d]|[.,-]\d))"
+    # with an area code set apart; behind + (digits in any groups); pairs of digits behind a trunk 0; ten digits in a row
+    r"|(?P<phone>(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\d]|[.,-]\d)"
+    r"|(?<![\p{L}\d+])\+\d(?:[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d){7,14}(?![ ]?\d|[.,-]\d)"
+    rf"|(?<![\p{{L}}\d]|\d[.,-])(?:[{ZEROS}]{{2}}\d{{1,3}}[ .-]?\d|[{ZEROS}]\d)(?:[ .-]\d\d){{4}}(?![\d]|[.,-]\d)"
+    r"|(?<![\p{L}\d]|\d[.,-])\d{10}(?![\p{L}\d]|[.,-]\d))"
     r"|(?P<name>(?<!\p{L})(?P<title>Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Г-н|Г-жа|Господин|Госпожа)"
     r"\.?[ ](?P<who>\p{Lu}[\p{L}\p{M}'’-]+(?:[ ]\p{Lu}[\p{L}\p{M}'’-]+){0,2}))")
 TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Г-", "Господин", "Госпожа")
 LABELS = ("api_key", "apikey", "access_key", "secret", "token", "passw", "pwd")
-DIGIT = re.compile(r"[@0-9]")
+DIGIT = re.compile(r"[@\d]")       # the digits that PATTERNS knows
 
 
 def may_hold(text: str) -> bool:

@@ -457,6 +457,23 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert pii.pseudonymise(docs, "k").collect() == one
 
 
+@pytest.mark.parametrize("number", [
+    "+14155551234", "4155551234", "+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "+33 (0)1 23 45 67 89", "0033.1.23.45.67.89", "٠١ ٢٣ ٤٥ ٦٧ ٨٩", "+4915112345678",
+    "+1-415-555-1234", "+9 (999) 999-9999", "(743) 555-3824", "٧٤٣-٥٥٥-٣٨٢٤", "+१४१५५५५१२३४", "٤١٥٥٥٥١٢٣٤"])
+def test_phone_notations(number):
+    for text in (number, f"اتصل: {number}.", f"call {number}, now"):
+        found = pii.find(text)
+        assert [(e.kind, text[e.start:e.end]) for e in found] == [("phone", number)]
+        new = pii.render(found[0], number, pii.surrogate(b"k", "phone", "", found[0].value, 0))
+        assert len(new) == len(number) and pii.digits_of(new) != pii.digits_of(number)
+
+
+def test_cards_in_other_digits_and_no_phones():
+    card = "٤١١١ ١١١١ ١١١١ ١١١١"
+    assert [(e.kind, e.value) for e in pii.find(card)] == [("card", "4111111111111111")]
+    assert not [e for t in ("in 2012 and 1999, 3.14159265358, 12 34", "a4155551234b", "41555512345", "10 20 30 40 50", "+12 and +345") for e in pii.find(t)]
+
+
 def test_surrogates_odd_rows(spark, odd):
     out = pii.pseudonymise(odd, "k")
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
