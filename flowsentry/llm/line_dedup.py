@@ -49,8 +49,9 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
         start = after
 
 
-def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per unit: row, id, no, start, end, words, d1, d2."""
+def unit_table(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """One row per unit: row (``row_col``, or the place in the scan), id, no,
+    start, end, words, d1, d2."""
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType),
         *[T.StructField(c, T.IntegerType()) for c in ("no", "start", "end", "words")],
@@ -61,8 +62,9 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 of, rows, plain, digests = [], [], [], []
+                given = batch.column(2).to_pylist() if row_col else None
                 for i, text in enumerate(texts(batch.column(1))):
-                    row = next(numbers)
+                    row = given[i] if given else next(numbers)
                     for no, (start, end, norm, n) in enumerate(units(text) if text else ()):
                         of.append(i)
                         rows.append(row)
@@ -75,16 +77,16 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      *[pa.array(four[:, k]) for k in range(4)],
                      pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *([row_col] if row_col else [])).mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      min_words: int = MIN_WORDS) -> DataFrame:
+                      min_words: int = MIN_WORDS, row_col: str | None = None) -> DataFrame:
     """One row per removed passage: row, id, start, end (characters of the
     original text), n_words, n_units, kept_in (sorted ids of the documents
     that keep its units)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    all_units = scratch.table(unit_table(docs, id_col, text_col), "units")
+    all_units = scratch.table(unit_table(docs, id_col, text_col, row_col), "units")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "no")
     first = (all_units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
              .where("n > 1").select("d1", "d2", "first"))
@@ -137,18 +139,13 @@ def remove_passages(text: str, spans: list[tuple[int, int]]) -> str:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input with repeated passages cut out of ``text_col``.  Rows are
-    numbered by their place in the scan, so ``docs`` is to be a table."""
+    numbered in a written copy: another scan may deal them in another way."""
     number, span = fresh(docs, "_row_number"), fresh(docs, "_spans")
-    passages = repeated_passages(docs, id_col, text_col, min_words)
+    rows = Scratch(docs.sparkSession, "line-dedup").table(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
+    passages = repeated_passages(rows, id_col, text_col, min_words, number)
     spans = passages.groupBy(F.col("row").alias(number)).agg(F.collect_list(F.struct("start", "end")).alias(span))
     columns = docs.columns
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = row_numbering()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([next(numbers) for _ in range(batch.num_rows)], pa.int64())],
-                                             names=[*columns, number])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text_col)
         for batch in batches:
@@ -158,6 +155,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays[at] = pa.array(new, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    rows = docs.mapInArrow(numbered, T.StructType([*docs.schema.fields, T.StructField(number, T.LongType())]))
     joined = rows.join(spans, number, "left")
     return joined.select(*[F.col(f"`{c}`") for c in columns], span).mapInArrow(cut, docs.schema)

@@ -414,6 +414,39 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert {(r["doc_id"], r["component_id"]) for r in chosen_path.near_duplicates(both).collect()} == {(1, 1), (None, 1)}
 
 
+def packed_anew(docs, spark):
+    """The table read with another packing of its files by every further job,
+    as when the number of live cores changes: the scan's place says no more."""
+    import itertools as it
+    turn = it.count()
+
+    class Moving(type(docs)):
+        def __getattribute__(self, name):
+            if name in ("select", "withColumn", "mapInArrow"):
+                n = next(turn)
+                return getattr(docs.repartition(2 + n % 3, F.xxhash64("text", F.lit(n))), name)
+            return super().__getattribute__(name)
+
+    docs.__class__ = Moving
+    return docs
+
+
+def test_rows_keep_their_number_when_the_scan_is_packed_anew(spark):
+    rows = [(i, varied(f"m{i}", words(f"m{i // 4}", 80), i % 4)) for i in range(60)]
+    shared = sentences("moved", 9)
+    texts = [(i, f"{t}\n{shared if i % 2 else sentences(f'own{i}', 5)}") for i, t in rows]
+    n, roots = plain_near(rows)
+
+    def table(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    out = chosen_path.dedup(packed_anew(table(rows), spark)).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted({rows[r][0] for r in roots})
+    want = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(Scratch(spark, "t").table(table(texts), "t")).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(packed_anew(table(texts), spark)).collect()}
+    assert got == want and sum(shared in t for t in got.values()) == 1
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(20)]
