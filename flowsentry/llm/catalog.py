@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowsentry.llm import (chat_format, chosen_path, decontaminate, embedding_dedup, lang_id, line_dedup, pii,
-                            sentence_pieces, token_counts, url_filter)
+                            quality_rules, sentence_pieces, token_counts, url_filter)
 
 PII_KEY = "set-a-secret-of-your-own"
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -76,9 +76,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_line_dedup, op2_template_decontamination, op3_embedding_dedup, op4_token_counts, op5_language_id,
-           op6_sentencepiece, op7_chat_format, op8_minhash_dedup, op9_pii_surrogates, op10_url_filter)
+           op6_sentencepiece, op7_chat_format, op8_minhash_dedup, op9_pii_surrogates, op10_url_filter, op13_quality_rules)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
