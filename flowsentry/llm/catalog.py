@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowsentry.llm import (chat_format, chosen_path, decontaminate, embedding_dedup, lang_id, line_dedup, pii,
-                            quality_rules, sentence_pieces, token_counts, url_filter)
+from flowsentry.llm import (chat_format, chosen_path, collocations, decontaminate, embedding_dedup, lang_id,
+                            lexical_search, line_dedup, pii, quality_rules, sentence_pieces, token_counts, url_filter)
 
 PII_KEY = "set-a-secret-of-your-own"
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -76,13 +76,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents")).drop("words")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), group_col="lang")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_line_dedup, op2_template_decontamination, op3_embedding_dedup, op4_token_counts, op5_language_id,
-           op6_sentencepiece, op7_chat_format, op8_minhash_dedup, op9_pii_surrogates, op10_url_filter, op13_quality_rules)
+           op6_sentencepiece, op7_chat_format, op8_minhash_dedup, op9_pii_surrogates, op10_url_filter, op11_collocations, op12_lexical_search,
+           op13_quality_rules)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -159,8 +168,53 @@ FROM parsed p LEFT JOIN best b ON b.page_id = p.page_id AND b.k = 1
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS x FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(x[i:i + k - 1], ' ') AS g FROM (
+    SELECT lang, x, k, unnest(range(1, len(x) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(x) >= k)
+), f AS (SELECT lang, k, g, count(*)::HUGEINT AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, g AS phrase, n AS a, string_split(g, ' ') AS x FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, p.n AS l, q.n AS r, (1000000 * c.a * c.a) // (p.n * q.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f p ON p.lang = c.lang AND p.k = j AND p.g = array_to_string(c.x[:j], ' ')
+  JOIN f q ON q.lang = c.lang AND q.k = c.k - j AND q.g = array_to_string(c.x[j + 1:], ' ')
+), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
+dropped AS (
+  SELECT DISTINCT s.lang, s.phrase FROM cand s
+  JOIN (SELECT lang, a, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS part FROM cand WHERE k = 3) t
+    ON t.lang = s.lang AND t.part = s.phrase AND 100 * t.a >= 50 * s.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest WHERE o = 1 AND (lang, phrase) NOT IN (SELECT (lang, phrase) FROM dropped)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP12 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS x FROM documents),
+q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+c AS (SELECT doc_id, t, len(x) AS n, count(*) AS tf FROM (SELECT doc_id, x, unnest(x) AS t FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(len(x))::BIGINT AS terms FROM d WHERE len(x) > 0),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM c, s GROUP BY t, docs),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN c USING (t) JOIN w USING (t), s GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op3_embedding_dedup": OP3, "op7_chat_format": OP7, "op8_minhash_dedup": OP8, "op10_url_filter": OP10}
+    out = {"op3_embedding_dedup": OP3, "op7_chat_format": OP7, "op8_minhash_dedup": OP8, "op10_url_filter": OP10,
+           "op11_collocations": OP11, "op12_lexical_search": OP12}
     if corpus_pipeline.ORACLE_SQL is not None:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out

@@ -9,11 +9,13 @@ document and corpus always get the same verdict.
 
 1. One scan hashes the n-grams of all documents into ``BUCKETS`` buckets and
    adds up two counts a bucket: raw corpus and trusted target.  Each task adds
-   up before the shuffle, so a task sends ``BUCKETS`` rows at most.
+   up before the shuffle, so a task sends ``BUCKETS`` rows a group at most.
 2. A bucket seen c times in the target, where the raw corpus lets expect e,
    weighs ln((c + PRIOR) / (e + PRIOR)), in millionths (whole numbers, so sums
    don't hang on their order).  The prior keeps buckets neutral about which
-   the target tells little.
+   the target tells little.  With a ``group_col`` (the language) the raw corpus
+   is taken in the target's mix of groups, so a document does not lose for a
+   group that happens to have few labels; a group without any is neutral.
 3. A second scan counts and scores each document in place, without a shuffle:
    the weights (``BUCKETS`` numbers, whatever the corpus) are a scalar
    subquery.
@@ -83,29 +85,31 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
             .where("q = 1 AND t = 0").select("_trusted"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, raw, target, weight) for every bucket, from all documents; a
-    written table."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        group_col: str | None = None) -> DataFrame:
+    """(bucket, target, expected, weight) for every bucket, from all
+    documents; a written table."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     ids = scratch.table(trusted_ids(labels, id_col), "trusted")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    group = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), group.alias("_group"))
     rows = rows.join(ids, F.col("_id") == F.col("_trusted"), "left")
     counts = (with_buckets(hashed(rows, "_text"))
               # explode_outer: for explode, the optimiser infers a filter that would hash everything again
-              .select(F.explode_outer("_ngrams").alias("bucket"), F.col("_trusted").isNotNull().cast("long").alias("t"))
+              .select(F.explode_outer("_ngrams").alias("bucket"), "_group", F.col("_trusted").isNotNull().cast("long").alias("t"))
               .where(F.col("bucket").isNotNull())
-              .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
+              .groupBy("bucket", "_group").agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
     counts = scratch.table(counts, "counts")
-    size = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
-    share = (size["target"] or 0) / max(1, size["raw"] or 0)
-    full = (spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-            .fillna(0, ["raw", "target"]))
-    ratio = (F.col("target") + PRIOR) / (F.col("raw") * F.lit(share) + PRIOR)
-    weight = F.floor(F.log(ratio) * UNIT) if share else F.lit(0)
-    return scratch.table(full.withColumn("weight", weight.cast("int")), "weights")
+    shares = counts.groupBy("_group").agg((F.sum("target") / F.sum("raw")).alias("share"))
+    seen = (counts.join(shares, "_group").groupBy("bucket")
+            .agg(F.sum("target").alias("target"), F.sum(F.col("raw") * F.col("share")).alias("expected")))
+    full = (spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(seen, "bucket", "left")
+            .fillna(0, ["target", "expected"]))
+    ratio = (F.col("target") + PRIOR) / (F.col("expected") + PRIOR)
+    return scratch.table(full.withColumn("weight", F.round(F.log(ratio) * UNIT).cast("int")), "weights")
 
 
 def repeated_words(hashes: str, window: int = WINDOW) -> tuple[list[tuple[str, Column]], Column]:
@@ -161,6 +165,6 @@ def judge(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            threshold: float = THRESHOLD) -> DataFrame:
+            group_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``judge`` with weights learned from the documents and their labels."""
-    return judge(docs, fit(docs, labels, id_col, text_col), id_col, text_col, threshold)
+    return judge(docs, fit(docs, labels, id_col, text_col, group_col), id_col, text_col, threshold)
