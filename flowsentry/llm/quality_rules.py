@@ -166,5 +166,7 @@ def judge(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col:
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             group_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``judge`` with weights learned from the documents and their labels."""
-    return judge(docs, fit(docs, labels, id_col, text_col, group_col), id_col, text_col, threshold)
+    """``judge`` with weights learned from the documents and their labels.  A
+    written table: a filter on it must not be pushed into the measures."""
+    out = judge(docs, fit(docs, labels, id_col, text_col, group_col), id_col, text_col, threshold)
+    return Scratch(docs.sparkSession, "quality").table(out, "judged")
