@@ -15,7 +15,8 @@ with the text.
 
 Where no piece holds a word mark after another character, a word mark is
 always a boundary of all paths, and likewise between letters and others;
-the segments between are encoded once each (a bounded memo per worker).
+the segments between are encoded once each (a task's memo, bounded by its
+size; the tables are emptied when the task ends).
 
 Defined cases: a null text has null ids and no round trip (null); an empty
 text has no ids.  Characters that the model lacks become byte pieces, or the
@@ -39,7 +40,8 @@ from flowsentry.llm.common import texts
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-MEMO = 600_000
+#: Entries of a codec's tables, by their size: about 270 bytes for a segment, 350 for a step and 100 for a pair.
+MEMO, STEPS, PAIRS = 150_000, 60_000, 200_000
 MEMO_CHARS = 48
 
 
@@ -124,7 +126,7 @@ class Pieces:
         as (number, length, piece).  An unknown character is a piece too."""
         got = self._steps.get(s)
         if got is None:
-            if len(self._steps) >= MEMO:
+            if len(self._steps) >= STEPS:
                 self._steps.clear()
             state = next((s[i:] for i in range(len(s)) if s[i:] in self.starts), "")
             ends = tuple((self.numbers[state[i:]], len(state) - i, state[i:]) for i in range(len(state))
@@ -192,7 +194,7 @@ class StreamingViterbi:
                             pair = last << 24 | k
                             ok = pairs.get(pair)
                             if ok is None:
-                                if len(pairs) >= MEMO:
+                                if len(pairs) >= PAIRS:
                                     pairs.clear()
                                 ok = pairs[pair] = p.may_follow(before[1], piece)
                             if not ok:
@@ -307,6 +309,11 @@ class Codec:
             out.append(ids)
         return list(chain.from_iterable(out))
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.p._steps.clear()
+        self.p._pairs.clear()
+
     def decode(self, ids) -> str:
         of = self.p.of_id
         s = b"".join([of[i] for i in ids]).decode("utf-8", errors="replace")
@@ -317,7 +324,7 @@ _LOADED: dict[str, Codec] = {}
 
 
 def codec(model: str) -> Codec:
-    """The worker's codec of this model; its memo serves all its tasks."""
+    """The worker's codec of this model."""
     if model not in _LOADED:
         _LOADED[model] = Codec(Pieces.load(model))
     return _LOADED[model]
@@ -332,20 +339,23 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for whole in batches:
-            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                n, flat, ends, same = [], [], [0], []
-                for text in texts(batch.column(1)):
-                    ids = [] if text is None else c.encode(text)
-                    n.append(None if text is None else len(ids))
-                    same.append(None if text is None else c.decode(ids) == text)
-                    flat.append(np.array(ids, dtype=np.int32))
-                    ends.append(ends[-1] + len(ids))
-                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values,
-                                                 mask=pa.array([x is None for x in n], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=schema.names)
+        try:
+            for whole in batches:
+                for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                    n, flat, ends, same = [], [], [0], []
+                    for text in texts(batch.column(1)):
+                        ids = [] if text is None else c.encode(text)
+                        n.append(None if text is None else len(ids))
+                        same.append(None if text is None else c.decode(ids) == text)
+                        flat.append(np.array(ids, dtype=np.int32))
+                        ends.append(ends[-1] + len(ids))
+                    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values,
+                                                     mask=pa.array([x is None for x in n], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=schema.names)
+        finally:
+            c.forget()
 
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
 
