@@ -6,6 +6,9 @@ longest length at which any n-gram is known decides, else the next shorter
 one, down to single letters.  The text goes to the language with the largest
 sum; the score is that language's share of the likelihoods.
 
+A run of more than ``LONGEST_WORD`` letters (texts without spaces) is never a
+known word: all its n-grams are counted and judged.
+
 Learning counts words over every labelled row (each task adds up before the
 shuffle) and derives n-gram counts from the word counts.  The model keeps the
 ``n_words`` most frequent words and the ``n_grams`` most frequent n-grams, so
@@ -37,7 +40,7 @@ N_GRAMS = 100_000
 LONGEST = 4
 LONGEST_WORD = 64
 FLUSH = 200_000
-MEMO = 200_000
+MEMO = 50_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -50,7 +53,7 @@ def grams_of(word: str, n: int) -> list[str]:
     have no edges."""
     if n == 1:
         return list(word)
-    w = f"<{word[:LONGEST_WORD]}>"
+    w = f"<{word}>"
     return [w[i:i + n] for i in range(len(w) - n + 1)]
 
 
@@ -84,12 +87,16 @@ class Model:
                 known.append(i)
                 times.append(k)
                 continue
-            if w not in memo:
+            if len(w) > LONGEST_WORD:
+                found = self.backoff(w)
+            elif w in memo:
+                found = memo[w]
+            else:
                 if len(memo) >= MEMO:
                     memo.clear()
-                memo[w] = self.backoff(w)
-            if memo[w] is not None:
-                rest = [a + k * b for a, b in zip(rest, memo[w])]
+                found = memo[w] = self.backoff(w)
+            if found is not None:
+                rest = [a + k * b for a, b in zip(rest, found)]
         total = np.array(rest)
         if known:
             total += np.asarray(times, dtype=np.float64) @ self.word_logp[known]
@@ -121,13 +128,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def gram_counts(words: DataFrame) -> DataFrame:
     """(gram, lang, n) from the word counts."""
-    edged = F.concat(F.lit("<"), F.substring("word", 1, LONGEST_WORD), F.lit(">"))
-    size = F.length("w")
-    of = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.col("w").substr(i, F.lit(n))))
-          .otherwise(F.array().cast("array<string>")) for n in range(2, LONGEST + 1)]
-    letters = F.filter(F.split("word", ""), lambda c: c != "")
-    return (words.withColumn("w", edged)
-            .select(F.explode(F.concat(letters, *of)).alias("gram"), "lang", "n")
+    def cut(n: int):
+        return lambda i: F.concat(*[F.get("chars", i + k) for k in range(n)])
+
+    def chars(text) -> Column:
+        return F.filter(F.split(text, ""), lambda c: c != "")
+
+    size = F.size("chars")
+    of = [F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), cut(n))).otherwise(F.array().cast("array<string>"))
+          for n in range(2, LONGEST + 1)]
+    return (words.withColumn("letters", chars(F.col("word"))).withColumn("chars", chars(F.concat(F.lit("<"), "word", F.lit(">"))))
+            # explode_outer: for explode, the optimiser infers a filter that would make the n-grams again
+            .select(F.explode_outer(F.concat("letters", *of)).alias("gram"), "lang", "n")
             .groupBy("gram", "lang").agg(F.sum("n").alias("n")))
 
 
@@ -164,7 +176,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
     if not langs:
         scratch.drop(words)
         return Model([], {}, np.zeros((0, 0)), {}, [])
-    w, w_logp = _most_frequent(words, "word", langs, n_words)
+    w, w_logp = _most_frequent(words.where(F.length("word") <= LONGEST_WORD), "word", langs, n_words)
     g, g_logp = _most_frequent(gram_counts(words), "gram", langs, n_grams)
     scratch.drop(words)
     return Model(langs, w, w_logp, g, g_logp.tolist())
