@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.session import shared_path
@@ -57,6 +57,29 @@ def row_numbering() -> Iterator[int]:
         i += 1
 
 
+def run_hashes(df: DataFrame, col: str, lengths: list[int]) -> DataFrame:
+    """For an array column of longs, adds ``col``_k for each k of ``lengths``
+    over 1: hashes of all runs of k elements, in order (null if it has fewer),
+    each put together from runs of 1, 2, 4 ... elements."""
+    def joined(df: DataFrame, a: int, b: int) -> DataFrame:
+        """Runs of a + b elements from those of a and of b."""
+        size = F.size(col) - (a + b - 1)
+        left, right = (col if k == 1 else f"{col}_{k}" for k in (a, b))
+        return df.withColumn(f"{col}_{a + b}", F.when(size > 0, F.zip_with(
+            F.slice(left, F.lit(1), size), F.slice(right, F.lit(a + 1), size), lambda x, y: F.xxhash64(x, y))))
+
+    have = {1}
+    while 2 * max(have) <= max(lengths, default=1):
+        df, have = joined(df, max(have), max(have)), have | {2 * max(have)}
+    for k in sorted(set(lengths)):
+        at = 0
+        for p in sorted((1 << i for i in range(k.bit_length()) if k >> i & 1), reverse=True):
+            if at and at + p not in have:
+                df, have = joined(df, at, p), have | {at + p}
+            at += p
+    return df
+
+
 def texts(column: pa.Array) -> Iterator[str | None]:
     """Python strings of an Arrow column, one at a time."""
     for x in column:

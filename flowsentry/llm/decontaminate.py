@@ -2,22 +2,29 @@
 
 Words of documents and benchmark items become template words: numbers, units
 behind numbers, and names (capitalised words inside a sentence) are replaced
-by typed placeholders, all else is put in lower case, and marks go.  Windows of ``width``
-template words are hashed and joined, each in all its forms: as typed, with
-its first word literal (whether that one is a name or unit hangs on what
+by typed placeholders, all else is put in lower case, and marks go.  The words
+and the template words of a text are made and hashed once; a window of
+``width`` words is a hash put together from these, in all its forms: as typed,
+with its first word literal (whether that one is a name or unit hangs on what
 stands before the window), and all literal (copies in other letter case, or
-with other sentence ends, type other words).  Matched windows on one diagonal
-(document place minus item place) form an alignment; each run of consecutive
-windows of it stands if its slot values are consistent: each value of the
-item goes with one value of the document and the other way round.  If they
-clash, only the windows with a changed value that clashes go, and a run of
-what is left stands if it is equal word by word, or has as many words outside
-slots as a window is long.  Equal values are an exact leak, others a re-parameterised question.
+with other sentence ends, type other words).  A typed window of placeholders
+alone says nothing and is left out: such windows can stand only when equal,
+which the literal form finds.  The windows of all sizes come out of one scan
+and are joined by hash.
+
+Matched windows on one diagonal (document place minus item place) form an
+alignment; each run of consecutive windows of it stands if its slot values are
+consistent: each value of the item goes with one value of the document and
+the other way round.  If they clash, only the windows with a changed value
+that clashes go, and a run of what is left stands if it is equal word by word,
+or has as many words outside slots as a window is long.  Equal values are an
+exact leak, others a re-parameterised question.
 
 Only DataFrame functions.  Document windows are never shuffled while the
 benchmark has at most ``BROADCAST_WINDOWS`` windows (counted, then broadcast);
-beyond that the join is left to Spark's shuffle joins.  The slot values of a
-window are cut out only for windows that matched.
+beyond that the join is left to Spark's shuffle joins.  A window that an item
+holds several times is matched in its first place there, so texts of one
+repeated word match once for each of their words, not for each pair.
 
 Defined cases: null and empty texts have no windows.  An item of fewer than
 ``width`` but at least ``LEAST`` words is one window of its own length; a
@@ -33,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import Scratch, fresh
+from flowsentry.llm.common import Scratch, fresh, run_hashes
 
 WIDTH = 8
 LEAST = 3
@@ -73,24 +80,41 @@ def values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), F.lower)
 
 
-def windows(words: Column, n: int) -> Column:
-    """All windows of ``n`` template words, in order."""
-    return F.regexp_extract_all(words, F.lit(rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{n - 1}}}))[^ ]++ ?"), F.lit(1))
-
-
-def literal(text: Column) -> Column:
-    """The words themselves, joined by one space."""
-    return F.array_join(values(text), " ")
+def words_of(df: DataFrame) -> DataFrame:
+    """Adds to rows with text: values and template (arrays of equal length)."""
+    return (df.withColumn("_spaced", spaced(F.col("text")))
+            .withColumn("_template", F.coalesce(template(F.col("_spaced")), F.lit("")))
+            .withColumn("values", values(F.col("text")))
+            .withColumn("template", F.when(F.size("values") > 0, F.split("_template", " ")).otherwise(F.array().cast("array<string>")))
+            .drop("_spaced", "_template"))
+
+
+def window_hashes(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds to rows with values and template: windows, an array of (size, at)
+    where at holds for each place the hashes of the window that begins there:
+    typed, with a literal first word, and all literal."""
+    df = (df.withColumn("_t", F.transform("template", lambda w: F.xxhash64(w)))
+          .withColumn("_v", F.transform("values", lambda w: F.xxhash64(w))))
+    for col in ("_t", "_v"):
+        df = run_hashes(df, col, [n - 1 for n in sizes])
+    parts = []
+    for n in sizes:
+        m = F.size("_v") - (n - 1)
+        rest = {c: F.slice(c if n == 2 else f"{c}_{n - 1}", F.lit(2), m) for c in ("_t", "_v")}
+        first = {c: F.slice(c, F.lit(1), m) for c in ("_t", "_v")}
+        whole = lambda a, b, n=n: F.zip_with(a, b, lambda x, y: F.xxhash64(F.lit(n), x, y))
+        typed, mixed, plain = whole(first["_t"], rest["_t"]), whole(first["_v"], rest["_t"]), whole(first["_v"], rest["_v"])
+        parts.append(F.struct(F.lit(n).alias("size"), F.when(m > 0, F.zip_with(
+            F.zip_with(typed, mixed, lambda t, f: F.struct(t.alias("typed"), f.alias("first"))), plain,
+            lambda tf, p: F.struct(tf["typed"].alias("typed"), tf["first"].alias("first"), p.alias("plain")))).alias("at")))
+    return df.withColumn("windows", F.array(*parts)).drop(*[c for c in df.columns if c.startswith(("_t", "_v"))])
 
 
-def forms(typed: Column, plain: Column) -> Column:
-    """Array of the distinct forms of a window, given as template words and
-    as the words themselves."""
-    first = F.concat(F.substring_index(plain, " ", 1), F.substring(typed, len("#name") + 1, 1 << 30))
-    return (F.when(typed == plain, F.array(typed))
-            .when(typed.startswith("#name ") | typed.startswith("#unit "),
-                  F.when(first == plain, F.array(typed, plain)).otherwise(F.array(typed, first, plain)))
-            .otherwise(F.array(typed, plain)))
+def distinct_forms(w: Column) -> Column:
+    """The hashes of one window, mostly a single one."""
+    t, f, p = w["typed"], w["first"], w["plain"]
+    return (F.when(t == p, F.when(f == p, F.array(p)).otherwise(F.array(p, f)))
+            .when(f == p, F.array(t, p)).when(f == t, F.array(t, p)).otherwise(F.array(t, f, p)))
 
 
 def digest(text: Column) -> Column:
@@ -153,64 +177,62 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     items; None if no item can match."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.table(
-        benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item"),
-                         F.col(item_text_col).alias("text"), spaced(F.col(item_text_col)).alias("spaced"))
-        .select("item_row", "item", F.coalesce(template(F.col("spaced")), F.lit("")).alias("template"),
-                values(F.col("text")).alias("item_values"), literal(F.col("text")).alias("literal"))
+        words_of(benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item"),
+                                  F.col(item_text_col).alias("text")))
+        .select("item_row", "item", F.col("values").alias("item_values"), F.col("template").alias("item_template"))
         .withColumn("item_words", F.size("item_values")).where(F.col("item_words") >= LEAST)
         .withColumn("size", F.least("item_words", F.lit(width))), "items")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     if not sizes:
         return None
 
-    probe = None
-    for n in sizes:
-        part = (items.where(F.col("size") == n)
-                .select("item_row", "size", F.posexplode(F.arrays_zip(
-                    windows(F.col("template"), n).alias("typed"), windows(F.col("literal"), n).alias("plain"))).alias("item_pos", "w"))
-                .select("item_row", "size", "item_pos", F.explode(forms(F.col("w.typed"), F.col("w.plain"))).alias("item_window")))
-        probe = part if probe is None else probe.unionByName(part)
-    probe = scratch.table(probe.withColumn("h", F.xxhash64("size", "item_window")), "windows")
+    own = items.select("item_row", "size", F.col("item_values").alias("values"), F.col("item_template").alias("template"))
+    probe = (window_hashes(own, sizes)
+             .select("item_row", "size", "template", F.explode("windows").alias("w")).where("w.size = size")
+             .select("item_row", "size", "template", F.posexplode("w.at").alias("item_pos", "w")))
+    bare = F.forall(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda w: w.startswith("#"))
+    probe = (probe.select("item_row", "size", "item_pos", F.explode(F.when(bare, F.array("w.first", "w.plain")).otherwise(
+                 F.array("w.typed", "w.first", "w.plain"))).alias("h"))
+             .groupBy("item_row", "size", "h").agg(F.min("item_pos").alias("item_pos")))
+    probe = scratch.table(probe, "windows")
     small = probe.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not small:       # these rows are read twice
         rows = scratch.table(rows, "rows")
-    rows = rows.select("row", "id", "text", spaced(F.col("text")).alias("spaced"))
-    hits = None
-    for n in sizes:
-        # posexplode_outer: for posexplode, the optimiser infers a filter that would make the windows twice
-        grams = (rows.select("row", "id", "text", F.posexplode_outer(F.arrays_zip(
-                     windows(template(F.col("spaced")), n).alias("typed"), windows(literal(F.col("text")), n).alias("plain"))).alias("pos", "w"))
-                 .select("row", "id", "text", "pos", F.explode(forms(F.col("w.typed"), F.col("w.plain"))).alias("window"))
-                 .withColumn("h", F.xxhash64(F.lit(n), "window")))
-        mine = probe.where(F.col("size") == n)
-        if small:
-            part = grams.join(F.broadcast(mine), "h")
-        else:
-            part = grams.drop("text").join(mine, "h").join(rows.select("row", "text"), "row")
-        # equal hashes are confirmed on the windows (as a condition beside the key)
-        part = (part.where(F.levenshtein("window", "item_window", 0) == 0)
-                .groupBy("row", "id", "item_row", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-                .agg(F.collect_set("item_pos").alias("places"), F.first("text").alias("text")))
-        hits = part if hits is None else hits.unionByName(part)
-
-    aligned = (hits.join(items.select("item_row", "item_words", "item_values", F.split("template", " ").alias("item_template")), "item_row")
-               .withColumn("values", values(F.col("text"))).withColumn("digest", digest(F.col("text"))).drop("text")
-               .withColumn("places", F.sort_array("places")))
-    whole = _judged(_runs(aligned))
+    # explode_outer: for explode, the optimiser infers filters that would make the windows again
+    grams = (window_hashes(words_of(rows), sizes)
+             .select("row", "id", "text", F.explode_outer("windows").alias("w"))
+             .select("row", "id", "text", F.posexplode_outer("w.at").alias("pos", "w"))
+             .select("row", "id", "text", "pos", F.explode_outer(distinct_forms(F.col("w"))).alias("h")))
+    if small:
+        hits = grams.join(F.broadcast(probe), "h")
+    else:
+        hits = grams.drop("text").join(probe, "h").join(rows.select("row", "text"), "row")
+    hits = (hits.groupBy("row", "id", "item_row", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+            .agg(F.collect_set("item_pos").alias("places"), F.first("text").alias("text")))
+    # written: what follows uses these arrays many times, and the optimiser would make them again in each place
+    aligned = scratch.table(words_of(hits).join(items.select("item_row", "item_words", "item_values", "item_template"), "item_row")
+                            .withColumn("digest", digest(F.col("text"))).drop("text"), "aligned")
+    # equal hashes are confirmed: each word is the same, or of the same type
+    same = lambda p: ((F.get("item_values", p) == F.get("values", p + F.col("diagonal")))
+                      | (F.get("item_template", p) == F.get("template", p + F.col("diagonal"))))
+    aligned = scratch.table(aligned.withColumn("places", F.sort_array(F.filter("places", lambda w: F.forall(
+        F.sequence(w, w + F.col("size") - 1), same)))).where(F.size("places") > 0).drop("template"), "confirmed")
+    whole = scratch.table(_judged(_runs(aligned)), "whole")
     good = F.col("consistent") & (F.col("exact") | (F.size("slots") * 2 <= F.size("covered")))
     # of a run that does not stand: the windows without a clash, and those that are equal word by word
     clashing = F.filter("pairs", lambda p: (p["b"] != p["d"]) & F.exists("pairs", lambda q: (q["t"] == p["t"]) & (
         (q["b"] == p["b"]) != (q["d"] == p["d"]))))
     bad = F.filter("slots", lambda p: F.array_contains("clashing", _pair(p)))
-    parts = (whole.withColumn("whole", good).withColumn("clashing", clashing).withColumn("bad", bad)
+    whole = scratch.table(whole.withColumn("whole", good).withColumn("clashing", F.when(~F.col("whole"), clashing)), "clashing")
+    parts = (scratch.table(whole.withColumn("bad", bad), "bad")
              .withColumn("parts", F.when(F.col("whole"), F.array("places")).otherwise(F.array(
                  F.filter("places", lambda w: ~F.exists("bad", lambda p: (p >= w) & (p < w + F.col("size")))),
                  F.filter("places", lambda w: ~F.exists("changed", lambda p: (p >= w) & (p < w + F.col("size")))))))
              .select("row", "id", "digest", "item_row", "item_words", "size", "diagonal", "item_values", "item_template", "values", "whole",
                      F.explode("parts").alias("places")))
-    stands = (_judged(_runs(parts))
+    stands = (scratch.table(_judged(_runs(scratch.table(parts, "parts"))), "judged")
               .where(good & (F.col("whole") | F.col("exact") | (F.size("covered") - F.size("slots") >= F.col("size")))))
     found = (stands.groupBy("row", "id", "digest", "item_row", "item_words")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
