@@ -46,7 +46,7 @@ LEAST_COUNT = 10
 TOP = 2000
 COVERED = 50
 BITS = 26
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BROADCAST_LANGS = 100_000
 BUCKETS = 64
 
