@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm import (catalog, chat_format, chosen_path, decontaminate, embedding_dedup, lang_id, line_dedup, pii,
                             sentence_pieces, token_counts, url_filter)
-from flowsentry.llm.common import Scratch, components, local_roots
+from flowsentry.llm.common import Scratch, components, local_roots, run_hashes
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven old wizards mix fresh herbs in a copper pot near that river".split()
 
@@ -197,6 +197,40 @@ def test_decontaminate_removes_rows_not_ids(spark):
         "text is null or text like '%clean%'").collect()))
 
 
+def plain_matches(doc, item, width=8):
+    """Item places covered by windows that are equal word by word, the first
+    place of each window of the item."""
+    d, w = doc.split(), item.split()
+    n = min(width, len(w))
+    first = {}
+    for i in range(len(w) - n + 1):
+        first.setdefault(tuple(w[i:i + n]), i)
+    return {first[tuple(d[j:j + n])] + k for j in range(len(d) - n + 1) if tuple(d[j:j + n]) in first for k in range(n)}
+
+
+def test_rows_of_numbers(spark):
+    """Numbers alone: found where equal, nowhere else, and in good time."""
+    rng = random.Random(5)
+    item = " ".join(str(rng.randrange(100, 999)) for _ in range(200))
+    noise = [str(rng.randrange(100, 999)) for _ in range(5000)]
+    docs = [(1, " ".join(noise)), (2, " ".join(noise[:2400] + item.split()[50:90] + noise[2400:])), (3, item), (4, "7 " * 4000), (5, " ".join(noise[:30]))]
+    items = [(1, item), (2, "7 " * 200), (3, "1 2 3")]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["matched_words"]) for r in decontaminate.leaks(*args).collect()}
+    want = {(d, i): ("exact", len(c)) for d, t in docs for i, q in items if (c := plain_matches(t, q))}
+    assert got == want and set(want) == {(2, 1), (3, 1), (4, 2)}
+
+
+def test_run_hashes(spark):
+    df = spark.createDataFrame([([1, 2, 3, 1, 2, 3, 4, 5, 6, 7],), ([5],), ([],)], "x array<long>")
+    rows = run_hashes(df, "x", [2, 3, 5, 7]).collect()
+    for k in (2, 3, 5, 7):
+        runs = [tuple(rows[0]["x"][i:i + k]) for i in range(11 - k)]
+        named = dict(zip(rows[0][f"x_{k}"], runs))
+        assert len(rows[0][f"x_{k}"]) == len(runs) and len(named) == len(set(runs))
+        assert rows[1][f"x_{k}"] is None and rows[2][f"x_{k}"] is None
+
+
 # ------------------------------------------------------------------ 3
 def plain_links(rows, threshold):
     n = len(rows)
@@ -282,6 +316,32 @@ def test_language_id_odd_rows(spark, odd):
     assert lang_id.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_model_against_plain_counts(spark):
+    """Counts of all words and n-grams, those of a text without spaces too."""
+    rng = random.Random(6)
+    unspaced = ["".join(rng.choice(letters) for _ in range(10_000)) for letters in ("abcdeé", "abcxyz")]
+    rows = [(unspaced[0], "aa"), (unspaced[1], "bb"), ("\U00010330\U00010331 Aber ab, ab 12 é", "aa"), ("xy ab", "bb"), (None, "aa"), ("ab", None), ("", "cc")]
+    model = lang_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    counts = {"word": {}, "gram": {}}
+    for text, lang in rows:
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split() if lang else ():
+            if len(w) <= lang_id.LONGEST_WORD:
+                counts["word"].setdefault(w, {}).setdefault(lang, []).append(1)
+            edged = f"<{w}>"
+            for g in [*w, *(edged[i:i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1))]:
+                counts["gram"].setdefault(g, {}).setdefault(lang, []).append(1)
+    assert model.langs == ["aa", "bb"]
+    for kind, names, logp in (("word", model.words, model.word_logp), ("gram", model.grams, np.array(model.gram_logp))):
+        assert set(names) == set(counts[kind])
+        total = [sum(len(c.get(x, ())) for c in counts[kind].values()) for x in model.langs]
+        for key, i in names.items():
+            n = [len(counts[kind][key].get(x, ())) for x in model.langs]
+            assert logp[i] == pytest.approx([np.log((a + 0.5) / (b + 0.5 * len(names) + 1)) for a, b in zip(n, total)])
+    assert len(lang_id.grams_of("a" * 1000, 4)) == 999
+    assert [model.predict(t[::-1], {})[0] for t in unspaced] == ["aa", "bb"]
+    assert model.predict("c" * 70 + "é" * 500, {})[0] == "aa"          # behind the first letters too
+
+
 def test_backoff_takes_the_longest_known_grams():
     m = lang_id.Model(["a", "b"], {"known": 0}, np.log([[.9, .1]]), {"<ab": 0, "x": 1}, np.log([[.2, .8], [.7, .3]]).tolist())
     assert m.backoff("abx") == m.gram_logp[0]      # three characters before one
