@@ -1,15 +1,16 @@
 """Fully connected autoencoder n -> h1 -> h2 -> h3 -> h2 -> h1 -> n (ReLU
 between layers, linear output), trained on the cluster without torch.
 
-One Spark job per epoch: the parameters and Adam moments are broadcast, each
-training partition runs Adam minibatch steps (batch 1024, MSE loss, L2 added to the
-gradient) over its rows in md5(row_id, epoch) order, and returns its
-parameters, moments and row count; the driver averages them weighted by rows
-(parameter averaging).  Partitions are hash(row_id) buckets, so a run is
-reproducible for a fixed partition count; one partition is plain sequential
-minibatch Adam.  The best epoch is kept by mean validation MSE; validation
-partitions are scored inside the next epoch's job (same broadcast state).  Scoring is a ``mapInPandas`` forward pass per
-Arrow batch with broadcast weights.
+Training rows are dealt to ``slots`` workers by a hash of row_id (a parameter,
+not a cluster setting).  In an epoch each worker starts from the broadcast
+parameters and Adam moments, takes minibatch steps (MSE loss, L2 added to the
+gradient) over its rows, shuffled in windows by a seed of epoch and slot, and
+gives its parameters and moments times its rows; they are added up on the
+executors in slot order (``operators.tree``) and the driver gets one vector,
+the average.  A model is therefore the same whatever the partition settings;
+one slot is plain sequential minibatch Adam.  The best epoch is kept by mean
+validation MSE.  Scoring is a ``mapInPandas`` forward pass per Arrow batch
+with broadcast weights.
 """
 
 from __future__ import annotations
@@ -17,16 +18,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ...functions.hashing import hash_bits
+from ..tree import SLOTS, add_up, per_slot, slotted
 
 BATCH = 1024
 EPOCHS = 8
+WINDOW = 16
 BETAS = (0.9, 0.999)
 ADAM_EPS = 1e-8
 
@@ -109,123 +109,90 @@ class AutoEncoder:
         return df.mapInPandas(run, schema)
 
 
-def mean_mse(df: DataFrame, cols: list[str], params: list[np.ndarray]) -> float:
-    """Mean per-row reconstruction MSE over ``df`` (distributed)."""
-    bc = df.sparkSession.sparkContext.broadcast(params)
+def prepare(train_df: DataFrame, val_df: DataFrame, cols: list[str], slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows dealt to their slots, both persisted;
+    shareable by every trial of a search."""
+    return tuple(slotted(df, cols, slots).persist(StorageLevel.MEMORY_AND_DISK) for df in (train_df, val_df))
 
-    def run(batches):
-        p = bc.value
-        s, n = 0.0, 0
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            if len(x):
-                s += float(recon_mse(p, x).sum())
-                n += len(x)
-        yield pd.DataFrame({"s": [s], "n": [n]})
 
-    r = df.select(*cols).mapInPandas(run, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
-    return float(r[0] / r[1]) if r[1] else float("inf")
+class _Worker:
+    """Adam steps of one slot in one epoch, over windows of ``WINDOW``
+    shuffled batches."""
 
+    def __init__(self, state, shapes, lr, weight_decay, batch, seed):
+        vectors, self.t = state
+        like = [np.zeros(s) for s in shapes]
+        self.p, self.m, self.v = (_unflat(x.copy(), like) for x in vectors)
+        self.lr, self.wd, self.batch, self.rng = lr, weight_decay, batch, np.random.default_rng(seed)
+        self.held, self.waiting, self.steps, self.n = [], 0, 0, 0
 
-def prepare(train_df: DataFrame, val_df: DataFrame, cols: list[str],
-            partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Training rows hash-partitioned by row_id (reproducible for a fixed
-    partition count) and validation rows, both persisted; shareable by
-    every trial of a search."""
-    parts = partitions or int(train_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = (train_df.select("row_id", *cols).repartition(parts, "row_id")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    val = val_df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    return base, val
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(x)
+        self.waiting += len(x)
+        size = WINDOW * self.batch
+        if self.waiting >= size:
+            rows = np.vstack(self.held)
+            whole = len(rows) - len(rows) % size
+            for at in range(0, whole, size):
+                self._steps(rows[at:at + size])
+            self.held, self.waiting = [rows[whole:]], len(rows) - whole
+
+    def _steps(self, rows: np.ndarray) -> None:
+        rows = rows[self.rng.permutation(len(rows))]
+        for at in range(0, len(rows), self.batch):
+            self.steps += 1
+            _adam_step(self.p, self.m, self.v, _grads(self.p, rows[at:at + self.batch]), self.t + self.steps, self.lr, self.wd, *BETAS)
+        self.n += len(rows)
+
+    def end(self) -> tuple:
+        if self.waiting:
+            self._steps(np.vstack(self.held))
+        return self.n, self.steps, 0.0, self.n * np.concatenate([_flat(x) for x in (self.p, self.m, self.v)])
 
 
 def train(train_df: DataFrame, val_df: DataFrame, cols: list[str], arch: tuple[int, int, int],
           lr: float, weight_decay: float, epochs: int = EPOCHS, batch: int = BATCH,
-          seed: int = 42, partitions: int | None = None,
+          seed: int = 42, slots: int = SLOTS,
           prepared: tuple[DataFrame, DataFrame] | None = None) -> tuple[AutoEncoder, float, list[float]]:
-    spark = train_df.sparkSession
-    sc = spark.sparkContext
+    """(best model, its mean validation MSE, that of each epoch); rows need a
+    row_id.  ``prepared`` are the two tables of ``prepare`` with the same slots."""
+    sc = train_df.sparkSession.sparkContext
     dims = layer_dims(len(cols), *arch)
     params = init_params(dims, seed)
     shapes = [p.shape for p in params]
-    m = [np.zeros(s) for s in shapes]
-    v = [np.zeros(s) for s in shapes]
-    t = 0
-    owned = prepared is None
-    base, val = prepare(train_df, val_df, cols, partitions) if owned else prepared
-    b1, b2 = BETAS
-    best_val, best_params, history = float("inf"), None, []
-    schema = "kind string, n long, steps long, sse double, p array<double>, m array<double>, v array<double>"
-    # One job per epoch: training partitions step from the broadcast state while
-    # validation partitions score that same state (the previous epoch's
-    # average), so epoch e's validation MSE rides along with epoch e+1.
-    for epoch in range(epochs + 1):
-        bc = sc.broadcast((_flat(params), _flat(m), _flat(v), t))
-
-        def run(batches, bc=bc):
-            p_vec, m_vec, v_vec, t0 = bc.value
-            like = [np.zeros(s) for s in shapes]
-            P, Mo, Vo = _unflat(p_vec.copy(), like), _unflat(m_vec.copy(), like), _unflat(v_vec.copy(), like)
-            steps, n = 0, 0
-            buf = None
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=np.float64)
-                buf = x if buf is None else np.vstack([buf, x])
-                while buf is not None and len(buf) >= batch:
-                    xb, buf = buf[:batch], buf[batch:]
-                    steps += 1
-                    _adam_step(P, Mo, Vo, _grads(P, xb), t0 + steps, lr, weight_decay, b1, b2)
-                    n += len(xb)
-            if buf is not None and len(buf):
-                steps += 1
-                _adam_step(P, Mo, Vo, _grads(P, buf), t0 + steps, lr, weight_decay, b1, b2)
-                n += len(buf)
-            yield pd.DataFrame({"kind": ["train"], "n": [n], "steps": [steps], "sse": [0.0],
-                                "p": [_flat(P).tolist()], "m": [_flat(Mo).tolist()], "v": [_flat(Vo).tolist()]})
-
-        def score(batches, bc=bc):
-            p_vec = bc.value[0]
-            P = _unflat(p_vec, [np.zeros(s) for s in shapes])
-            sse, n = 0.0, 0
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=np.float64)
-                if len(x):
-                    sse += float(recon_mse(P, x).sum())
-                    n += len(x)
-            yield pd.DataFrame({"kind": ["val"], "n": [n], "steps": [0], "sse": [sse],
-                                "p": [[]], "m": [[]], "v": [[]]})
-
-        parts_out = []
-        if epoch < epochs:
-            ordered = base.sortWithinPartitions(hash_bits("row_id", f"ae{seed}:{epoch}"))
-            parts_out.append(ordered.select(*cols).mapInPandas(run, schema))
-        if epoch > 0:
-            parts_out.append(val.mapInPandas(score, schema))
-        rows = parts_out[0].unionByName(parts_out[1]).collect() if len(parts_out) == 2 else parts_out[0].collect()
-        if epoch > 0:
-            vrows = [r for r in rows if r["kind"] == "val"]
-            n_val = sum(r["n"] for r in vrows)
-            val_mse = sum(r["sse"] for r in vrows) / n_val if n_val else float("inf")
-            history.append(val_mse)
-            if val_mse < best_val:
-                best_val, best_params = val_mse, [p.copy() for p in params]
-        trows = [r for r in rows if r["kind"] == "train" and r["n"] > 0]
-        if epoch == epochs or not trows:
+    base, val = prepared or prepare(train_df, val_df, cols, slots)
+    vectors, t = [_flat(params), *(np.zeros(sum(p.size for p in params)) for _ in range(2))], 0
+    best_val, best_params, history = float("inf"), params, []
+    for epoch in range(epochs):
+        shared = sc.broadcast((vectors, t))
+        start = lambda slot, shared=shared, epoch=epoch: _Worker(shared.value, shapes, lr, weight_decay, batch, (seed, epoch, slot))
+        n, steps, _, total = add_up(per_slot(base, cols, start, _Worker.add, _Worker.end), slots)
+        if not n:
             break
-        w = np.array([r["n"] for r in trows], dtype=np.float64)
-        w /= w.sum()
-        params = _unflat(sum(wi * np.asarray(r["p"]) for wi, r in zip(w, trows)), params)
-        m = _unflat(sum(wi * np.asarray(r["m"]) for wi, r in zip(w, trows)), m)
-        v = _unflat(sum(wi * np.asarray(r["v"]) for wi, r in zip(w, trows)), v)
-        t += max(r["steps"] for r in trows)
-    if owned:
+        vectors, t = np.split(total / n, 3), t + steps
+        params = _unflat(vectors[0], params)
+        history.append(mean_mse(val, cols, params, slots))
+        if history[-1] < best_val:
+            best_val, best_params = history[-1], params
+    if prepared is None:
         base.unpersist()
         val.unpersist()
-    if best_params is None:
-        best_params = params
     return AutoEncoder(dims, best_params, tuple(cols)), best_val, history
 
 
+def mean_mse(rows: DataFrame, cols: list[str], params: list[np.ndarray], slots: int) -> float:
+    """Mean per-row reconstruction MSE over ``slotted`` rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(params)
+
+    def add(state, x):
+        state["n"] += len(x)
+        state["sse"] += float(recon_mse(shared.value, x).sum())
+
+    parts = per_slot(rows, cols, lambda _: {"n": 0, "sse": 0.0}, add, lambda s: (s["n"], 0, s["sse"], np.zeros(1)))
+    n, _, sse, _ = add_up(parts, slots)
+    return sse / n if n else float("inf")
+
+
 def _adam_step(P, M, V, G, t, lr, wd, b1, b2):
     for i in range(len(P)):
         g = G[i] + wd * P[i]

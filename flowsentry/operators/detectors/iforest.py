@@ -1,10 +1,12 @@
 """Isolation forest fitted and applied on the cluster.
 
-Fit: every training row gets ``r`` hash-assigned tree slots, kept with a
-probability that gives each tree ~1.5 x psi candidates; one
+Fit: every training row draws ``copies`` different trees (a hashed start and
+a hashed step without common factor with the number of trees), each kept with
+a probability that gives a tree ~1.5 x psi candidates; one
 ``groupBy(tree).applyInPandas`` builds all trees in parallel, each from
 the psi candidates with the smallest hash (so a group never exceeds the
-bounded candidate count, however large the input).  Trees come back as flat
+bounded candidate count, however large the input): a sample without
+replacement, in which no row stands twice.  Trees come back as flat
 node rows (tree, node, feature, threshold, left, right, size).
 
 Score: the forest (trees x <= 2 psi nodes) is broadcast by value and a
@@ -114,19 +116,28 @@ class Forest:
         return df.mapInPandas(run, schema)
 
 
+def tree_slots(rows: DataFrame, n_trees: int, per_row: float, seed: int) -> DataFrame:
+    """Rows with a tree and a rank ``h`` for each of the about ``per_row`` (at
+    most ``n_trees``) different trees that a row is drawn for."""
+    copies = min(n_trees, max(1, math.ceil(per_row)))
+    keep = min(1.0, per_row / copies)
+    steps = [s for s in range(1, max(2, n_trees)) if math.gcd(s, n_trees) == 1]
+    start, pick = (hash_bits("row_id", f"if{what}{seed}") for what in ("tree", "step"))
+    return (rows.withColumn("_start", start)
+            .withColumn("_step", F.element_at(F.array(*map(F.lit, steps)), (pick % F.lit(len(steps)) + 1).cast("int")))
+            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+            .withColumn("key", F.concat_ws("#", "row_id", F.col("copy").cast("string")))
+            .where(hash_unit("key", f"ifkeep{seed}") < F.lit(keep))
+            .withColumn("tree", F.pmod(F.col("_start") % F.lit(n_trees) + F.col("copy") * F.col("_step"), F.lit(n_trees)).cast("int"))
+            .withColumn("h", hash_bits("key", f"ifrank{seed}")).drop("_start", "_step"))
+
+
 def fit(train: DataFrame, cols: list[str], n_trees: int = N_TREES, psi: int = PSI,
         seed: int = 42, n_rows: int | None = None) -> Forest:
     n = train.count() if n_rows is None else n_rows
     psi_eff = max(1, min(psi, n))
     want = 1.5 * n_trees * psi_eff
-    copies = max(1, math.ceil(want / max(n, 1)))
-    keep = min(1.0, want / (max(n, 1) * copies))
-    slots = (train.select(*cols, "row_id")
-             .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-             .withColumn("key", F.concat_ws("#", "row_id", F.col("copy").cast("string")))
-             .where(hash_unit("key", f"ifkeep{seed}") < F.lit(keep))
-             .withColumn("tree", (hash_bits("key", f"iftree{seed}") % F.lit(n_trees)).cast("int"))
-             .withColumn("h", hash_bits("key", f"ifrank{seed}")))
+    slots = tree_slots(train.select(*cols, "row_id"), n_trees, want / max(n, 1), seed)
     max_depth = int(math.ceil(math.log2(max(psi_eff, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

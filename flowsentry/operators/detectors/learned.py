@@ -1,4 +1,4 @@
-"""Learned detector scores for a ``Study``: ML = RFF one-class SVM,
+"""Learned detector scores for a ``Study``: ML = one-class SVM on random Fourier features, solved per ν,
 DL = autoencoder (best of the seeded random search, min validation MSE).
 
 The training inputs are the study's scaled benign-train rows; an optional
@@ -25,18 +25,19 @@ def learned_scores(st) -> DataFrame:
     train = scaled.where(F.col("split") == "train")
     val = scaled.where(F.col("split") == "val")
     oc_train = fit_sample(train, opts.get("oc_fit_rows"), st.seed)
+    slots = opts.get("slots", OC.SLOTS)
     oc = OC.fit(oc_train, cols, n_components=opts.get("rff_components", OC.N_FEATURES_DEFAULT), seed=st.seed,
-                nus=tuple(st.nus), iterations=opts.get("oc_iterations", 0))
+                nus=tuple(st.nus), tol=opts.get("oc_tol", OC.TOL), rounds=opts.get("oc_rounds", OC.ROUNDS), slots=slots)
     # trials are independent: they share one partitioned, persisted copy of
     # the training rows and are submitted from driver threads so their small
     # epoch jobs overlap; selection keeps draw order (first minimum wins)
     draws = ae_draws(opts.get("ae_trials", 2), st.seed)
-    prepared = AE.prepare(train, val, cols)
+    prepared = AE.prepare(train, val, cols, slots)
     epochs = opts.get("ae_epochs", AE.EPOCHS)
 
     def one(draw):
         arch, lr, wd = draw
-        return AE.train(train, val, cols, arch, lr, wd, epochs=epochs, seed=st.seed, prepared=prepared)
+        return AE.train(train, val, cols, arch, lr, wd, epochs=epochs, seed=st.seed, slots=slots, prepared=prepared)
 
     with ThreadPoolExecutor(max_workers=max(1, min(len(draws), opts.get("ae_parallel", 2)))) as pool:
         results = list(pool.map(one, draws))

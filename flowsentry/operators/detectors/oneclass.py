@@ -4,17 +4,25 @@ phi(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2*gamma), b ~ U(0, 2*pi), so
 phi(x).phi(y) ~ exp(-gamma |x - y|^2).  gamma follows the library default
 "scale": 1 / (p * Var(X)) over all training entries.
 
-Fit (distributed): the kernel mean w = mean phi(x) over training rows is a
-sum of D-vectors - each partition returns one partial sum (mapInPandas),
-combined by a D-row aggregate.  The ν-boundary rho is the ν-quantile of
-w.phi(x) on the training rows (exact quantile operator), which gives the
-ν-property (training outlier share = ν) by construction.  This is the
-starting point (w = kernel mean, optimal rho given w) of the primal
-    min 1/2 |w|^2 - rho + 1/(ν n) sum max(0, rho - w.phi(x)).
-With ``iterations`` > 0 every ν gets its own w, refined by damped
-subgradient steps  w <- w - eta (w - sum_{w.phi < rho} phi / (ν n)),  rho
-re-set to the exact ν-quantile each step; all ν share one scoring job and
-one masked-partial-sum job per step.
+The ν-model solves, over phi, the one-class problem
+    min 1/2 |w|^2 - rho + 1/(ν n) sum max(0, rho - w.phi(x)),
+whose dual asks for the shortest vector w among the weighted means of phi(x)
+with weights from 0 to 1/(ν n) that sum to 1.
+
+Fit (distributed): a fully corrective conditional gradient.  Given w, the
+weighted mean v that is lowest along w is the mean of phi over the share ν of
+rows with the smallest w.phi; w becomes the shortest vector in the hull of all
+v so far (a problem of as many unknowns as rounds, solved exactly on the
+driver).  w.w - w.v bounds how far the objective is from its optimum; a ν
+stops when that gap is at most ``tol`` of the objective.  One job a round
+serves all ν: rows fall into ``BINS`` bins of w.phi, finest around the last
+quantile, and each bin's count and sum of phi are added up on the executors
+(``operators.tree``).  The bin that holds the quantile counts in part, and
+with its lower edge in the gap, so the gap is never too small.
+
+Without ``nus`` one shared model is fitted: w = mean phi(x) over all rows (the
+optimum for ν = 1).  The boundary of each ν is the exact quantile of the
+scores of the training rows (``plans.study``).
 
 Score column (higher = more anomalous): -w.phi(x); the decision for ν is
 score - boundary_ν > 0.  Weights are D x p doubles, broadcast by value.
@@ -25,12 +33,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..tree import SLOTS, add_up, per_slot, slotted
+
 N_FEATURES_DEFAULT = 512
+TOL = 0.01
+ROUNDS = 100
+BINS = 32
 
 
 @dataclass(frozen=True)
@@ -63,39 +76,23 @@ def make_map(p: int, gamma: float, n_components: int = N_FEATURES_DEFAULT, seed:
     return RFFMap(W, b)
 
 
-def _vector_sum(df: DataFrame, cols: list[str], fn, dim: int) -> tuple[np.ndarray, int]:
-    """Sum over rows of fn(x) (a dim-vector) via per-partition partial sums."""
-    def partial(batches):
-        acc = np.zeros(dim)
-        n = 0
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            if len(x):
-                acc += fn(x).sum(axis=0)
-                n += len(x)
-        yield pd.DataFrame({"n": [n], "v": [acc.tolist()]})
-
-    parts = df.select(*cols).mapInPandas(partial, "n long, v array<double>")
-    agg = (parts.select("n", F.posexplode("v").alias("i", "x"))
-           .groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect())
-    vec = np.zeros(dim)
-    n = 0
-    for r in agg:
-        vec[r["i"]] = r["x"]
-        n = r["n"]
-    return vec, int(n)
-
-
 @dataclass(frozen=True)
 class OneClassModel:
     rff: RFFMap
     w: np.ndarray                      # (D,) shared, or (K, D): one row per ν
     cols: tuple[str, ...]
     nus: tuple[float, ...] | None = None
+    objective: tuple[float, ...] = ()  # 1/2 |w|^2 per ν
+    gap: tuple[float, ...] = ()        # bound on its distance from the optimum
+    rounds: int = 0
 
     def out_cols(self, out_col: str) -> list[str]:
         return [out_col] if self.w.ndim == 1 else [f"{out_col}_{k}" for k in range(self.w.shape[0])]
 
+    def for_nu(self, nu: float) -> OneClassModel:
+        """The model of one ν alone (the shared one if there is one for all)."""
+        return self if self.w.ndim == 1 else OneClassModel(self.rff, self.w[self.nus.index(nu)], self.cols)
+
     def score(self, df: DataFrame, out_col: str = "oc_score") -> DataFrame:
         """Appends -w.phi(x) (higher = more anomalous) with Arrow batches;
         one column per ν when the model is per ν (``out_col``_k)."""
@@ -120,50 +117,141 @@ class OneClassModel:
 
 def fit(train: DataFrame, cols: list[str], n_components: int = N_FEATURES_DEFAULT,
         seed: int = 42, gamma: float | None = None, nus: tuple[float, ...] | None = None,
-        iterations: int = 0) -> OneClassModel:
+        tol: float = TOL, rounds: int = ROUNDS, slots: int = SLOTS) -> OneClassModel:
+    """``train`` has a row_id beside ``cols``."""
     g = gamma_scale(train, cols) if gamma is None else gamma
     rff = make_map(len(cols), g, n_components, seed)
-    total, n = _vector_sum(train, cols, rff.transform, n_components)
-    w = total / max(n, 1)
-    if not iterations or not nus:
-        return OneClassModel(rff, w, tuple(cols))
-    from .. import quantiles as Q
-    nus = tuple(nus)
-    W = np.tile(w, (len(nus), 1))
-    data = train.select(*cols)
-    for it in range(iterations):
-        model = OneClassModel(rff, W, tuple(cols), nus)
-        scored = model.score(data, "_s")
-        names = model.out_cols("_s")
-        # rho_k = ν_k-quantile of w_k.phi  <=>  (1-ν_k)-quantile of -w_k.phi
-        qs = Q.quantiles(scored, names, [1.0 - nu for nu in nus])
-        neg_rho = np.array([qs[c][k] for k, c in enumerate(names)])
-        G = _masked_sums(data, cols, rff, W, neg_rho)
-        eta = 1.0 / (it + 2)
-        W = (1.0 - eta) * W + eta * G / (np.asarray(nus)[:, None] * max(n, 1))
-    return OneClassModel(rff, W, tuple(cols), nus)
-
-
-def _masked_sums(df: DataFrame, cols: list[str], rff: RFFMap, W: np.ndarray, neg_rho: np.ndarray) -> np.ndarray:
-    """Per ν: sum of phi(x) over rows with w.phi(x) < rho (margin violators)."""
-    K, D = W.shape
-    bc = df.sparkSession.sparkContext.broadcast((rff.W, rff.b, W, neg_rho))
-
-    def partial(batches):
-        Wr, b, Wk, nr = bc.value
-        scale = np.sqrt(2.0 / len(b))
-        acc = np.zeros((K, D))
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            if len(x):
-                z = scale * np.cos(x @ Wr.T + b)
-                viol = (-(z @ Wk.T)) > nr          # -w.phi > -rho  <=>  w.phi < rho
-                acc += viol.T.astype(np.float64) @ z
-        yield pd.DataFrame({"v": [acc.ravel().tolist()]})
-
-    parts = df.mapInPandas(partial, "v array<double>")
-    cells = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    G = np.zeros(K * D)
-    for r in cells:
-        G[r["i"]] = r["x"]
-    return G.reshape(K, D)
+    rows = slotted(train, cols, slots).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, total = _mean_sum(rows, cols, rff, slots)
+        mean = total / max(n, 1)
+        if not nus:
+            return OneClassModel(rff, mean, tuple(cols))
+        if not n:
+            return OneClassModel(rff, np.tile(mean, (len(nus), 1)), tuple(cols), tuple(nus))
+        return _solve(rows, cols, rff, mean, n, tuple(nus), tol, rounds, slots)
+    finally:
+        rows.unpersist()
+
+
+def _phi(rff: RFFMap):
+    W, b, scale = rff.W, rff.b, np.sqrt(2.0 / len(rff.b))
+    return lambda x: scale * np.cos(x @ W.T + b)
+
+
+def _mean_sum(rows: DataFrame, cols: list[str], rff: RFFMap, slots: int) -> tuple[int, np.ndarray]:
+    shared = rows.sparkSession.sparkContext.broadcast(rff)
+    dim = len(rff.b)
+
+    def add(state, x):
+        state["n"] += len(x)
+        state["v"] += _phi(shared.value)(x).sum(axis=0)
+
+    parts = per_slot(rows, cols, lambda _: {"n": 0, "v": np.zeros(dim)}, add, lambda s: (s["n"], 0, 0.0, s["v"]))
+    n, _, _, total = add_up(parts, slots)
+    return n, np.zeros(dim) if total is None else total
+
+
+def _edges(rho: float, reach: float) -> np.ndarray:
+    """BINS - 1 edges around ``rho``, twice as far apart from one to the next."""
+    half = (BINS - 2) // 2
+    steps = reach * 2.0 ** np.arange(-half + 1, 1)
+    return np.concatenate([rho - steps[::-1], [rho], rho + steps])
+
+
+def _bin_sums(rows: DataFrame, cols: list[str], rff: RFFMap, w: np.ndarray, edges: np.ndarray, slots: int) -> np.ndarray:
+    """For each w (K) and bin: count and sum of phi, K x BINS x (1 + D)."""
+    shared = rows.sparkSession.sparkContext.broadcast((rff, w, edges))
+    k, d = w.shape
+
+    def add(state, x):
+        rff, w, edges = shared.value
+        for at in range(0, len(x), 4096):
+            z = _phi(rff)(x[at:at + 4096])
+            s = z @ w.T
+            for i in range(len(w)):
+                one = np.zeros((BINS, len(z)))
+                one[np.searchsorted(edges[i], s[:, i], side="right"), np.arange(len(z))] = 1.0
+                state[i, :, 0] += one.sum(axis=1)
+                state[i, :, 1:] += one @ z
+
+    parts = per_slot(rows, cols, lambda _: np.zeros((k, BINS, 1 + d)), add, lambda s: (0, 0, 0.0, s.ravel()))
+    return add_up(parts, slots)[3].reshape(k, BINS, 1 + d)
+
+
+def _lowest_mean(sums: np.ndarray, edges: np.ndarray, w: np.ndarray, m: float) -> tuple[np.ndarray, float, float, float]:
+    """Mean of phi over the ``m`` lowest rows by bins, a lower bound of their
+    mean w.phi, the place of the quantile, and the width of its bin."""
+    count = sums[:, 0]
+    before = np.cumsum(count) - count
+    b = int(np.flatnonzero(before + count >= m - 1e-9)[0])
+    rest = min(m - before[b], count[b])
+    full = sums[:b, 1:].sum(axis=0)
+    v = (full + sums[b, 1:] * (rest / count[b])) / m
+    mean = float(sums[b, 1:] @ w) / count[b]
+    low = edges[b - 1] if b else -np.sqrt(2.0) * np.linalg.norm(w)
+    high = edges[b] if b < len(edges) else np.sqrt(2.0) * np.linalg.norm(w)
+    bound = (float(full @ w) + rest * min(low, mean)) / m
+    return v, bound, mean, float(high - low)
+
+
+def _shortest(atoms: np.ndarray) -> np.ndarray:
+    """Weights (at least 0, sum 1) of the shortest vector in the hull of the
+    rows: Wolfe's active sets."""
+    gram = atoms @ atoms.T
+    on = [int(np.argmin(np.diag(gram)))]
+    weight = np.zeros(len(atoms))
+    weight[on[0]] = 1.0
+    for _ in range(20 * len(atoms) + 20):
+        slope = gram @ weight
+        j = int(np.argmin(slope))
+        if slope[j] >= weight @ slope - 1e-12 * max(1.0, gram[j, j]) or j in on:
+            return weight
+        on.append(j)
+        while True:     # shortest in the plane through the active rows, or back to where a weight gets 0
+            size = len(on)
+            system = np.zeros((size + 1, size + 1))
+            system[0, 1:] = system[1:, 0] = 1.0
+            system[1:, 1:] = gram[np.ix_(on, on)]
+            flat = np.linalg.lstsq(system, np.eye(size + 1)[0], rcond=None)[0][1:]
+            if (flat > 1e-12).all():
+                weight[:] = 0.0
+                weight[on] = flat
+                break
+            now = weight[on]
+            down = now - flat
+            back = np.where((flat <= 1e-12) & (down > 0), now / np.where(down > 0, down, 1.0), np.inf)
+            step = min(1.0, float(back.min()))
+            now = now - step * down
+            now[int(np.argmin(back))] = 0.0
+            weight[:] = 0.0
+            weight[on] = np.maximum(now, 0.0) / np.maximum(now, 0.0).sum()
+            on = [i for i in on if weight[i] > 0.0]
+    return weight
+
+
+def _solve(rows: DataFrame, cols: list[str], rff: RFFMap, mean: np.ndarray, n: int, nus: tuple[float, ...],
+           tol: float, rounds: int, slots: int) -> OneClassModel:
+    w = np.tile(mean, (len(nus), 1))
+    atoms = [[mean] for _ in nus]
+    gap = np.full(len(nus), np.inf)
+    size = float(np.linalg.norm(mean))
+    rho, reach = [size * size] * len(nus), [np.sqrt(2.0) * size] * len(nus)
+    done = 0
+    for done in range(1, rounds + 1):
+        open_ = [k for k in range(len(nus)) if gap[k] > tol * 0.5 * (w[k] @ w[k])]
+        if not open_:
+            done -= 1
+            break
+        edges = np.stack([_edges(rho[k], reach[k]) for k in open_])
+        sums = _bin_sums(rows, cols, rff, w[open_], edges, slots)
+        for i, k in enumerate(open_):
+            v, bound, rho[k], width = _lowest_mean(sums[i], edges[i], w[k], max(1.0, nus[k] * n))
+            gap[k] = w[k] @ w[k] - bound
+            if gap[k] > tol * 0.5 * (w[k] @ w[k]):
+                atoms[k].append(v)
+                hull = np.stack(atoms[k])
+                weight = _shortest(hull)
+                atoms[k] = [a for a, x in zip(atoms[k], weight) if x > 0.0]
+                w[k] = weight @ hull
+    return OneClassModel(rff, w, tuple(cols), nus, tuple(float(0.5 * x @ x) for x in w), tuple(float(g) for g in gap), done)

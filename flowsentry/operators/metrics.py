@@ -14,19 +14,20 @@ Everything after that is arithmetic on counts.
 
 Exact ROC-AUC (E7) is a rank sum with ties counted half:
     AUC = sum_attack( #benign below + 1/2 #benign equal ) / (n_b * n_a)
-computed from per-score counts and one global running sum (see
-``running_sum``), never by materialising folds.
+computed for all candidates from one scan: one aggregate counts benign and
+family rows per (candidate, score), one range partition orders the counts, and
+each range gives its sums; the benign rows of the ranges below are added to
+these few sums afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-
-from ..session import cut_lineage
 
 METRIC_COLUMNS = ["accuracy", "recall", "precision", "f1_binary", "f1_macro",
                   "specificity", "fallout_fpr", "roc_auc"]
@@ -38,12 +39,13 @@ def eval_rows(df: DataFrame, split_col: str = "split") -> DataFrame:
 
 
 def fold_counts(df: DataFrame, preds: Mapping[str, Column], family_col: str,
-                families: Sequence[str] | None = None, split_col: str = "split") -> DataFrame:
+                families: Sequence[str] | None = None, split_col: str = "split", benign_row: bool = False) -> DataFrame:
     """(candidate, family, n_benign, fp, n_attack, tp) for every candidate.
 
     ``preds`` maps candidate name -> 0/1 column.  ``families`` restricts the
     attack side (calibration / test families); benign rows are always the
-    whole validation split."""
+    whole validation split.  With ``benign_row`` each candidate also has a row
+    without a family, for the benign rows alone."""
     ev = eval_rows(df, split_col)
     if families is not None:
         ev = ev.where((F.col("y") == 0) | F.col(family_col).isin(list(families)))
@@ -58,14 +60,17 @@ def fold_counts(df: DataFrame, preds: Mapping[str, Column], family_col: str,
     whole = Window.partitionBy()
     benign_of = lambda c: F.max(F.when(F.col("y") == 0, F.col(c))).over(whole)
     j = g.select("*", benign_of("n").alias("n_benign"),
-                 *[benign_of(f"c{i}").alias(f"b{i}") for i in range(len(names))]).where(F.col("y") == 1)
+                 *[benign_of(f"c{i}").alias(f"b{i}") for i in range(len(names))])
+    attack = F.col("y") == 1
+    if not benign_row:
+        j = j.where(attack)
     stacked = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("candidate"), F.col(f"c{i}").alias("tp"), F.col(f"b{i}").alias("fp"))
+        F.struct(F.lit(k).alias("candidate"), F.when(attack, F.col(f"c{i}")).alias("tp"), F.col(f"b{i}").alias("fp"))
         for i, k in enumerate(names)]))
     return j.select(
         F.col("family"),
         F.coalesce(F.col("n_benign"), F.lit(0)).alias("n_benign"),
-        F.col("n").alias("n_attack"),
+        F.when(attack, F.col("n")).otherwise(F.lit(0)).alias("n_attack"),
         stacked.alias("s"),
     ).select(
         F.col("s.candidate").alias("candidate"), "family", "n_benign",
@@ -74,6 +79,13 @@ def fold_counts(df: DataFrame, preds: Mapping[str, Column], family_col: str,
     )
 
 
+def acceptance(counts: DataFrame) -> DataFrame:
+    """E12 from ``fold_counts`` with its benign rows: (candidate,
+    benign_accuracy)."""
+    n = F.col("n_benign")
+    return counts.where(F.col("family").isNull() & (n > 0)).select("candidate", ((n - F.col("fp")) / n).alias("benign_accuracy"))
+
+
 def _div0(a: Column, b: Column) -> Column:
     """zero_division=0 semantics."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
@@ -164,74 +176,64 @@ def benign_acceptance(df: DataFrame, preds: Mapping[str, Column], split_col: str
 
 
 # ------------------------------------------------------------------ AUC
-def running_sum(df: DataFrame, order_cols: Sequence[str], value_col: str, out_col: str) -> DataFrame:
-    """Inclusive running sum of ``value_col`` in global ``order_cols`` order.
-
-    Never one task: range-partition + sort within partitions, cut lineage with
-    a reliable checkpoint (range bounds are sampled, a recompute could move
-    rows), collect one total per partition (bounded by the partition count),
-    and add each partition's offset in a local pandas cumsum."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut_lineage(df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols))
-    totals = dict(ranged.groupBy(F.spark_partition_id().alias("p"))
-                  .agg(F.sum(value_col).alias("t")).collect())
-    offsets, acc = {}, 0
-    for p in range(ranged.rdd.getNumPartitions()):
-        offsets[p] = acc
-        acc += totals.get(p, 0) or 0
-    bc = spark.sparkContext.broadcast(offsets)
-    schema = StructType(ranged.schema.fields + [StructField(out_col, LongType())])
-
-    def local_cumsum(batches):
-        from pyspark import TaskContext
-        base = bc.value.get(TaskContext.get().partitionId(), 0)
-        carry = 0
-        for pdf in batches:
-            cs = pdf[value_col].fillna(0).astype("int64").cumsum() + carry + base
-            carry = int(cs.iloc[-1] - base) if len(cs) else carry
-            pdf[out_col] = cs
-            yield pdf
-
-    return ranged.mapInPandas(local_cumsum, schema)
-
-
 def fold_auc(df: DataFrame, scores: Mapping[str, Column], family_col: str,
              families: Sequence[str] | None = None) -> DataFrame:
-    """(candidate, family, roc_auc) by exact rank sum, ties counted half.
-
-    All candidates in one pass: eval rows are stacked once per candidate,
-    reduced to per-(candidate, score) benign counts and per-(candidate,
-    family, score) attack counts, and one global running sum over
-    (candidate, score, benign-first) gives #benign <= s; subtracting the
-    candidate's starting offset restarts it per candidate."""
+    """(candidate, family, roc_auc) by exact rank sum, ties counted half; null
+    without benign or attack rows that have a score.  One scan of ``df``."""
     ev = eval_rows(df)
     if families is not None:
         ev = ev.where((F.col("y") == 0) | F.col(family_col).isin(list(families)))
     names = list(scores)
-    stacked = ev.select("y", F.col(family_col).alias("family"), F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), scores[k].cast("double").alias("score")) for i, k in enumerate(names)
-    ])).alias("s")).select("y", "family", F.col("s.c").alias("c"), F.col("s.score").alias("score"))
-    pts = stacked.where(F.col("score").isNotNull())
-    ben = pts.where(F.col("y") == 0).groupBy("c", "score").agg(F.count(F.lit(1)).alias("nb"))
-    att = pts.where(F.col("y") == 1).groupBy("c", "family", "score").agg(F.count(F.lit(1)).alias("na"))
-    both = ben.select("c", "score", F.lit(0).alias("is_att"), F.lit(None).cast("string").alias("family"),
-                      "nb", F.lit(0).cast("long").alias("na")).unionByName(
-        att.select("c", "score", F.lit(1).alias("is_att"), "family", F.lit(0).cast("long").alias("nb"), "na"))
-    totals = {r["c"]: r["n_b"] for r in ben.groupBy("c").agg(F.sum("nb").alias("n_b")).collect()}
-    offs, acc = [], 0
-    for i in range(len(names)):
-        offs.append((i, acc, totals.get(i, 0)))
-        acc += totals.get(i, 0)
-    off_df = df.sparkSession.createDataFrame(offs, "c int, off long, n_b long")
-    le = running_sum(both, ["c", "score", "is_att"], "nb", "cum")
-    contrib = (le.where(F.col("is_att") == 1)
-               .join(F.broadcast(off_df), "c")
-               .join(ben.withColumnRenamed("nb", "eq_b"), ["c", "score"], "left")
-               .select("c", "family", "na", "n_b",
-                       (F.col("na") * (F.col("cum") - F.col("off") - F.coalesce(F.col("eq_b"), F.lit(0)) / 2.0)).alias("u")))
-    res = contrib.groupBy("c", "family").agg(F.sum("u").alias("u"), F.sum("na").alias("n_a"), F.max("n_b").alias("n_b"))
+    family = F.when(F.col("y") == 1, F.coalesce(F.col(family_col), F.lit("")))
+    counts = (ev.select(family.alias("family"), F.explode(F.array(*[
+                  F.struct(F.lit(i).alias("c"), scores[k].cast("double").alias("score")) for i, k in enumerate(names)])).alias("s"))
+              .where(F.col("s.score").isNotNull())
+              .groupBy(F.col("s.c").alias("c"), F.col("s.score").alias("score"), "family").agg(F.count(F.lit(1)).alias("n")))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = counts.repartitionByRange(parts, "c", "score").sortWithinPartitions("c", "score", F.asc_nulls_first("family"))
+    sums = ranged.mapInPandas(_range_sums, "p int, c int, family string, u double, n long")
+    below = Window.partitionBy("c").orderBy("p").rangeBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("c")
+    benign = F.when(F.col("family").isNull(), F.col("n")).otherwise(0)
+    res = (sums.withColumn("off", F.coalesce(F.sum(benign).over(below), F.lit(0))).withColumn("n_b", F.sum(benign).over(whole))
+           .where(F.col("family").isNotNull()).groupBy("c", "family")
+           .agg(F.sum(F.col("u") + F.col("n") * F.col("off")).alias("u"), F.sum("n").alias("n_a"), F.max("n_b").alias("n_b")))
     name_df = df.sparkSession.createDataFrame(list(enumerate(names)), "c int, candidate string")
     return res.join(F.broadcast(name_df), "c").select(
         "candidate", "family",
         F.when((F.col("n_b") > 0) & (F.col("n_a") > 0), F.col("u") / (F.col("n_b") * F.col("n_a"))).alias("roc_auc"))
+
+
+def _range_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a sorted range of (c, score, family, n), for each (c, family): the
+    attack rows and the benign rows of this range that lie below them (equal
+    ones half); a null family has the benign rows."""
+    from pyspark import TaskContext
+    total: dict[tuple, list] = {}
+    at, seen = None, 0              # the candidate, and its benign rows so far
+    tie, tied = None, 0             # the last benign (c, score), and its rows
+    for pdf in batches:
+        c, score, n = pdf["c"].to_numpy(), pdf["score"].to_numpy(), pdf["n"].to_numpy()
+        family = pdf["family"].to_numpy()
+        benign = pd.isna(family)
+        held = np.where(benign, n, 0)
+        upto = np.cumsum(held)
+        first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        start = np.repeat(upto[first] - held[first], np.diff(np.append(first, len(c))))
+        inside = upto - start + np.where((c == at) & (np.arange(len(c)) < (first[1] if len(first) > 1 else len(c))), seen, 0)
+        last = np.maximum.accumulate(np.where(benign, np.arange(len(c)), -1))
+        same = (last >= 0) & (c[last] == c) & (score[last] == score)
+        equal = np.where(same, n[last], 0)
+        if tie is not None:
+            equal = np.where((last < 0) & (c == tie[0]) & (score == tie[1]), tied, equal)
+        u = np.where(benign, 0.0, n * (inside - equal / 2.0))
+        for key, x in pd.DataFrame({"c": c, "f": np.where(benign, "", "f" + pd.Series(family).fillna("").astype(str)), "u": u, "n": n}).groupby(["c", "f"]):
+            own = total.setdefault(key, [0.0, 0])
+            own[0] += float(x["u"].sum())
+            own[1] += int(x["n"].sum())
+        at, seen = c[-1], inside[-1]
+        if last[-1] >= 0:
+            tie, tied = (c[last[-1]], score[last[-1]]), n[last[-1]]
+    if total:
+        p = TaskContext.get().partitionId()
+        yield pd.DataFrame([(p, int(c), f[1:] if f else None, u, n) for (c, f), (u, n) in total.items()], columns=["p", "c", "family", "u", "n"])

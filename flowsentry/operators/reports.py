@@ -1,8 +1,8 @@
 """Report tables.
 
-Each table is a pivot or join over the long metric table produced by one
-grouped aggregate; the benign validation row comes from the acceptance
-aggregate.  All inputs are family-sized (tens of rows).
+Each table is a pivot over the study's count cube, which has a row for every
+candidate and family and one for the benign validation rows; it is tens of
+rows, and no table reads the scores.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import flag_gt
 from ..functions.labels import BENIGN_REPORT_ROW
 from . import metrics as M
 from .sampling import AE_LINE_THRESHOLDS, AE_TABLE_THRESHOLDS
@@ -32,41 +31,39 @@ def _pct(c) -> F.Column:
     return F.round(F.lit(100.0) * c, 2)
 
 
+def _by_class(st, candidates, metric: str = "accuracy") -> DataFrame:
+    """(candidate, class, value): ``metric`` of each family, and the share of
+    benign rows that are not flagged as the benign class."""
+    rows = M.metrics_from_counts(st.cube.where(F.col("candidate").isin(list(candidates))))
+    benign = F.col("family").isNull()
+    accepted = (F.col("n_benign") - F.col("fp")) / F.when(F.col("n_benign") > 0, F.col("n_benign"))
+    return (rows.select("candidate", F.coalesce("family", F.lit(BENIGN_REPORT_ROW)).alias("class"),
+                        F.when(benign, accepted).otherwise(F.col(metric)).alias("value"))
+            .where(F.col("value").isNotNull()))
+
+
+def _wide(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row per class with a percentage column per candidate."""
+    return class_order(rows.groupBy("class").agg(*[
+        F.max(F.when(F.col("candidate") == k, _pct(F.col("value")))).alias(v) for k, v in names.items()]))
+
+
 def class_by_nu_table(st) -> DataFrame:
     """I1 (Table 2): accuracy % per class x ν; benign row = acceptance %."""
     names = {f"nu={nu}": col_name("nu", nu) for nu in st.nus}
-    fam = (st.nu_metrics.groupBy(F.col("family").alias("class")).pivot("candidate", list(names))
-           .agg(F.first(_pct(F.col("accuracy")))))
-    fam = fam.select("class", *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
-    ben = M.benign_acceptance(st.scored, st.nu_preds())
-    ben = (ben.groupBy(F.lit(BENIGN_REPORT_ROW).alias("class")).pivot("candidate", list(names))
-           .agg(F.first(_pct(F.col("benign_accuracy")))))
-    ben = ben.select("class", *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
-    return class_order(ben.unionByName(fam))
-
-
-def _ae_metrics(st, thresholds) -> DataFrame:
-    return M.fold_metrics(st.scored, st.thr_preds(thresholds), "family")
+    return _wide(_by_class(st, names), names)
 
 
 def ae_table(st, metric: str) -> DataFrame:
     """I2 (Table 3): class x MSE threshold; ``metric`` accuracy or f1_macro.
     The benign row is the acceptance rate (score <= thr) for both versions."""
-    TT = AE_TABLE_THRESHOLDS
-    names = {f"thr={t}": col_name("thr", t) for t in TT}
-    m = _ae_metrics(st, TT)
-    fam = (m.groupBy(F.col("family").alias("class")).pivot("candidate", list(names))
-           .agg(F.first(_pct(F.col(metric)))))
-    ben = M.benign_acceptance(st.scored, st.thr_preds(TT))
-    ben = (ben.groupBy(F.lit(BENIGN_REPORT_ROW).alias("class")).pivot("candidate", list(names))
-           .agg(F.first(_pct(F.col("benign_accuracy")))))
-    cols = ["class", *[F.col(f"`{k}`").alias(v) for k, v in names.items()]]
-    return class_order(ben.select(*cols).unionByName(fam.select(*cols)))
+    names = {f"thr={t}": col_name("thr", t) for t in AE_TABLE_THRESHOLDS}
+    return _wide(_by_class(st, names, metric), names)
 
 
 def accuracy_series(st) -> DataFrame:
     """Per-class accuracy at the four line-plot thresholds (long form)."""
-    m = _ae_metrics(st, AE_LINE_THRESHOLDS)
+    m = st.metrics_of([f"thr={t}" for t in AE_LINE_THRESHOLDS])
     return m.select(F.col("family").alias("class"),
                     F.regexp_extract("candidate", r"thr=(.*)", 1).cast("double").alias("threshold"),
                     F.round("accuracy", 6).alias("accuracy"))
@@ -74,22 +71,13 @@ def accuracy_series(st) -> DataFrame:
 
 def operating_points(st) -> DataFrame:
     """I4: OC (ν) vs AE (threshold) accuracy per class at two operating points;
-    full outer join on class (either side may miss a class)."""
-    out = None
-    for nu, thr in OPERATING_POINTS:
-        point = f"nu={nu}|thr={thr}"
-        svm = st.nu_metrics.where(F.col("candidate") == f"nu={nu}").select(
-            F.col("family").alias("class"), F.col("accuracy").alias("svm_accuracy"))
-        svm_b = M.benign_acceptance(st.scored, {"b": flag_gt(st.ml_decision(nu), 0.0)}).select(
-            F.lit(BENIGN_REPORT_ROW).alias("class"), F.col("benign_accuracy").alias("svm_accuracy"))
-        ae = _ae_metrics(st, [thr]).select(F.col("family").alias("class"), F.col("accuracy").alias("ae_accuracy"))
-        ae_b = M.benign_acceptance(st.scored, {"b": flag_gt("ae", thr)}).select(
-            F.lit(BENIGN_REPORT_ROW).alias("class"), F.col("benign_accuracy").alias("ae_accuracy"))
-        j = svm.unionByName(svm_b).join(ae.unionByName(ae_b), "class", "full_outer")
-        j = j.select(F.lit(point).alias("point"), "class", F.round("svm_accuracy", 6).alias("svm_accuracy"),
-                     F.round("ae_accuracy", 6).alias("ae_accuracy"))
-        out = j if out is None else out.unionByName(j)
-    return out
+    either side may miss a class."""
+    sides = F.array(*[F.struct(F.lit(f"nu={nu}|thr={thr}").alias("point"), F.lit(name).alias("candidate"), F.lit(side).alias("side"))
+                      for nu, thr in OPERATING_POINTS for name, side in ((f"nu={nu}", "svm"), (f"thr={thr}", "ae"))])
+    rows = _by_class(st, {n for nu, thr in OPERATING_POINTS for n in (f"nu={nu}", f"thr={thr}")})
+    rows = rows.select("class", "value", "candidate", F.explode(sides).alias("s")).where("candidate = s.candidate")
+    return rows.groupBy(F.col("s.point").alias("point"), "class").agg(*[
+        F.max(F.when(F.col("s.side") == side, F.round("value", 6))).alias(f"{side}_accuracy") for side in ("svm", "ae")])
 
 
 def topk_by_recall(metrics: DataFrame, k: int) -> DataFrame:

@@ -428,8 +428,8 @@ def all_queries() -> dict[str, Query]:
     out = dict(sql_queries())
     out.update(io_queries())
     from .learned_catalog import learned_queries
-    out.update(learned_queries())
-    return out
+    from .literal_models import literal_queries
+    return out | learned_queries() | literal_queries()
 
 
 # ---------------------------------------------------------------- sources, sinks, stream
@@ -457,7 +457,8 @@ def q_fusion_config(spark, sf_dir):
     from ..sources.artifacts import fusion_config_from_study
     cfg = fusion_config_from_study(study(spark, sf_dir))
     fr = cfg.to_frame(spark)
-    return fr.select(*[_r(c).alias(c) for c in fr.columns])
+    refs = [_r(f"{s}_ref.{c}").alias(f"{s}_{c}") for s in ("svm", "ae") for c in ("median", "mad")]
+    return fr.select(*[_r(c).alias(c) for c in ("w_svm", "w_ae", "thr", "thr_quantile")], *refs)
 
 
 def q_bundle_manifest(spark, sf_dir):
@@ -471,7 +472,8 @@ def q_stream_score(spark, sf_dir):
     configuration of the batch study (same projection as batch)."""
     from ..sources.artifacts import fusion_config_from_study
     from ..sources.tables import lineitem_flow_view, read_table
-    from ..streaming.score_stream import deploy, expression_scorer, run_available
+    from ..sources.artifacts import expression_scorer
+    from ..streaming.score_stream import deploy, run_available
     st = study(spark, sf_dir)
     cfg = fusion_config_from_study(st)
     bnd = st.boundary.boundaries[st.boundary.nus.index(st.best_nu)]
@@ -483,10 +485,30 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(path).select("row_id", _r("z").alias("z"), F.col("pred").cast("int").alias("pred"))
 
 
+def q_stream_score_bundle(spark, sf_dir):
+    """The study's bundle is written and read back; the flows arrive
+    as CSV files under two headers, without labels, and are scored from it."""
+    from ..session import shared_path
+    from ..sources.artifacts import read_bundle, write_bundle
+    from ..streaming.score_stream import score_csv_stream
+    root = shared_path(spark, "stream-bundle")
+    write_bundle(spark, f"{root}/bundle", study(spark, sf_dir))
+    flows = lineitem_flows(spark, sf_dir, with_labels=False)
+    late = F.col("src_file") >= "ship-1995"
+    flows.where(~late).select(F.col("row_id").alias("Flow ID"), *LINEITEM_FEATURES).write.option("header", True).csv(f"{root}/in/a")
+    flows.where(late).select(*[F.col(c).alias(f" {c} ") for c in reversed(LINEITEM_FEATURES)], F.lit("x").alias("Note"),
+                             F.col("row_id").alias(" Flow ID")).write.option("header", True).csv(f"{root}/in/b")
+    score_csv_stream(spark, f"{root}/in", read_bundle(spark, f"{root}/bundle"), f"{root}/out", f"{root}/_checkpoint",
+                     key_col="Flow ID", files_per_batch=8).awaitTermination()
+    out = spark.read.schema("row_id string, z double, pred byte").parquet(f"{root}/out")
+    return out.select("row_id", _r("z").alias("z"), F.col("pred").cast("int").alias("pred"))
+
+
 def io_queries() -> dict[str, Query]:
     return {
         "csv_flow_scan": q_csv_flow_scan,
         "fusion_config": q_fusion_config,
         "bundle_manifest": q_bundle_manifest,
         "stream_score": q_stream_score,
+        "stream_score_bundle": q_stream_score_bundle,
     }

@@ -14,11 +14,11 @@ from ..operators import metrics as M
 from ..operators import quantiles as Q
 from ..operators.detectors import iforest as IF
 from ..operators.detectors import pca as PC
+from ..session import cut_lineage
 from .catalog import _metric_frame, _r, study
+from .runs import IFOREST_QUANTILE
 from .study import thr_name
 
-IFOREST_QUANTILE = 0.95  # fixed value: isolation-forest threshold = benign-val 0.95 quantile, flag >=
-
 
 def q_ocsvm_sweep(spark, sf_dir):
     st = study(spark, sf_dir, "learned")
@@ -60,7 +60,7 @@ def q_iforest_metrics(spark, sf_dir):
     train = st.scored.where(F.col("split") == "train")
     forest = IF.fit(train, st.zcols, n_rows=st.counts.get("train"))
     scored = forest.score(st.scored.select("row_id", "y", "family", "split", *st.zcols), "if_score")
-    scored = scored.select("row_id", "y", "family", "split", "if_score").cache()
+    scored = cut_lineage(scored.select("row_id", "y", "family", "split", "if_score"))
     val = scored.where(F.col("split") == "val")
     thr = Q.quantiles(val, ["if_score"], [IFOREST_QUANTILE])["if_score"][0]
     m = M.fold_metrics(scored, {"iforest": flag_ge("if_score", thr)}, "family",

@@ -4,7 +4,8 @@ Written independently of the Spark code paths: the flow views, label
 cascades, split buckets, pruning flags, medians/scalers, fold counts,
 ASOF-join AUC and argmax selections are all re-derived here in SQL from the
 raw driver tables (pre-registered views ``lineitem``, ``events``,
-``embeddings``).  The learned detectors have no oracle (iterative training).
+``embeddings``).  Training has no oracle; what trained models compute is
+checked on written-down parameters (``literal_models``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..operators.sampling import (AE_LINE_THRESHOLDS, AE_TABLE_THRESHOLDS, AE_TH
                                   FUSION_Q, PAPER_MSE_THRESHOLDS, SVM_NU_VALUES, fusion_weight_grid,
                                   split_families)
 from ..sources.tables import EVENT_LABEL_POOLS, LINEITEM_FEATURES, LINEITEM_LABELS
+from . import literal_models
 
 FEATS = LINEITEM_FEATURES
 SEED = 42
@@ -546,6 +548,7 @@ sa AS (SELECT row_id, {zmax} - (SELECT bnd FROM bound) AS svm, {zsq} AS ae FROM
 fa AS (SELECT row_id, b.w_svm * ((svm - m_svm) / d_svm) + b.w_ae * ((ae - m_ae) / d_ae) AS z, b.thr
        FROM sa, refs, best_fus b)
 SELECT row_id, round(z, 6) AS z, CASE WHEN z > thr THEN 1 ELSE 0 END AS pred FROM fa"""
+    out["stream_score_bundle"] = out["stream_score"]
     out["csv_flow_scan"] = "WITH " + lineitem_ctes() + """
 SELECT report_name, count(*) AS n, CAST(sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_price_missing,
        round(sum(price), 2) AS price_total, 7 AS n_features FROM lf GROUP BY report_name"""
@@ -567,4 +570,4 @@ u AS (SELECT row_id, y, split, unnest(embedding) AS x, generate_subscripts(embed
 cen AS (SELECT i, avg(CAST(x AS DOUBLE)) AS c FROM u WHERE split = 'train' GROUP BY i)
 SELECT row_id, y, round(avg((c - CAST(x AS DOUBLE)) * (c - CAST(x AS DOUBLE))), 6) AS mse
 FROM u JOIN cen USING (i) GROUP BY row_id, y"""
-    return out
+    return out | literal_models.oracle_sql(lineitem_ctes())

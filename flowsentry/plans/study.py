@@ -1,11 +1,14 @@
 """End-to-end study over one flow frame: preprocessing, two detectors,
 sweeps, fusion calibration and ablation.
 
-The detector scores are computed once into a narrow ``scored`` frame
-(row_id, y, family, split, scores) that is persisted; every sweep, table and
-ablation reads it, each as one grouped aggregate over all candidates.  Only
-fitted statistics (p-sized vectors, a handful of thresholds and family
-names) are collected to the driver.
+The detector scores are computed once into a ``scored`` table (row_id, y,
+family, split, scores; parquet, partitioned by split, so a reader of
+validation scores reads these alone).  Every one-class and threshold
+candidate, of sweeps and report tables alike, is counted by one scan of it
+into the ``cube``, a table of (candidates x (families + 1)) rows that sweeps
+and reports read; the ablation and the fusion candidates, which hang on its
+result, take one scan each.  Only fitted statistics (p-sized vectors, a
+handful of thresholds and family names) are collected to the driver.
 
 Two detector families plug in through ``Detectors``:
 * ``simple``  (default for oracle checks): ML = zmax with a ν boundary,
@@ -21,14 +24,15 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import flag_ge, flag_gt, robust_z, weighted_sum
 from ..operators import metrics as M
 from ..operators import quantiles as Q
 from ..operators.detectors.simple import QuantileBoundary, fit_boundaries, zmax, zsq
 from ..operators.preprocess import Preprocessor, fit_preprocess
-from ..session import cut_lineage
-from ..operators.sampling import (AE_THR_QUANTILES, FUSION_Q, PAPER_MSE_THRESHOLDS, SEED,
+from ..session import cut_lineage, shared_path
+from ..operators.sampling import (AE_LINE_THRESHOLDS, AE_TABLE_THRESHOLDS, AE_THR_QUANTILES, FUSION_Q, PAPER_MSE_THRESHOLDS, SEED,
                                   SVM_NU_VALUES, attack_families, family_column, fusion_weight_grid,
                                   split_families, threshold_grid)
 
@@ -62,8 +66,9 @@ ABLATION_MODELS = ("ML_only_OC_SVM", "DL_only_AE", "Hybrid_fusion")
 class Study:
     """``learned_options`` (detectors="learned"): ``rff_components`` (512),
     ``oc_fit_rows`` (None = all benign train rows; an int caps the one-class
-    fit by md5 rank), ``oc_iterations`` (0 = kernel-mean model shared by all
-    ν; > 0 = one refined model per ν), ``ae_trials`` (2), ``ae_epochs`` (8).
+    fit by md5 rank), ``oc_tol`` (0.01: objective gap at which a ν's solver
+    stops), ``oc_rounds`` (100 at most), ``ae_trials`` (2), ``ae_epochs`` (8),
+    ``slots`` (8: workers that rows are dealt to in training).
 
     ``scorers`` (U2, detectors="custom"): {"ml": f, "ae": g} where each
     function maps the list of scaled feature column names to a score Column
@@ -131,10 +136,13 @@ class Study:
         else:
             out = self.scaled.select("row_id", "y", "family", "split", *self.zcols,
                                      zmax(self.zcols).alias("ml_raw"), zsq(self.zcols).alias("ae"))
-        # reliable checkpoint in the shared folder: every sweep then plans
-        # against a short lineage, and a lost executor costs a re-read, not a
-        # re-fit.  (Never a local checkpoint.)
-        return cut_lineage(out)
+        # a table in the shared folder: every sweep then plans against a short
+        # lineage and reads its own columns and split, and a lost executor
+        # costs a re-read, not a re-fit
+        path = shared_path(out.sparkSession, "scored")
+        out.write.partitionBy("split").parquet(path)
+        schema = T.StructType([f for f in out.schema if f.name != "split"] + [f for f in out.schema if f.name == "split"])
+        return out.sparkSession.read.schema(schema).parquet(path)
 
     @cached_property
     def counts(self) -> dict:
@@ -164,39 +172,55 @@ class Study:
     def nu_preds(self) -> dict:
         return {nu_name(nu): flag_gt(self.ml_decision(nu), 0.0) for nu in self.nus}
 
+    # ------------------------------------------------------------ all candidates
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Counts of every (candidate, family), and of benign validation rows
+        alone (family null): one scan of the scores.  Candidates are the nus,
+        the threshold grid and the thresholds of the report tables."""
+        from ..operators.reports import OPERATING_POINTS
+        thresholds = {*self.thr_grid, *AE_TABLE_THRESHOLDS, *AE_LINE_THRESHOLDS, *(t for _, t in OPERATING_POINTS)}
+        preds = {**self.nu_preds(), **self.thr_preds(sorted(thresholds))}
+        return cut_lineage(M.fold_counts(self.scored, preds, "family", benign_row=True))
+
+    def metrics_of(self, candidates, families: list[str] | None = None) -> DataFrame:
+        """Per (candidate, family) metrics out of the cube, without AUC."""
+        rows = self.cube.where(F.col("candidate").isin(list(candidates)) & F.col("family").isNotNull())
+        if families is not None:
+            rows = rows.where(F.col("family").isin(list(families)))
+        return M.metrics_from_counts(rows).withColumn("roc_auc", F.lit(None).cast("double"))
+
+    def acceptance_of(self, candidates) -> DataFrame:
+        """(candidate, benign_accuracy) out of the cube."""
+        return M.acceptance(self.cube.where(F.col("candidate").isin(list(candidates))))
+
     @cached_property
     def nu_metrics(self) -> DataFrame:
-        """per (ν, family) metrics, all ν in one aggregate (no AUC: the
-        selection needs macro-F1 only; ``nu_metrics_auc`` adds it).  Over all
-        families: the selection scope chooses ν, it never cuts a report."""
-        return M.fold_metrics(self.scored, self.nu_preds(), "family")
+        """per (ν, family) metrics (no AUC: the selection needs macro-F1
+        only; ``nu_metrics_auc`` adds it).  Over all families: the selection
+        scope chooses ν, it never cuts a report."""
+        return self.metrics_of([nu_name(nu) for nu in self.nus])
 
     @cached_property
     def nu_metrics_auc(self) -> DataFrame:
-        scores = {nu_name(nu): self.ml_decision(nu) for nu in self.nus}
-        return M.fold_metrics(self.scored, self.nu_preds(), "family", scores=scores)
+        auc = M.fold_auc(self.scored, {nu_name(nu): self.ml_decision(nu) for nu in self.nus}, "family")
+        return self.nu_metrics.drop("roc_auc").join(auc, ["candidate", "family"], "left")
 
     @cached_property
-    def _sweep_summary(self) -> dict:
-        """macro-F1 and benign acceptance of every ν and every AE threshold:
-        the two sweeps are independent predicate sets over the same scored
-        frame, so one fold-count aggregate and one collect serve both."""
-        preds = {**self.nu_preds(), **self.thr_preds(self.thr_grid)}
-        both = M.fold_metrics(self.scored, preds, "family", families=self.selection_scope())
-        return {r["candidate"]: r for r in M.summarize(both).collect()}
+    def _sweep_summary(self) -> tuple[dict, dict]:
+        """macro-F1 over the selection scope, and benign acceptance, of every ν
+        and every AE threshold."""
+        names = [*map(nu_name, self.nus), *map(thr_name, self.thr_grid)]
+        macro = M.macro_f1(self.metrics_of(names, self.selection_scope())).collect()
+        return ({r["candidate"]: r["macro_f1"] for r in macro},
+                {r["candidate"]: r["benign_accuracy"] for r in self.acceptance_of(names).collect()})
 
     @cached_property
     def nu_summary(self) -> list:
-        """macro-F1 and benign acceptance (= 1 - fp / n_benign) per ν."""
-        by = {k: r for k, r in self._sweep_summary.items() if k.startswith("nu=")}
-        if len(by) < len(self.nus):  # no attack family: acceptance from val alone
-            acc = {r["candidate"]: r["benign_accuracy"]
-                   for r in M.benign_acceptance(self.scored, self.nu_preds()).collect()}
-        else:
-            acc = {k: r["benign_accuracy"] for k, r in by.items()}
-        return [{"nu": nu, "candidate": nu_name(nu),
-                 "macro_f1": by[nu_name(nu)]["macro_f1"] if nu_name(nu) in by else 0.0,
-                 "benign_val_accuracy": acc.get(nu_name(nu))} for nu in self.nus]
+        """macro-F1 (0 without a family) and benign acceptance per ν."""
+        macro, accepted = self._sweep_summary
+        return [{"nu": nu, "candidate": nu_name(nu), "macro_f1": macro.get(nu_name(nu), 0.0),
+                 "benign_val_accuracy": accepted.get(nu_name(nu))} for nu in self.nus]
 
     @cached_property
     def best_nu(self) -> float:
@@ -217,14 +241,13 @@ class Study:
 
     @cached_property
     def thr_metrics(self) -> DataFrame:
-        """every threshold as one predicate column over scores computed once."""
-        return M.fold_metrics(self.scored, self.thr_preds(self.thr_grid), "family",
-                              families=self.selection_scope())
+        """every threshold of the grid, over the selection scope."""
+        return self.metrics_of([thr_name(t) for t in self.thr_grid], self.selection_scope())
 
     @cached_property
     def thr_summary(self) -> list:
-        mf = {k: r["macro_f1"] for k, r in self._sweep_summary.items() if k.startswith("thr=")}
-        return [{"threshold": t, "candidate": thr_name(t), "macro_f1": mf.get(thr_name(t), 0.0)}
+        macro, _ = self._sweep_summary
+        return [{"threshold": t, "candidate": thr_name(t), "macro_f1": macro.get(thr_name(t), 0.0)}
                 for t in self.thr_grid]
 
     @cached_property
@@ -245,7 +268,6 @@ class Study:
         """Median and MAD(+1e-9) of both scores over benign validation."""
         val = self.scored.where(F.col("split") == "val").select(
             self.ml_decision(self.best_nu).alias("svm"), F.col("ae"))
-        n = self.counts.get("val")
         med = Q.quantiles(val, ["svm", "ae"], [0.5])
         ms, ma = med["svm"][0], med["ae"][0]
         dev = val.select(F.abs(F.col("svm") - F.lit(ms)).alias("svm"), F.abs(F.col("ae") - F.lit(ma)).alias("ae"))

@@ -103,50 +103,70 @@ def _as_number(c: str):
 
 def read_flow_csv(spark: SparkSession, data_dir: str, files: list[str] | None = CAPTURE_FILES,
                   check: bool = True, key_col: str | None = None,
-                  float32: bool = False, align_by_name: bool = True) -> tuple[DataFrame, list[str]]:
-    """Returns (flow frame, feature names).
+                  float32: bool = False, align_by_name: bool = True,
+                  features: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Returns (flow frame, feature names) of the captures under ``data_dir``.
 
-    ``files`` names the capture files under ``data_dir`` (checked for
-    completeness when ``check``); None scans every ``*.csv`` below it.
-    Flow frame: row_id, src_file, features (double, +-inf/NaN -> null), y,
-    attack_family, cic_label, report_name.  ``row_id`` is md5 of the source
-    file and the raw row unless ``key_col`` names a supplied key.
-
-    Columns go by name: files are grouped by their header, each distinct header
-    is one scan, and the scans are united by column name (H1); missing columns
-    become null.  Every file must have a Label column.  With
-    ``align_by_name=False`` the caller states that all files have the first
-    one's header, and no other header is read."""
+    ``files`` names the capture files (checked for completeness when
+    ``check``); None scans every ``*.csv`` below the folder.  Every file must
+    have a Label column.  See ``read_flow_files``."""
     if files is None:
         paths = sorted(r[0] for r in list_files(spark, data_dir).select("path").collect())
     else:
         if check:
             check_complete(spark, data_dir, files)
         paths = [posixpath.join(data_dir, f) for f in files]
+    found = read_flow_files(spark, paths, key_col, float32, align_by_name, features)
+    if found is None:
+        raise MissingCaptureFiles(f"no capture file with a header under {data_dir}")
+    return found
+
+
+def read_flow_files(spark: SparkSession, paths: list[str], key_col: str | None = None, float32: bool = False,
+                    align_by_name: bool = True, features: list[str] | None = None,
+                    need_label: bool = True) -> tuple[DataFrame, list[str]] | None:
+    """(flow frame, feature names) of capture files, None if none has a header.
+
+    Flow frame: row_id, src_file, features (double, +-inf/NaN -> null), y,
+    attack_family, cic_label, report_name.  ``row_id`` is md5 of the source
+    file and the raw row unless ``key_col`` names a supplied key.
+
+    Columns go by name: files are grouped by their header, each distinct header
+    is one scan, and the scans are united by column name (H1); missing columns
+    become null.  With ``align_by_name=False`` the caller states that all files
+    have the first one's header, and no other header is read.
+
+    ``features`` states the feature columns (all others but the key and the
+    label are left alone, absent ones are null); without it one more pass over
+    the text decides which columns are numeric.  With ``need_label=False``
+    files without a Label column are read, and if none has one the four label
+    columns are left out."""
     if align_by_name:
         headers = read_headers(spark, paths)
     else:
         headers = {cols: paths for cols in read_headers(spark, paths[:1])}
     if not headers:
-        raise MissingCaptureFiles(f"no capture file with a header under {data_dir}")
+        return None
     unlabelled = sorted(f for cols, group in headers.items() if LABEL not in cols for f in group)
-    if unlabelled:
+    if unlabelled and need_label:
         raise MissingLabel(f"no {LABEL} column in {unlabelled}")
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                  [_scan(spark, cols, group) for cols, group in headers.items()])
     names = [c for c in raw.columns if c != "src_file"]
-    candidates = [c for c in names if c != LABEL and c != key_col]
-    # one aggregate decides which columns are numeric everywhere (A3)
-    bad = raw.agg(*[F.sum((F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`")) != "")
-                           & _as_number(c).isNull()).cast("long")).alias(f"b{i}")
-                    for i, c in enumerate(candidates)]).first()
-    features = [c for i, c in enumerate(candidates) if not (bad[f"b{i}"] or 0)]
+    if features is None:
+        # one aggregate decides which columns are numeric everywhere (A3)
+        candidates = [c for c in names if c != LABEL and c != key_col]
+        bad = raw.agg(*[F.sum((F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`")) != "")
+                               & _as_number(c).isNull()).cast("long")).alias(f"b{i}")
+                        for i, c in enumerate(candidates)]).first()
+        features = [c for i, c in enumerate(candidates) if not (bad[f"b{i}"] or 0)]
     raw_concat = F.concat_ws("\u001f", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
     row_id = (F.col(f"`{key_col}`").cast("string") if key_col
               else F.md5(F.concat_ws("\u001e", F.col("src_file"), raw_concat)))
-    flows = raw.select(row_id.alias("row_id"), "src_file",
-                       *[nonfinite_to_null(_as_number(c)).alias(c) for c in features],
-                       F.col(LABEL))
+    number = lambda c: nonfinite_to_null(_as_number(c)) if c in names else F.lit(None).cast("double")
+    labelled = LABEL in names
+    flows = raw.select(row_id.alias("row_id"), "src_file", *[number(c).alias(c) for c in features],
+                       *([F.col(LABEL)] if labelled else []))
     if float32:
         flows = narrow_float32(flows, features)
-    return with_label_columns(flows, LABEL), features
+    return (with_label_columns(flows, LABEL) if labelled else flows), list(features)

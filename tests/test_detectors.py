@@ -54,6 +54,18 @@ def test_iforest_detects(synth):
     assert a["Shifted"] > 0.9 and a["Wide"] > 0.8
 
 
+def test_forest_draws_rows_without_replacement(spark):
+    rows = spark.range(400).select(F.col("id").cast("string").alias("row_id"))
+    for n_trees, per_row in ((12, 3.5), (12, 40.0), (7, 0.25), (1, 1.5)):
+        got = IF.tree_slots(rows, n_trees, per_row, 42).groupBy("row_id", "tree").count()
+        assert got.where("count > 1").count() == 0
+        total = got.count()
+        assert abs(total - 400 * min(per_row, n_trees)) <= 4 * (400 * max(1.0, per_row)) ** 0.5      # four deviations
+        assert got.select("tree").distinct().count() == n_trees
+    first = [IF.tree_slots(rows.repartition(n), 12, 3.5, 42).select("row_id", "tree", "h") for n in (1, 5)]
+    assert sorted(map(tuple, first[0].collect())) == sorted(map(tuple, first[1].collect()))
+
+
 def test_c_factor():
     assert IF.c_factor(2) == 1.0 and IF.c_factor(1) == 0.0
     assert IF.c_factor(256) == pytest.approx(10.2447, abs=1e-3)
@@ -81,7 +93,7 @@ def test_autoencoder_trains_and_detects(synth):
     train = synth.where("split = 'train'")
     val = synth.where("split = 'val'")
     model, best, hist = AE.train(train, val, COLS, (16, 8, 16), 1e-2, 1e-4, epochs=6, batch=128, seed=5,
-                                 partitions=2)
+                                 slots=2)
     assert len(hist) == 6 and best == min(hist) and hist[-1] < hist[0]
     a = aucs(model.score(synth, "ae"), "ae")
     assert a["Shifted"] > 0.9 and a["Wide"] > 0.8
@@ -97,12 +109,76 @@ def test_pca_recon(synth):
     assert np.allclose(err, np.mean(resid ** 2, axis=1), atol=1e-9)
 
 
-def test_oneclass_refined_per_nu(synth):
+def plain_one_class(z, nu, tol=1e-4):
+    """Objective of the one-class problem over the rows of z, by conditional
+    gradient steps until its gap is 1e-4 of it; nu times rows is whole."""
+    k = round(nu * len(z))
+    w = z.mean(axis=0)
+    while True:
+        v = z[np.argpartition(z @ w, k)[:k]].mean(axis=0)
+        d = w - v
+        if w @ d <= tol * 0.5 * (w @ w):
+            return 0.5 * (w @ w)
+        w = w - min(1.0, (w @ d) / (d @ d)) * d
+
+
+def test_shortest_vector_of_a_hull():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 12):
+        atoms = rng.normal(size=(n, 6)) + 1.0
+        weight = OC._shortest(atoms)
+        w = weight @ atoms
+        assert weight.min() >= 0 and weight.sum() == pytest.approx(1.0)
+        assert (atoms @ w).min() >= w @ w - 1e-9          # no atom leads further down
+    assert OC._shortest(np.ones((3, 2))).sum() == pytest.approx(1.0)
+
+
+def test_lowest_mean_by_bins_is_feasible_and_bounded():
+    rng = np.random.default_rng(5)
+    z, w = rng.normal(size=(500, 3)), rng.normal(size=3)
+    s, edges = z @ w, OC._edges(-0.7, 6.0)
+    assert len(edges) == OC.BINS - 1 and (np.diff(edges) > 0).all()
+    place = np.searchsorted(edges, s, side="right")
+    sums = np.array([[(place == b).sum(), *z[place == b].sum(axis=0)] for b in range(OC.BINS)])
+    v, bound, _, _ = OC._lowest_mean(sums, edges, w, 100)
+    lowest = np.sort(s)[:100].mean()
+    assert bound <= lowest + 1e-12 and v @ w >= lowest - 1e-12 and v @ w - bound < 0.05
+
+
+def test_training_is_independent_of_partitions(spark, synth):
+    train, val = synth.where("split = 'train'"), synth.where("split = 'val'")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in ("1", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = train.repartition(int(n))
+            model, best, hist = AE.train(rows, val, COLS, (8, 4, 8), 1e-2, 1e-4, epochs=2, batch=64, seed=5, slots=20)
+            oc = OC.fit(rows, COLS, n_components=32, seed=2, nus=(0.1,), gamma=0.2, slots=20)
+            got.append((hist, [p.tolist() for p in model.params], oc.w.tolist()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got[0] == got[1] == got[2]
+
+
+def test_autoencoder_without_rows(synth):
+    none = synth.where("false")
+    model, best, hist = AE.train(none, none, COLS, (8, 4, 8), 1e-2, 1e-4, epochs=2)
+    assert hist == [] and best == float("inf") and model.score(none, "ae").count() == 0
+    assert OC.fit(none, COLS, n_components=16, nus=(0.1,)).w.shape == (1, 16)
+
+
+def test_oneclass_solved_per_nu(synth):
     from flowsentry.operators import quantiles as Q
     train = synth.where("split = 'train'")
     nus = (0.2, 0.1)
-    model = OC.fit(train, COLS, n_components=128, seed=2, nus=nus, iterations=3)
-    assert model.w.shape == (2, 128)
+    model = OC.fit(train, COLS, n_components=128, seed=2, nus=nus)
+    assert model.w.shape == (2, 128) and model.rounds < OC.ROUNDS
+    z = OC._phi(model.rff)(np.array(train.select(*COLS).collect()))
+    for k, nu in enumerate(nus):
+        best = plain_one_class(z, nu)
+        assert best <= model.objective[k] + 1e-9 and model.objective[k] <= 1.01 * best
+        assert model.objective[k] - best <= model.gap[k] <= OC.TOL * model.objective[k]
     scored = model.score(synth, "oc")
     for k, nu in enumerate(nus):
         col = f"oc_{k}"
@@ -113,11 +189,11 @@ def test_oneclass_refined_per_nu(synth):
         assert a["Shifted"] > 0.9 and a["Wide"] > 0.8
 
 
-def test_learned_study_with_refined_oneclass(spark):
+def test_learned_study_with_solved_oneclass(spark):
     from flowsentry.plans.study import Study
     from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
     from tests.conftest import SF_SMALL
     st = Study(lineitem_flows(spark, SF_SMALL), LINEITEM_FEATURES, detectors="learned",
-               learned_options={"rff_components": 64, "oc_iterations": 2, "ae_epochs": 1, "ae_trials": 1})
+               learned_options={"rff_components": 64, "oc_tol": 0.05, "ae_epochs": 1, "ae_trials": 1})
     assert "ml_raw_0" in st.scored.columns and len(st.nu_summary) == 3
     assert st.ablation_summary().count() == 3

@@ -65,16 +65,51 @@ def test_auc_matches_brute_force_with_ties(spark):
         assert got[f] == pytest.approx(brute_auc(None, ben, arr), abs=1e-12)
 
 
-def test_running_sum_equals_window(spark):
-    from pyspark.sql import Window
+@pytest.mark.parametrize("size", [1, 7, 100_000])
+def test_range_sums_over_batches(monkeypatch, size):
+    """However a range is cut into batches."""
+    import pandas as pd
+    import pyspark
     rng = np.random.default_rng(3)
-    rows = [(float(v), int(k), int(w)) for v, k, w in zip(rng.integers(0, 50, 2000), rng.integers(0, 2, 2000),
-                                                           rng.integers(0, 5, 2000))]
-    df = spark.createDataFrame(rows, "score double, is_att int, nb long").dropDuplicates(["score", "is_att"]).cache()
-    got = {(r["score"], r["is_att"]): r["cum"] for r in M.running_sum(df, ["score", "is_att"], "nb", "cum").collect()}
-    w = Window.orderBy("score", "is_att").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    assert got == {(r["score"], r["is_att"]): r["cum"] for r in df.withColumn("cum", F.sum("nb").over(w)).collect()}
-    df.unpersist()
+    rows = pd.DataFrame({"c": rng.integers(0, 3, 400), "score": rng.integers(0, 9, 400).astype(float),
+                         "family": rng.choice(["", "A", "B"], 400)})
+    rows["family"] = rows["family"].replace("", None)
+    rows.loc[rows["c"] == 2, "family"] = rows.loc[rows["c"] == 2, "family"].fillna("A")         # no benign rows
+    counts = rows.groupby(["c", "score", "family"], dropna=False).size().rename("n").reset_index()
+    counts = counts.sort_values(["c", "score", "family"], na_position="first")
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda _: type("T", (), {"partitionId": lambda self: 5})()))
+    batches = (counts.iloc[i:i + size].reset_index(drop=True) for i in range(0, len(counts), size))
+    got = {(r.c, r.family): (r.u, r.n) for r in pd.concat(M._range_sums(batches)).itertuples()}
+    for (c, f), own in rows.groupby(["c", "family"], dropna=False):
+        benign = rows[(rows["c"] == c) & rows["family"].isna()]["score"].to_numpy()
+        u = 0.0 if pd.isna(f) else sum((benign < s).sum() + 0.5 * (benign == s).sum() for s in own["score"])
+        assert got[c, None if pd.isna(f) else f] == (u, len(own))
+
+
+def test_auc_of_many_candidates_is_one_scan(spark):
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.integers(0, 2, 500), rng.normal(size=500).round(1)).withColumn(
+        "other", F.when(F.col("score") < 1, -F.col("score"))).withColumn("none", F.lit(None).cast("double"))
+    auc = M.fold_auc(df, {"s": F.col("score"), "o": F.col("other"), "n": F.col("none")}, "family")
+    rows = {r["candidate"]: r["roc_auc"] for r in auc.collect()}
+    pdf = df.toPandas()
+    for name, col in (("s", "score"), ("o", "other")):
+        own = pdf[pdf[col].notna()]
+        assert rows[name] == pytest.approx(brute_auc(None, own[own.y == 0][col], own[own.y == 1][col]), abs=1e-12)
+    assert "n" not in rows
+    final = auc._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan ExistingRDD") == 2 and final.count("rangepartitioning") == 1       # the rows, and the names
+
+
+def test_counts_with_benign_row(spark):
+    df = frame(spark, [0, 0, 0, 1, 1], [.1, .2, .3, .4, .5])
+    preds = {"a": F.col("score") > 0.25, "b": F.col("score") > 9}
+    rows = {(r["candidate"], r["family"]): tuple(r[2:]) for r in M.fold_counts(df, preds, "family", benign_row=True).collect()}
+    assert rows == {("a", "F1"): (3, 1, 2, 2), ("a", None): (3, 1, 0, 0), ("b", "F1"): (3, 0, 2, 0), ("b", None): (3, 0, 0, 0)}
+    acc = {r[0]: r[1] for r in M.acceptance(M.fold_counts(df, preds, "family", benign_row=True)).collect()}
+    assert acc == {r[0]: r[1] for r in M.benign_acceptance(df, preds).collect()}
+    benign = df.where("y = 0")
+    assert {r["family"] for r in M.fold_counts(benign, preds, "family", benign_row=True).collect()} == {None}
 
 
 def test_candidates_in_one_pass(spark):
