@@ -176,22 +176,24 @@ WITH pieces AS (
 grams AS (
   SELECT lang, k, array_to_string(x[i:i + k - 1], ' ') AS g FROM (
     SELECT lang, x, k, unnest(range(1, len(x) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(x) >= k)
-), f AS (SELECT lang, k, g, count(*)::HUGEINT AS n FROM grams GROUP BY ALL),
+), f AS MATERIALIZED (SELECT lang, k, g, g || chr(10) || lang AS key, count(*)::HUGEINT AS n FROM grams GROUP BY ALL),
 total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
-cand AS (SELECT lang, k, g AS phrase, n AS a, string_split(g, ' ') AS x FROM f WHERE k > 1 AND n >= 10),
+cand AS MATERIALIZED (SELECT lang, k, g AS phrase, n AS a, string_split(g, ' ') AS x FROM f WHERE k > 1 AND n >= 10),
 cuts AS (
   SELECT c.lang, c.k, c.phrase, c.a, j, p.n AS l, q.n AS r, (1000000 * c.a * c.a) // (p.n * q.n) AS score
   FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
-  JOIN f p ON p.lang = c.lang AND p.k = j AND p.g = array_to_string(c.x[:j], ' ')
-  JOIN f q ON q.lang = c.lang AND q.k = c.k - j AND q.g = array_to_string(c.x[j + 1:], ' ')
+  JOIN f p ON p.key = array_to_string(c.x[:j], ' ') || chr(10) || c.lang
+  JOIN f q ON q.key = array_to_string(c.x[j + 1:], ' ') || chr(10) || c.lang
 ), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cuts),
-dropped AS (
-  SELECT DISTINCT s.lang, s.phrase FROM cand s
-  JOIN (SELECT lang, a, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS part FROM cand WHERE k = 3) t
-    ON t.lang = s.lang AND t.part = s.phrase AND 100 * t.a >= 50 * s.a
+parts AS (
+  SELECT lang, max(a) AS a, part FROM (
+    SELECT lang, a, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS part FROM cand WHERE k = 3)
+  GROUP BY lang, part
+), stay AS (
+  SELECT l.* FROM lowest l LEFT JOIN parts t ON t.lang = l.lang AND t.part = l.phrase
+  WHERE l.o = 1 AND (t.part IS NULL OR 100 * t.a < 50 * l.a)
 ), ranked AS (
-  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
-  FROM lowest WHERE o = 1 AND (lang, phrase) NOT IN (SELECT (lang, phrase) FROM dropped)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM stay
 )
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM ranked JOIN total USING (lang) WHERE rank <= 2000
