@@ -41,7 +41,7 @@ from flowsentry.llm.common import texts
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Entries of a codec's tables, by their size: about 270 bytes for a segment, 350 for a step and 100 for a pair.
-MEMO, STEPS, PAIRS = 150_000, 60_000, 200_000
+MEMO, STEPS, PAIRS = 150_000, 300_000, 400_000
 MEMO_CHARS = 48
 
 
