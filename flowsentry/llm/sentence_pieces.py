@@ -16,7 +16,7 @@ with the text.
 Where no piece holds a word mark after another character, a word mark is
 always a boundary of all paths, and likewise between letters and others;
 the segments between are encoded once each (a task's memo, bounded by its
-size; the tables are emptied when the task ends).
+size and emptied when the task ends).
 
 Defined cases: a null text has null ids and no round trip (null); an empty
 text has no ids.  Characters that the model lacks become byte pieces, or the
@@ -41,7 +41,7 @@ from flowsentry.llm.common import texts
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Entries of a codec's tables, by their size: about 270 bytes for a segment, 350 for a step and 100 for a pair.
-MEMO, STEPS, PAIRS = 150_000, 300_000, 400_000
+MEMO, STEPS, PAIRS = 250_000, 150_000, 300_000
 MEMO_CHARS = 48
 
 
@@ -310,9 +310,9 @@ class Codec:
         return list(chain.from_iterable(out))
 
     def forget(self) -> None:
+        """The segments go; steps and pairs, which all texts share, stay for
+        the worker's next task."""
         self.memo.clear()
-        self.p._steps.clear()
-        self.p._pairs.clear()
 
     def decode(self, ids) -> str:
         of = self.p.of_id
