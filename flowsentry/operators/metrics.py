@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The metric names of the published tables, in their order.
 METRIC_COLUMNS = ["accuracy", "recall", "precision", "f1_binary", "f1_macro",
                   "specificity", "fallout_fpr", "roc_auc"]
 

@@ -11,8 +11,7 @@ checked on written-down parameters (``literal_models``).
 from __future__ import annotations
 
 from ..operators.sampling import (AE_LINE_THRESHOLDS, AE_TABLE_THRESHOLDS, AE_THR_QUANTILES,
-                                  FUSION_Q, PAPER_MSE_THRESHOLDS, SVM_NU_VALUES, fusion_weight_grid,
-                                  split_families)
+                                  FUSION_Q, PAPER_MSE_THRESHOLDS, SVM_NU_VALUES, fusion_weight_grid)
 from ..sources.tables import EVENT_LABEL_POOLS, LINEITEM_FEATURES, LINEITEM_LABELS
 from . import literal_models
 
@@ -296,21 +295,16 @@ fus AS (SELECT f.*, m.macro_f1_calib FROM fthr f JOIN fus_mf m USING (ord)),
 best_fus AS (SELECT * FROM fus ORDER BY macro_f1_calib DESC, ord LIMIT 1)"""
 
 
-def calib_ctes(n_families_hint: int | None = None) -> str:
-    """Calibration / test family roles: sorted families ranked, then the
-    generator permutation (a constant of (seed, count)) picks the calibration
-    ranks.  The permutation table covers counts 1..40."""
-    rows = []
-    for n in range(1, 41):
-        names = [f"{i:03d}" for i in range(n)]
-        cal, _ = split_families(names, SEED, 0.5)
-        rows += [f"({n}, {int(c)})" for c in cal]
+#: Fixed value: calibration families of the five attack families of the lineitem view (seed 42, half of them).
+CALIBRATION = ("PortScan", "nan")
+
+
+def calib_ctes() -> str:
+    """Calibration / test family roles, as written down above."""
+    names = ", ".join(f"({_lit(n)})" for n in CALIBRATION)
     return f""",
-perm AS (SELECT * FROM (VALUES {", ".join(rows)}) v(n, idx)),
-famr AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS idx, count(*) OVER () AS n
-         FROM (SELECT DISTINCT family FROM scored WHERE y = 1)),
-calib AS (SELECT family FROM famr JOIN perm USING (n, idx)),
-test AS (SELECT family FROM famr WHERE family NOT IN (SELECT family FROM calib))"""
+calib AS (SELECT * FROM (VALUES {names}) v(family)),
+test AS (SELECT DISTINCT family FROM scored WHERE y = 1 AND family NOT IN (SELECT family FROM calib))"""
 
 
 def study_sql() -> str:

@@ -42,3 +42,18 @@ def test_fold_counts_single_scan_and_aggregation(spark):
     # one scan and one partial/final aggregate pair feed the family rows and the benign row
     assert final.count("Scan ExistingRDD") == 1
     assert final.count("Exchange hashpartitioning") == 1
+
+
+def test_reports_read_the_cube_alone(spark):
+    from flowsentry.operators import reports as R
+    from flowsentry.plans.catalog import study
+    st = study(spark, SF_SMALL)
+    for table in (R.class_by_nu_table(st), R.ae_table(st, "f1_macro"), R.accuracy_series(st), R.operating_points(st), st.thr_metrics):
+        final = _plan(table).split("== Initial Plan ==")[0]
+        assert "FileScan" not in final and final.count("Scan ExistingRDD") == 1
+
+
+def test_scores_are_columnar_and_pruned_by_split(spark):
+    from flowsentry.plans.catalog import study
+    plan = _plan(study(spark, SF_SMALL).scored.where("split = 'val'").select("ae"))
+    assert _read_schemas(plan) == ["ae:double"] and "PartitionFilters: [isnotnull(split" in plan
