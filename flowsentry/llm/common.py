@@ -80,6 +80,18 @@ def run_hashes(df: DataFrame, col: str, lengths: list[int]) -> DataFrame:
     return df
 
 
+def run_hash(parts: list[Column]) -> Column:
+    """The hash of one run, as in ``run_hashes``."""
+    def whole(xs: list[Column]) -> Column:
+        return xs[0] if len(xs) == 1 else F.xxhash64(whole(xs[:len(xs) // 2]), whole(xs[len(xs) // 2:]))
+
+    out, at = None, 0
+    for p in sorted((1 << i for i in range(len(parts).bit_length()) if len(parts) >> i & 1), reverse=True):
+        own = whole(parts[at:at + p])
+        out, at = own if out is None else F.xxhash64(out, own), at + p
+    return out
+
+
 def texts(column: pa.Array) -> Iterator[str | None]:
     """Python strings of an Arrow column, one at a time."""
     for x in column:

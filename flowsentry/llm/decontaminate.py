@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import Scratch, fresh, run_hashes
+from flowsentry.llm.common import Scratch, fresh, run_hash, run_hashes
 
 WIDTH = 8
 LEAST = 3
@@ -77,7 +77,7 @@ def template(spaced: Column) -> Column:
 
 def values(text: Column) -> Column:
     """Array of the words themselves, in lower case, one for each template word."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), F.lower)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def words_of(df: DataFrame) -> DataFrame:
@@ -89,32 +89,37 @@ def words_of(df: DataFrame) -> DataFrame:
             .drop("_spaced", "_template"))
 
 
-def window_hashes(df: DataFrame, sizes: list[int]) -> DataFrame:
+def window_hashes(df: DataFrame, sizes: list[int], item: bool = False) -> DataFrame:
     """Adds to rows with values and template: windows, an array of (size, at)
     where at holds for each place the hashes of the window that begins there:
-    typed, with a literal first word, and all literal."""
+    all literal; typed; and with a literal first word.
+
+    A window's first word may be typed on one side alone.  So a document has
+    the third form, which is hashed another way, where that word is a
+    placeholder, and an ``item`` has it everywhere, hashed both ways."""
     df = (df.withColumn("_t", F.transform("template", lambda w: F.xxhash64(w)))
           .withColumn("_v", F.transform("values", lambda w: F.xxhash64(w))))
     for col in ("_t", "_v"):
-        df = run_hashes(df, col, [n - 1 for n in sizes])
+        df = run_hashes(df, col, sizes)
     parts = []
     for n in sizes:
-        m = F.size("_v") - (n - 1)
-        rest = {c: F.slice(c if n == 2 else f"{c}_{n - 1}", F.lit(2), m) for c in ("_t", "_v")}
-        first = {c: F.slice(c, F.lit(1), m) for c in ("_t", "_v")}
-        whole = lambda a, b, n=n: F.zip_with(a, b, lambda x, y: F.xxhash64(F.lit(n), x, y))
-        typed, mixed, plain = whole(first["_t"], rest["_t"]), whole(first["_v"], rest["_t"]), whole(first["_v"], rest["_v"])
-        parts.append(F.struct(F.lit(n).alias("size"), F.when(m > 0, F.zip_with(
-            F.zip_with(typed, mixed, lambda t, f: F.struct(t.alias("typed"), f.alias("first"))), plain,
-            lambda tf, p: F.struct(tf["typed"].alias("typed"), tf["first"].alias("first"), p.alias("plain")))).alias("at")))
+        if item:
+            both = F.zip_with(f"_v_{n}", f"_t_{n}", lambda v, t: F.array(v, t))
+        else:
+            both = F.zip_with(f"_v_{n}", f"_t_{n}", lambda v, t: F.when(v == t, F.array(v)).otherwise(F.array(v, t)))
+        third = F.transform(F.sequence(F.lit(0), F.size("_v") - n), _third(n, item))
+        at = F.zip_with(both, third, lambda x, f: F.when(f.isNull(), x).otherwise(F.concat(x, f)))
+        parts.append(F.struct(F.lit(n).alias("size"), F.when(F.size("_v") >= n, at).alias("at")))
     return df.withColumn("windows", F.array(*parts)).drop(*[c for c in df.columns if c.startswith(("_t", "_v"))])
 
 
-def distinct_forms(w: Column) -> Column:
-    """The hashes of one window, mostly a single one."""
-    t, f, p = w["typed"], w["first"], w["plain"]
-    return (F.when(t == p, F.when(f == p, F.array(p)).otherwise(F.array(p, f)))
-            .when(f == p, F.array(t, p)).when(f == t, F.array(t, p)).otherwise(F.array(t, f, p)))
+def _third(n: int, item: bool):
+    """Of a place: the hashes of its window with a literal first word."""
+    def of(p: Column) -> Column:
+        words = [F.get("_v", p), *[F.get("_t", p + k) for k in range(1, n)]]
+        own = F.xxhash64(F.lit(n), *words)
+        return F.array(own, run_hash(words)) if item else F.when(F.get("_t", p) != F.get("_v", p), F.array(own))
+    return of
 
 
 def digest(text: Column) -> Column:
@@ -187,12 +192,12 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         return None
 
     own = items.select("item_row", "size", F.col("item_values").alias("values"), F.col("item_template").alias("template"))
-    probe = (window_hashes(own, sizes)
+    probe = (window_hashes(own, sizes, item=True)
              .select("item_row", "size", "template", F.explode("windows").alias("w")).where("w.size = size")
-             .select("item_row", "size", "template", F.posexplode("w.at").alias("item_pos", "w")))
+             .select("item_row", "size", "template", F.posexplode("w.at").alias("item_pos", "hs"))
+             .select("item_row", "size", "template", "item_pos", F.posexplode("hs").alias("form", "h")))
     bare = F.forall(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda w: w.startswith("#"))
-    probe = (probe.select("item_row", "size", "item_pos", F.explode(F.when(bare, F.array("w.first", "w.plain")).otherwise(
-                 F.array("w.typed", "w.first", "w.plain"))).alias("h"))
+    probe = (probe.where(~(bare & (F.col("form") == 1)))
              .groupBy("item_row", "size", "h").agg(F.min("item_pos").alias("item_pos")))
     probe = scratch.table(probe, "windows")
     small = probe.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
@@ -203,8 +208,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     # explode_outer: for explode, the optimiser infers filters that would make the windows again
     grams = (window_hashes(words_of(rows), sizes)
              .select("row", "id", "text", F.explode_outer("windows").alias("w"))
-             .select("row", "id", "text", F.posexplode_outer("w.at").alias("pos", "w"))
-             .select("row", "id", "text", "pos", F.explode_outer(distinct_forms(F.col("w"))).alias("h")))
+             .select("row", "id", "text", F.posexplode_outer("w.at").alias("pos", "hs"))
+             .select("row", "id", "text", "pos", F.explode_outer("hs").alias("h")))
     if small:
         hits = grams.join(F.broadcast(probe), "h")
     else:
