@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.llm import (catalog, chat_format, chosen_path, decontaminate, embedding_dedup, lang_id, line_dedup, pii,
                             sentence_pieces, token_counts, url_filter)
-from flowsentry.llm.common import Scratch, components, local_roots, run_hashes
+from flowsentry.llm.common import Scratch, components, local_roots, run_hash, run_hashes
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven old wizards mix fresh herbs in a copper pot near that river".split()
 
@@ -229,6 +229,8 @@ def test_run_hashes(spark):
         named = dict(zip(rows[0][f"x_{k}"], runs))
         assert len(rows[0][f"x_{k}"]) == len(runs) and len(named) == len(set(runs))
         assert rows[1][f"x_{k}"] is None and rows[2][f"x_{k}"] is None
+        one = df.limit(1).select(run_hash([F.get("x", F.lit(2 + i)) for i in range(k)]).alias("h")).first()["h"]
+        assert one == rows[0][f"x_{k}"][2]
 
 
 # ------------------------------------------------------------------ 3
