@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_path
-from ..sources.artifacts import Bundle, FusionConfig
+from ..sources.artifacts import Bundle, FusionConfig, expression_scorer  # noqa: F401  (the scorer is used from here)
 from ..sources.flow_csv import read_flow_files
 
 Scorer = Callable[[DataFrame], DataFrame]
