@@ -41,3 +41,15 @@ def test_inclusive_one_class_decision(spark):
     df = spark.createDataFrame([(0.0,), (-1.0,), (1.0,)], "s double")
     assert [tuple(r) for r in df.select(flag_ge("s", 0.0).cast("int"), flag_gt("s", 0.0).cast("int")).collect()] == [
         (1, 0), (0, 0), (1, 1)]
+
+
+def test_a_filter_on_the_split_does_not_repeat_the_dirt_hash(spark):
+    """The bucket that makes the view dirty is hashed once, however many
+    columns a filter on the split hangs on."""
+    from flowsentry.operators import sampling as S
+    from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
+    lf = S.assign_split(lineitem_flows(spark, SF_SMALL), LINEITEM_FEATURES)
+    train = lf.where("split = 'train'").select("row_id")
+    plan = train._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(":dirt") == 1
+    assert train.count() == lf.select("split").collect().count(("train",))
