@@ -197,3 +197,17 @@ def test_learned_study_with_solved_oneclass(spark):
                learned_options={"rff_components": 64, "oc_tol": 0.05, "ae_epochs": 1, "ae_trials": 1})
     assert "ml_raw_0" in st.scored.columns and len(st.nu_summary) == 3
     assert st.ablation_summary().count() == 3
+
+
+def test_training_is_single_precision_with_double_sums():
+    rng = np.random.default_rng(3)
+    rff, x = OC.make_map(4, 0.25, 64, seed=2), rng.normal(size=(300, 4))
+    z = OC._phi(rff)(x)
+    assert z.dtype == np.float32 and np.abs(z - rff.transform(x)).max() < 1e-6
+    dims = AE.layer_dims(4, 8, 4, 8)
+    start = AE._flat(AE.init_params(dims, 0))
+    worker = AE._Worker(([start, 0 * start, 0 * start], 0), [p.shape for p in AE.init_params(dims, 0)], 1e-3, 1e-4, 64, (1, 0, 0))
+    worker.add(x)
+    n, steps, _, total = worker.end()
+    assert (n, steps) == (300, 5) and total.dtype == np.float64
+    assert all(p.dtype == np.float32 for p in worker.p + worker.m + worker.v)
