@@ -12,13 +12,19 @@ Documents are sets of distinct word shingles; two are linked when
    probability that grows with their similarity.  Nodes of at most ``leaf``
    documents stop; nodes of one document, or of nothing but documents known
    to be connected, are dropped.  A node still larger after ``depth`` levels is
-   dealt into leaves at random, together with a few pivots of the whole node.
+   dealt into leaves at random, together with a few pivots of the whole node,
+   which connects the bulk of a group of near copies cheaply.
 3. Leaves are compared exhaustively, first by sketches; documents with a
    promising partner get their full sets (their texts are read again once),
    and the exact test within the leaf gives one link per document and group.
    After a first round of ``first_trees`` trees, what is connected already is
    not compared again in the other trees.
-4. Connected components of the links.
+4. A node that was dealt, and holds documents not connected by now, is compared
+   whole: it is cut into blocks, and every pair of blocks is a leaf, but for
+   two blocks of one component.  So no node loses a link by its size; the work
+   on documents of a node that are alike, but not near duplicates, grows with
+   their square, a pair of blocks a task at a time.
+5. Connected components of the links.
 
 A pair at the threshold shares a leaf of one tree with a probability of about
 0.63 for one level, 0.47 for two, 0.37 for three; 16 trees give a recall of
@@ -56,6 +62,9 @@ FIRST_TREES = 3
 LEAF = 192
 DEPTH = 4
 PIVOTS = 4
+#: Blocks of a dealt node: about so many documents, and so many shingles of them together.
+BLOCK = 512
+BLOCK_SHINGLES = 500_000
 #: A pair is dropped by its sketch if its estimate is so many standard deviations too low.
 SKETCH_SIGMA = 4.0
 
@@ -182,20 +191,22 @@ def branches(df: DataFrame, share: int) -> DataFrame:
     return df.select("tree", "path", "row", "tokens").mapInArrow(run, "tree int, path long, row long")
 
 
-def leaves(reps: DataFrame, scratch: Scratch, trees: int, share: int, leaf: int, depth: int) -> DataFrame:
-    """(tree, path, row) of all leaves of two documents or more."""
+def leaves(reps: DataFrame, scratch: Scratch, trees: int, share: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, path, row) of all leaves of two documents or more, and (path, row)
+    of the nodes that were dealt into such, None if there are none."""
     roots = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(_seed(t + 1) >> 1).cast("long").alias("path")) for t in range(trees)]))
     level = branches(reps.select("row", "tokens", roots.alias("r")).select("r.tree", "r.path", "row", "tokens"), share)
     out = None
     for k in range(depth):
-        members = scratch.table(level.distinct() if k else level, f"level{k}")
-        sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        members = scratch.table(members.join(sizes, "path"), f"nodes{k}")
+        level = scratch.table(level.distinct() if k else level, f"level{k}")
+        sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        members = scratch.table(level.join(sizes, "path"), f"nodes{k}")
+        scratch.drop(level)
         small = members.where(F.col("size") <= leaf).select("tree", "path", "row")
         out = small if out is None else out.unionByName(small)
         large = members.where(F.col("size") > leaf)
         if not large.limit(1).count():
-            return out
+            return out, None
         if k < depth - 1:
             level = branches(large.join(reps.select("row", "tokens"), "row"), share)
     # what is still large: random leaves, each with the node's pivots
@@ -205,7 +216,34 @@ def leaves(reps: DataFrame, scratch: Scratch, trees: int, share: int, leaf: int,
     dealt = large.select("tree", F.xxhash64("path", F.pmod(F.xxhash64("row", "path"), parts)).alias("path"), "row")
     spread = pivots.select("tree", "path", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "pivots").select(
         "tree", F.xxhash64("path", F.col("part").cast("long")).alias("path"), F.explode("pivots").alias("row"))
-    return out.unionByName(dealt.unionByName(spread).distinct())
+    return out.unionByName(dealt.unionByName(spread).distinct()), large.select("path", "row")
+
+
+def block_pairs(large: DataFrame, reps: DataFrame, roots: DataFrame, scratch: Scratch, block: int) -> DataFrame | None:
+    """(tree, path, row, sketch, root) of all pairs of blocks of the nodes whose
+    documents are not one component; a path is one pair.  Documents of a
+    component of more than ``block`` in a node make blocks of their own, which
+    are not paired with each other."""
+    nodes = (large.join(reps.select("row", "n"), "row").join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
+             .withColumn("root", F.coalesce("root", "row")))
+    groups = scratch.table(nodes.groupBy("path", "root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "groups")
+    apart = groups.groupBy("path").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("path")
+    groups = groups.join(apart, "path", "left_semi").withColumn("own", F.when(F.col("size") > block, F.col("root")))
+    count = F.greatest(F.ceil(F.sum("size") / block), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+    cuts = scratch.table(groups.groupBy("path", "own").agg(count.alias("parts")), "cuts")
+    if not cuts.limit(1).count():
+        return None
+    at = cuts.select("path", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    at = at.withColumn("block", F.xxhash64("path", F.coalesce("own", F.lit(-1).cast("long")), "part"))
+    other = at.select("path", F.col("own").alias("own2"), F.col("block").alias("block2"))
+    pairs = (at.join(other, "path").where("block <= block2 and (own is null or own2 is null or own <> own2)")
+             .select(F.xxhash64("block", "block2").alias("pair"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block")))
+    placed = (nodes.join(groups.select("path", "root", "own"), ["path", "root"])
+              .join(cuts.withColumnRenamed("own", "own2"), "path").where("own <=> own2")
+              .withColumn("part", F.pmod(F.xxhash64("row", "path"), "parts").cast("int"))
+              .select(F.xxhash64("path", F.coalesce("own", F.lit(-1).cast("long")), "part").alias("block"), "row", "root"))
+    return (placed.join(pairs, "block").join(reps.select("row", "sketch"), "row")
+            .select(F.lit(-1).alias("tree"), F.col("pair").alias("path"), "row", "sketch", "root"))
 
 
 def promising(members: DataFrame, parts: int, least: int) -> DataFrame:
@@ -275,7 +313,7 @@ def shared_counts(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     similarity: Fraction = SIMILARITY, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH,
-                    first_trees: int = FIRST_TREES, row_col: str | None = None) -> DataFrame:
+                    first_trees: int = FIRST_TREES, row_col: str | None = None, block: int = BLOCK) -> DataFrame:
     """One row per input row: row, id, n_shingles, component_id (the smallest
     id reachable), component (a number of it), first (the row that stays).
     With ``row_col``, ``docs`` is a written table with a number of each row."""
@@ -291,19 +329,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if row_col is None:
         row_col = "_row" if id_col != "_row" != text_col else "__row"
         stored = scratch.table(_numbered(docs, [id_col, text_col], row_col), "numbered")
-    sigs = scratch.table(signatures(stored, id_col, text_col, row_col, words), "signatures")
-    classes = scratch.table(sigs.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep")), "classes")
-    reps = scratch.table(sigs.where("n > 0").select("row", "tokens").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-                         .withColumn("sketch", _sketch(F.col("tokens"))), "reps")
-    found = scratch.table(leaves(reps, scratch, trees, share, leaf, depth), "leaves")
-    members = scratch.table(found.join(reps.select("row", "sketch"), "row"), "members")
+    signed = scratch.table(signatures(stored, id_col, text_col, row_col, words), "signatures")
+    classes = scratch.table(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep")), "classes")
+    tokens = scratch.table(signed.where("n > 0").select("row", "n", "tokens").join(classes.select(F.col("rep").alias("row")), "row", "left_semi"),
+                           "tokens")
+    sigs = scratch.table(signed.drop("tokens"), "digests")
+    scratch.drop(signed)
+    reps = scratch.table(tokens.select("row", "n", _sketch(F.col("tokens")).alias("sketch")), "sketches")
+    found, large = leaves(tokens, scratch, trees, share, leaf, depth)
+    scratch.drop(tokens)
+    members = found.join(reps.select("row", "sketch"), "row")
     live = scratch.table(promising(members.withColumn("root", F.col("row")), parts, least), "live")
-    need = live.select("row").distinct()
-    sets = scratch.table(stored.select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).join(need, "row", "left_semi")
-                         .mapInArrow(_as_sets(words), "row long, set binary"), "sets")
-    if stored is not docs:
-        scratch.drop(stored)
 
+    def full_sets(of: DataFrame) -> DataFrame:
+        need = of.select("row").distinct()
+        return scratch.table(stored.select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).join(need, "row", "left_semi")
+                             .mapInArrow(_as_sets(words), "row long, set binary"), "sets")
+
+    sets = full_sets(live)
     links = scratch.table(verified(live.where(F.col("tree") < first_trees).join(sets, "row"), parts, similarity), "links")
     if trees > first_trees:
         roots = components(scratch, links)
@@ -313,7 +356,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = scratch.table(promising(rest, parts, least), "rest")
         more = scratch.table(verified(rest.join(sets, "row"), parts, similarity), "more")
         links = links.unionByName(more)
+        scratch.drop(rest)
+    scratch.drop(live, sets)
     roots = components(scratch, links)
+    apart = block_pairs(large, reps, roots, scratch, block) if large is not None else None
+    if apart is not None:
+        rest = scratch.table(promising(apart, parts, least), "apart")
+        last = scratch.table(verified(rest.join(full_sets(rest), "row"), parts, similarity), "last")
+        roots = components(scratch, links.unionByName(last))
+    if stored is not docs:
+        scratch.drop(stored)
     labelled = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "d1", "d2", F.coalesce("root", "rep").alias("component"))
     rows = (sigs.where("n > 0").select("row", "id", "n", "d1", "d2").join(labelled, ["d1", "d2"]).drop("d1", "d2")

@@ -467,6 +467,24 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got == {r[0]: (n[i], rows[roots[i]][0]) for i, r in enumerate(rows)}
 
 
+def test_near_duplicates_in_a_node_that_stays_large(spark):
+    """One template, whose copies are alike below the threshold, with planted
+    pairs in it, and a group of near copies: a node that is dealt loses no link."""
+    base, rows = words("template", 200), []
+    for i in range(150):
+        text = varied(f"t{i}", base, 5)
+        rows.append((2 * i, text))
+        rows.append((2 * i + 1, varied(f"p{i}", text.split(" "), 1) if i % 2 else varied(f"o{i}", base, 6)))
+    copies = words("copies", 120)
+    rows += [(1000 + i, varied(f"c{i}", copies, 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n, roots = plain_near(rows)
+    assert len(set(roots.tolist())) > 50
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in chosen_path.near_duplicates(df, leaf=4, depth=1, block=16).collect()}
+    assert got == {r[0]: (n[i], rows[roots[i]][0]) for i, r in enumerate(rows)}
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     table = Scratch(spark, "t").table(odd, "odd")
     out = chosen_path.dedup(table)
