@@ -9,8 +9,10 @@ bounded candidate count, however large the input): a sample without
 replacement, in which no row stands twice.  Trees come back as flat
 node rows (tree, node, feature, threshold, left, right, size).
 
-Score: the forest (trees x <= 2 psi nodes) is broadcast by value and a
-``mapInPandas`` walks all rows of an Arrow batch through each tree at once.
+Score: the forest is broadcast by value, each tree as a full binary tree in
+arrays (the children of node i are 2i + 1 and 2i + 2; a leaf's own value stands
+in all of its places on the last level), and a ``mapInArrow`` moves all rows
+of a batch down each tree a level at a time, with a few array steps a level.
 score = 2 ** (-E[h(x)] / c(psi)), higher = more anomalous (the negated
 score_samples of the usual formulation).
 """
@@ -18,10 +20,12 @@ score_samples of the usual formulation).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -77,13 +81,22 @@ class Forest:
     psi: int
     cols: tuple[str, ...]
 
-    def _arrays(self):
+    def _arrays(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each tree its features and thresholds by place, and the path
+        lengths (with the leaf correction c(size)) of the last level's places."""
         out = []
         for _, t in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
-            size = t["size"].to_numpy(np.float64)
-            adj = np.array([c_factor(v) for v in size])  # leaf correction c(size), per node
-            out.append((t["feature"].to_numpy(np.int64), t["threshold"].to_numpy(np.float64),
-                        t["left"].to_numpy(np.int64), t["right"].to_numpy(np.int64), adj))
+            feat, left, right, size = (t[c].to_numpy(np.int64) for c in ("feature", "left", "right", "size"))
+            thr = t["threshold"].to_numpy(np.float64)
+            feats, thrs, nodes, grown = [], [], np.zeros(1, np.int64), np.zeros(1)
+            while (feat[nodes] >= 0).any():
+                inner = feat[nodes] >= 0
+                feats.append(np.where(inner, feat[nodes], 0))
+                thrs.append(thr[nodes])
+                grown = np.repeat(grown + inner, 2)
+                nodes = np.stack([np.where(inner, left[nodes], nodes), np.where(inner, right[nodes], nodes)], axis=1).ravel()
+            lengths = grown + np.array([c_factor(float(v)) for v in size[nodes]])
+            out.append((np.concatenate([*feats, np.zeros(0, np.int64)]), np.concatenate([*thrs, np.zeros(0)]), lengths))
         return out
 
     def score(self, df: DataFrame, out_col: str = "if_score") -> DataFrame:
@@ -91,29 +104,28 @@ class Forest:
         cols = list(self.cols)
         schema = StructType(df.schema.fields + [StructField(out_col, DoubleType())])
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trees, psi = bc.value
             cpsi = c_factor(psi)
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=np.float64)
-                total = np.zeros(len(x))
-                for feat, thr, left, right, adj in trees:
-                    node = np.zeros(len(x), dtype=np.int64)
-                    depth = np.zeros(len(x))
-                    active = feat[node] >= 0
-                    while active.any():
-                        ia = np.flatnonzero(active)
-                        nd = node[ia]
-                        go_left = x[ia, feat[nd]] < thr[nd]
-                        node[ia] = np.where(go_left, left[nd], right[nd])
-                        depth[ia] += 1
-                        active = feat[node] >= 0
-                    total += depth + adj[node]
+            for batch in batches:
+                n = batch.num_rows
+                x = np.concatenate([np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.float64) for c in cols])
+                row, total = np.arange(n), np.zeros(n)
+                for feat, thr, lengths in trees:
+                    place, start = np.zeros(n, np.int64), feat * n
+                    for _ in range(len(lengths).bit_length() - 1):
+                        at = start.take(place)
+                        at += row
+                        on_right = ~(x.take(at) < thr.take(place))
+                        place *= 2
+                        place += 1
+                        place += on_right
+                    total += lengths.take(place - (len(lengths) - 1))
                 mean_h = total / max(len(trees), 1)
-                pdf[out_col] = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else 0.5
-                yield pdf
+                scores = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else np.full(n, 0.5)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, out_col])
 
-        return df.mapInPandas(run, schema)
+        return df.mapInArrow(run, schema)
 
 
 def tree_slots(rows: DataFrame, n_trees: int, per_row: float, seed: int) -> DataFrame:

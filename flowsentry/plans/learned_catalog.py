@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import quantiles as Q
 from ..operators.detectors import iforest as IF
 from ..operators.detectors import pca as PC
-from ..session import cut_lineage
+from ..session import shared_path
 from .catalog import _metric_frame, _r, study
 from .runs import IFOREST_QUANTILE
 from .study import thr_name
@@ -59,8 +59,11 @@ def q_iforest_metrics(spark, sf_dir):
     st = study(spark, sf_dir)
     train = st.scored.where(F.col("split") == "train")
     forest = IF.fit(train, st.zcols, n_rows=st.counts.get("train"))
-    scored = forest.score(st.scored.select("row_id", "y", "family", "split", *st.zcols), "if_score")
-    scored = cut_lineage(scored.select("row_id", "y", "family", "split", "if_score"))
+    scored = forest.score(st.scored.select("y", "family", "split", *st.zcols), "if_score")
+    # a table in the shared folder: the threshold reads the validation scores alone
+    path, scored = shared_path(spark, "iforest"), scored.select("y", "family", "split", "if_score")
+    scored.write.parquet(path)
+    scored = spark.read.schema(scored.schema).parquet(path)
     val = scored.where(F.col("split") == "val")
     thr = Q.quantiles(val, ["if_score"], [IFOREST_QUANTILE])["if_score"][0]
     m = M.fold_metrics(scored, {"iforest": flag_ge("if_score", thr)}, "family",

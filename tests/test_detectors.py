@@ -1,6 +1,7 @@
 """Learned detectors on a seeded synthetic flow table with separable families."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,29 @@ def test_iforest_detects(synth):
     assert a["Shifted"] > 0.9 and a["Wide"] > 0.8
 
 
+def test_forest_scores_walk_full_trees_a_level_at_a_time(synth):
+    """Each tree is a full one in arrays, and scores equal a walk node by node,
+    for leaves on every level, missing values and values on a threshold."""
+    grown = IF.fit(synth.where("split = 'train'"), COLS, n_trees=6, psi=32, seed=3).nodes
+    alone = pd.DataFrame([(9, 0, -1, 0.0, -1, -1, 5)], columns=grown.columns)
+    forest = IF.Forest(pd.concat([grown, alone]), 32, tuple(COLS))
+    for feat, thr, lengths in forest._arrays():
+        assert len(feat) == len(thr) == len(lengths) - 1 and len(lengths).bit_count() == 1
+    thr = float(grown[grown["feature"] == 0]["threshold"].iloc[0])
+    rows = synth.limit(300).withColumn(COLS[0], F.when(F.rand(1) < 0.1, F.lit(thr)).when(F.rand(2) < 0.9, F.col(COLS[0]))).toPandas()
+    got = forest.score(synth.sparkSession.createDataFrame(rows), "if").toPandas()
+    for _, r in got.iterrows():
+        total = 0.0
+        for _, tree in forest.nodes.groupby("tree"):
+            node = tree.iloc[0]
+            depth = 0
+            while node["feature"] >= 0:
+                depth += 1
+                node = tree.iloc[int(node["left"] if r[COLS[int(node["feature"])]] < node["threshold"] else node["right"])]
+            total += depth + IF.c_factor(float(node["size"]))
+        assert r["if"] == pytest.approx(2.0 ** (-total / 7 / IF.c_factor(32)), rel=1e-12)
+
+
 def test_forest_draws_rows_without_replacement(spark):
     rows = spark.range(400).select(F.col("id").cast("string").alias("row_id"))
     for n_trees, per_row in ((12, 3.5), (12, 40.0), (7, 0.25), (1, 1.5)):
