@@ -53,3 +53,18 @@ def test_a_filter_on_the_split_does_not_repeat_the_dirt_hash(spark):
     plan = train._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(":dirt") == 1
     assert train.count() == lf.select("split").collect().count(("train",))
+
+
+def test_study_hashes_keys_once_and_writes_scores_without_a_sort(spark):
+    """The split is in the persisted working set, and the scored table is not
+    sorted into folders by split."""
+    from flowsentry.operators.sampling import assign_split
+    from flowsentry.plans.study import Study
+    from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
+    flows = lineitem_flows(spark, SF_SMALL)
+    st = Study(flows, LINEITEM_FEATURES)
+    assert "split" in st.base.columns
+    want = {tuple(r) for r in assign_split(flows, LINEITEM_FEATURES).select("row_id", "split").collect()}
+    assert {tuple(r) for r in st.split_frame.select("row_id", "split").collect()} == want
+    assert not any("split=" in f for f in st.scored.inputFiles())
+    st.base.unpersist()
