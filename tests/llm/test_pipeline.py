@@ -63,3 +63,17 @@ def test_stages_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_SMALL).count() == 0
     assert decontaminate.WIDTH == 8
+
+
+def test_near_dedup_keeps_one_of_each_group_in_a_node_that_stays_large(spark):
+    """One template below the threshold with planted pairs: the rows that stay
+    are those of all pairs, whatever the size of their node."""
+    from tests.llm.test_operators import plain_near, varied, words
+    base, rows = words("template", 200), []
+    for i in range(150):
+        text = varied(f"t{i}", base, 5)
+        rows.append((2 * i, text))
+        rows.append((2 * i + 1, varied(f"p{i}", text.split(" "), 1) if i % 2 else varied(f"o{i}", base, 6)))
+    _, roots = plain_near(rows)
+    out = chosen_path.dedup(spark.createDataFrame(rows, "doc_id long, text string"), leaf=4, depth=1, block=16)
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted({rows[r][0] for r in roots})
