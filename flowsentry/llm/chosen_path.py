@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.common import Scratch, by_group, components, fresh, grouped, local_roots, texts
+from flowsentry.llm.common import Scratch, by_group, components, fresh, grouped, local_roots, texts, tidy
 
 WORDS = 5
 SIMILARITY = Fraction(75, 100)
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, row_col: str, words:
                 [batch.column(2), batch.column(0), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(both[:, 0])),
                  pa.array(np.ascontiguousarray(both[:, 1])), pa.array(tokens, pa.binary())], names=schema.names)
 
-    return docs.select(id_col, text_col, row_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, row_col).mapInArrow(tidy(run), schema)
 
 
 def _seed(x: int) -> int:
@@ -188,7 +188,7 @@ def branches(df: DataFrame, share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(join(out_tree, np.int32)), pa.array(join(out_path, np.int64)), pa.array(join(out_row, np.int64))],
                                              names=["tree", "path", "row"])
 
-    return df.select("tree", "path", "row", "tokens").mapInArrow(run, "tree int, path long, row long")
+    return df.select("tree", "path", "row", "tokens").mapInArrow(tidy(run), "tree int, path long, row long")
 
 
 def leaves(reps: DataFrame, scratch: Scratch, trees: int, share: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
@@ -265,7 +265,7 @@ def promising(members: DataFrame, parts: int, least: int) -> DataFrame:
                 yield from group.select(["tree", "path", "row"]).filter(pa.array(live)).to_batches()
 
     return (by_group(members.select("tree", "path", "row", "sketch", "root"), "path", parts, "row")
-            .mapInArrow(run, "tree int, path long, row long"))
+            .mapInArrow(tidy(run), "tree int, path long, row long"))
 
 
 def verified(members: DataFrame, parts: int, similarity: Fraction) -> DataFrame:
@@ -288,7 +288,7 @@ def verified(members: DataFrame, parts: int, similarity: Fraction) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(rows[root[at]])], names=["a", "b"])
 
-    return by_group(members.select("path", "row", "set"), "path", parts, "row").mapInArrow(run, "a long, b long")
+    return by_group(members.select("path", "row", "set"), "path", parts, "row").mapInArrow(tidy(run), "a long, b long")
 
 
 def shared_counts(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def full_sets(of: DataFrame) -> DataFrame:
         need = of.select("row").distinct()
         return scratch.table(stored.select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).join(need, "row", "left_semi")
-                             .mapInArrow(_as_sets(words), "row long, set binary"), "sets")
+                             .mapInArrow(tidy(_as_sets(words)), "row long, set binary"), "sets")
 
     sets = full_sets(live)
     links = scratch.table(verified(live.where(F.col("tree") < first_trees).join(sets, "row"), parts, similarity), "links")

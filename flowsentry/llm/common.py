@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +95,44 @@ def run_hash(parts: list[Column]) -> Column:
     return out
 
 
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """The one large table that a worker keeps from task to task; one of
+    another key takes its place."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Frees the worker's table, for tasks that need the memory for another."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system; a C library that can't is left alone."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at the task's end its worker, which Spark keeps
+    for the next one, gives the freed memory back."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+    return whole
+
+
 def texts(column: pa.Array) -> Iterator[str | None]:
     """Python strings of an Arrow column, one at a time."""
     for x in column:

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.llm.common import Scratch, texts
+from flowsentry.llm.common import Scratch, release, texts, tidy
 
 UNDETERMINED = "und"
 N_WORDS = 300_000
@@ -41,6 +41,7 @@ LONGEST = 4
 LONGEST_WORD = 64
 FLUSH = 200_000
 MEMO = 50_000
+SLICE = 500
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -65,14 +66,14 @@ class Model:
     words: dict[str, int]
     word_logp: np.ndarray
     grams: dict[str, int]
-    gram_logp: list[list[float]]
+    gram_logp: np.ndarray | list[list[float]]
 
     def backoff(self, word: str) -> list[float] | None:
         """Mean log frequency of the longest n-grams of which any is known."""
         for n in range(LONGEST, 0, -1):
             found = [g for g in (self.grams.get(x) for x in grams_of(word, n)) if g is not None]
             if found:
-                rows = [self.gram_logp[g] for g in found]
+                rows = np.asarray(self.gram_logp)[found].tolist()
                 return [sum(x) / len(rows) for x in zip(*rows)]
         return None
 
@@ -107,6 +108,7 @@ class Model:
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, lang, n) over all rows of (text, lang)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
@@ -122,7 +124,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return (rows.mapInArrow(count, "word string, lang string, n long")
+    return (rows.mapInArrow(tidy(count), "word string, lang string, n long")
             .groupBy("word", "lang").agg(F.sum("n").alias("n")))
 
 
@@ -175,11 +177,11 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang",
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     if not langs:
         scratch.drop(words)
-        return Model([], {}, np.zeros((0, 0)), {}, [])
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     w, w_logp = _most_frequent(words.where(F.length("word") <= LONGEST_WORD), "word", langs, n_words)
     g, g_logp = _most_frequent(gram_counts(words), "gram", langs, n_grams)
     scratch.drop(words)
-    return Model(langs, w, w_logp, g, g_logp.tolist())
+    return Model(langs, w, w_logp, g, g_logp)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred",
@@ -194,14 +196,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     schema = docs.limit(0).withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m, memo = shared.value, {}
-        for batch in batches:
-            got = [m.predict(t, memo) for t in texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
-                names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                got = [m.predict(t, memo) for t in texts(batch.column(at))]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
+                    names=schema.names)
+
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

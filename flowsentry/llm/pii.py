@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.common import Scratch, texts
+from flowsentry.llm.common import Scratch, texts, tidy
 
 BROADCAST_VALUES = 200_000
 MANY_ATTEMPTS = 12
@@ -239,7 +239,7 @@ def entity_values(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "gender", "value"])
 
-    return docs.select(text_col).mapInArrow(run, "kind string, gender string, value string").distinct()
+    return docs.select(text_col).mapInArrow(tidy(run), "kind string, gender string, value string").distinct()
 
 
 def assign(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -256,7 +256,7 @@ def assign(values: DataFrame, key: str, scratch: Scratch) -> DataFrame:
                 new = [surrogate(secret, k, g, v, a) for k, g, v, a in rows]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())],
                                                  names=["kind", "gender", "value", "attempt", "new"])
-        return df.select("kind", "gender", "value", "attempt").mapInArrow(run, schema)
+        return df.select("kind", "gender", "value", "attempt").mapInArrow(tidy(run), schema)
 
     occurring = scratch.table(values.select("kind", F.col("value").alias("new")).distinct(), "values")
     state = scratch.table(drawn(values.withColumn("attempt", F.lit(0))), "drawn")
@@ -317,7 +317,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", keep_entitie
             columns[at] = pa.array(new_texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(found, arrow_found)] if keep_entities else []), names=schema.names)
 
-    return extra.mapInArrow(run, schema)
+    return extra.mapInArrow(tidy(run), schema)
 
 
 def _with_attempts(docs: DataFrame, later: DataFrame, text_col: str) -> DataFrame:
@@ -331,7 +331,7 @@ def _with_attempts(docs: DataFrame, later: DataFrame, text_col: str) -> DataFram
                                              names=["_row", "kind", "gender", "value"])
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    own = (numbered.select("_row", text_col).mapInArrow(run, "_row long, kind string, gender string, value string")
+    own = (numbered.select("_row", text_col).mapInArrow(tidy(run), "_row long, kind string, gender string, value string")
            .join(later, ["kind", "gender", "value"])
            .groupBy("_row").agg(F.collect_list(F.struct("kind", "gender", "value", "attempt")).alias("_own")))
     return numbered.join(own, "_row", "left").drop("_row")

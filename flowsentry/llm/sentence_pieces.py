@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsentry.llm.common import texts
+from flowsentry.llm.common import held, texts, tidy
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -320,14 +320,9 @@ class Codec:
         return s[1:] if self.p.dummy_prefix and s.startswith(" ") else s
 
 
-_LOADED: dict[str, Codec] = {}
-
-
 def codec(model: str) -> Codec:
     """The worker's codec of this model."""
-    if model not in _LOADED:
-        _LOADED[model] = Codec(Pieces.load(model))
-    return _LOADED[model]
+    return held(("pieces", model), lambda: Codec(Pieces.load(model)))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +352,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         finally:
             c.forget()
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -372,4 +367,4 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "te
             got = [None if x is None else c.decode(x) for x in texts(batch.column(ids_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

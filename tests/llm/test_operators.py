@@ -3,15 +3,18 @@ with nulls, empty and long texts, ties, repeated rows, empty tables and
 further columns with clashing names."""
 
 import itertools
+import os
 import random
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.llm import (catalog, chat_format, chosen_path, decontaminate, embedding_dedup, lang_id, line_dedup, pii,
                             sentence_pieces, token_counts, url_filter)
-from flowsentry.llm.common import Scratch, components, local_roots, run_hash, run_hashes
+from flowsentry.llm.common import Scratch, components, local_roots, run_hash, run_hashes, tidy
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven old wizards mix fresh herbs in a copper pot near that river".split()
 
@@ -344,6 +347,44 @@ def test_language_model_against_plain_counts(spark):
     assert model.predict("c" * 70 + "é" * 500, {})[0] == "aa"          # behind the first letters too
 
 
+def test_language_tasks_free_what_a_worker_kept(spark, monkeypatch):
+    """A worker that encoded before holds no codec while it counts words or
+    tells languages; n-gram frequencies are one array, results go in slices."""
+    docs = spark.createDataFrame([(i, f"the dog and river {i}", "en" if i % 2 else "de") for i in range(1200)], "doc_id long, text string, lang string")
+    model, tasks, plain = lang_id.fit(docs), [], type(docs).mapInArrow
+    assert isinstance(model.gram_logp, np.ndarray)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: tasks.append(run) or plain(df, run, schema))
+    lang_id.word_counts(docs.select("text", "lang"))
+    lang_id.predict(docs.select("text", "lang"), model)
+    batch = pa.RecordBatch.from_pylist([{"text": r["text"], "lang": r["lang"]} for r in docs.collect()])
+    for run, most in zip(tasks, (10_000, lang_id.SLICE), strict=True):
+        kept = weakref.ref(sentence_pieces.codec(catalog.tokenizer_path("piece_bpe_32k.model")))
+        assert kept() is not None
+        out = list(run(iter([batch, batch.slice(0, 0)])))
+        assert kept() is None
+        assert 0 < max(x.num_rows for x in out) <= most
+    assert sum(x.num_rows for x in out) == 1200
+
+
+def test_a_worker_gives_its_memory_back_after_a_task():
+    """Small pieces that a task frees below one that stays."""
+    def held_mb():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    stays = []
+
+    def run(batches):
+        pieces = [bytes(2_000) for _ in range(100_000)]
+        stays.append(bytes(2_000))
+        yield from batches
+        del pieces
+
+    before = held_mb()
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2]
+    assert held_mb() - before < 60
+
+
 def test_backoff_takes_the_longest_known_grams():
     m = lang_id.Model(["a", "b"], {"known": 0}, np.log([[.9, .1]]), {"<ab": 0, "x": 1}, np.log([[.2, .8], [.7, .3]]).tolist())
     assert m.backoff("abx") == m.gram_logp[0]      # three characters before one
