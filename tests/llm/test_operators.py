@@ -413,6 +413,61 @@ def test_sentencepiece_equals_library(spark, odd):
     assert sentence_pieces.encode(odd.limit(0), path).count() == 0
 
 
+def test_frequent_segments_stay_when_the_table_is_full(monkeypatch):
+    """Rare words don't push a word out that every text has."""
+    made, plain = [], sentence_pieces.Codec._segment
+    monkeypatch.setattr(sentence_pieces, "MEMO", 40)
+    monkeypatch.setattr(sentence_pieces.Codec, "_segment", lambda c, s: made.append(s.strip(" \u2581")) or plain(c, s))
+    c = sentence_pieces.Codec(sentence_pieces.Pieces.load(catalog.tokenizer_path("piece_bpe_32k.model")))
+    rng = random.Random(3)
+    for _ in range(60):
+        rare = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(5)]
+        c.encode(" ".join(["so", "river", *rare]))
+        assert len(c.memo) + len(c.memo.old) <= 40
+    assert made.count("river") == 1 and len(made) == 2 + 60 * 5
+
+
+def test_sentencepiece_tables_of_any_size_give_the_same_ids(monkeypatch):
+    """Tables that overflow all the time, groups of a few texts, words in any
+    order and longer than the table takes."""
+    import sentencepiece
+    path = catalog.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(9)
+    letters = "aeinrstélщ漢😀 \u2581.,1-"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(90))) for _ in range(150)]
+    texts += [" ".join(words(i, 20)) for i in range(30)] + [None, "", " ", "\u2581", "in" * 40 + " " + "in" * 24, " " * 99 + "end"]
+    want = [[] if x is None else sp.encode(x) for x in texts]
+    for memo, steps, pairs, chars in ((350_000, 150_000, 300_000, 1_000_000), (6, 25, 10, 200), (2, 1, 1, 1)):
+        for name, n in (("MEMO", memo), ("STEPS", steps), ("PAIRS", pairs), ("GROUP_CHARS", chars)):
+            monkeypatch.setattr(sentence_pieces, name, n)
+        c = sentence_pieces.Codec(sentence_pieces.Pieces.load(path))
+        got = list(c.encoded(iter(texts)))
+        assert [x for x, _ in got] == texts and [ids.tolist() for _, ids in got] == want
+        assert sum(len(x) for x in c.p.after[:-1]) <= pairs
+        assert sum(len(x) for x in (c.p.begin, *c.p._states.values())) <= steps
+
+
+def test_beginnings_in_common_are_encoded_once(monkeypatch):
+    """Of sorted words only what differs from the word before is run; in any
+    order the pieces are those of the whole word."""
+    chars, plain = [], sentence_pieces.StreamingViterbi._run
+    monkeypatch.setattr(sentence_pieces.StreamingViterbi, "_run", lambda v, s, *rest: chars.append(len(s)) or plain(v, s, *rest))
+    c = sentence_pieces.Codec(sentence_pieces.Pieces.load(catalog.tokenizer_path("piece_bpe_32k.model")))
+    many = [a + b for a in ("interest", "internal", "intern") for b in ("", "ing", "s", "ed", "ly", "isation")]
+    random.Random(2).shuffle(many)
+    ids = c.encode(" ".join(many))
+    assert sum(chars) < 0.6 * sum(len(x) + 1 for x in many)
+    found = []
+    for x in many:
+        c.viterbi.feed("\u2581" + x)
+        whole = c.viterbi.finish()
+        c.viterbi.path("\u2581" + many[0])
+        assert c.viterbi.path("\u2581" + x) == whole
+        found += whole
+    assert ids == [i for x in found for i in c.p.piece_ids(x)]
+
+
 def test_viterbi_of_a_unigram_model_against_all_segmentations():
     scores = {"▁": -2.0, "a": -3.0, "b": -3.1, "ab": -4.0, "ba": -4.5, "aba": -5.2, "▁a": -3.5, "bb": -7.0}
     p = sentence_pieces.Pieces(scores, {s: i + 1 for i, s in enumerate(scores)}, sentence_pieces.UNIGRAM)
