@@ -235,3 +235,69 @@ def test_training_is_single_precision_with_double_sums():
     n, steps, _, total = worker.end()
     assert (n, steps) == (300, 5) and total.dtype == np.float64
     assert all(p.dtype == np.float32 for p in worker.p + worker.m + worker.v)
+
+
+def test_each_slot_is_a_partition_of_its_own(spark, synth):
+    """Slots hashed to partitions left some empty and put several into one."""
+    from flowsentry.operators import tree
+    train = synth.where("split = 'train'")
+    dealt = tree.slotted(train, COLS, 20).withColumn("p", F.spark_partition_id())
+    held = dealt.select("p", "slot").distinct().collect()
+    assert sorted((r["p"], r["slot"]) for r in held) == [(s, s) for s in range(20)]
+    rows = train.select(F.pmod(F.xxhash64("row_id"), F.lit(20)).cast("int").alias("slot"), F.xxhash64("row_id", F.lit(1)).alias("o"), *COLS).toPandas()
+    got = dealt.groupBy("slot").agg(F.collect_list("x").alias("x")).toPandas()
+    for _, r in got.iterrows():
+        want = rows[rows["slot"] == r["slot"]].sort_values("o")[COLS].to_numpy(dtype=np.float32)
+        assert np.array_equal(np.frombuffer(b"".join(r["x"]), np.float32).reshape(-1, len(COLS)), want)
+
+
+def test_features_by_polynomial_equal_cosines():
+    rng = np.random.default_rng(6)
+    rff, x = OC.make_map(4, 0.25, 96, seed=2), rng.normal(size=(2500, 4)) * 5
+    x[0] = 0.0
+    z = np.vstack([b.copy() for _, b in OC._Phi(rff, np.float64).blocks(x)])
+    assert z.dtype == np.float64 and np.abs(z - rff.transform(x)).max() < 5e-15
+    assert np.abs(OC._phi(rff)(x) - rff.transform(x)).max() < 5e-6
+
+
+def test_quantile_bin_beyond_the_summed_ones_is_counted_again(synth, monkeypatch):
+    """Only rows in bins near the quantile are summed; where it lies beyond,
+    the round gives what all bins' sums give."""
+    train = synth.where("split = 'train'")
+    upto = []
+    bin_sums = OC._bin_sums
+    monkeypatch.setattr(OC, "_bin_sums", lambda *a: upto.append(a[-1].tolist()) or bin_sums(*a))
+    got = []
+    for near in (OC.BINS - 1, OC.NEAR, 2):
+        monkeypatch.setattr(OC, "NEAR", near)
+        got.append(OC.fit(train, COLS, n_components=64, seed=2, nus=(0.2, 0.1), gamma=0.2, slots=3))
+        if near == OC.BINS - 1:
+            upto.clear()
+    assert any(n != [2] * len(n) for n in upto) and [2, 2] in upto
+    for m in got[1:]:
+        assert m.rounds == got[0].rounds
+        assert np.allclose(m.w, got[0].w, rtol=0, atol=1e-6) and np.allclose(m.gap, got[0].gap, rtol=0, atol=1e-7)
+
+
+def test_learned_scores_take_one_pass_over_python(spark):
+    """Both detectors score in one Arrow pass that leaves the other columns as
+    they are, and the fits read a table, not a cache of the scaled rows."""
+    from flowsentry.operators.detectors import learned
+    from flowsentry.plans.study import Study
+    from flowsentry.sources.tables import LINEITEM_FEATURES, lineitem_flows
+    from tests.conftest import SF_SMALL
+    st = Study(lineitem_flows(spark, SF_SMALL), LINEITEM_FEATURES, detectors="learned",
+               learned_options={"rff_components": 32, "oc_tol": 0.1, "ae_epochs": 1, "ae_trials": 1})
+    out = learned.learned_scores(st)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan and "InMemoryTableScan" not in plan
+    rest = ["row_id", "y", "family", "split", *st.zcols]
+    assert out.select(*rest).exceptAll(st.scaled.select(*rest)).count() == 0 and out.count() == st.scaled.count()
+    names = [*st.oc_model.out_cols("ml_raw"), "ae"]
+    apart = st.ae_model.score(st.oc_model.score(st.scaled, "ml_raw"), "ae").select(*rest, *names)
+    order = ["row_id", *st.zcols]
+    one, two = (df.toPandas().sort_values(order) for df in (out.select(*rest, *names), apart))
+    assert np.allclose(one[names], two[names], rtol=0, atol=1e-12)
+    x, scores = one[st.zcols].to_numpy(), one[names].to_numpy()
+    assert np.allclose(scores[:, :-1], -st.oc_model.rff.transform(x) @ st.oc_model.w.T, rtol=0, atol=1e-13)
+    assert np.allclose(scores[:, -1], np.mean((AE.forward(st.ae_model.params, x)[0] - x) ** 2, axis=1), rtol=1e-12, atol=0)
